@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shiftledger import params as p
 from shiftledger.catalog.base import query
 from shiftledger.catalog.filters import loaded_mark
-from shiftledger.catalog.views import day
+from shiftledger.catalog.views import day, words
 from shiftledger.operators import aggregates, joins, keys
 from shiftledger.plans import dimensions, facts
 from shiftledger.sources.mapping import Landing
@@ -70,28 +70,33 @@ def dim_practitioner(t: Landing) -> DataFrame:
 
 def _incremental_member_sql(kind: str) -> str:
     name = f"{kind}_name"
+    first = f"purchase_date <= {day(p.FIRST_LOAD_DATE)} AND location IN ({words(p.LOCATIONS)})"
     return f"""
-    SELECT (SELECT count(DISTINCT {kind}) FROM landing WHERE purchase_date <= {day(p.FIRST_LOAD_DATE)})
+    SELECT (SELECT count(DISTINCT {kind}) FROM landing WHERE {first})
                + row_number() OVER (ORDER BY md5({name}), {name}) AS {kind}_id, {name}
     FROM (SELECT DISTINCT {kind} AS {name} FROM landing
-          WHERE purchase_date > {day(p.FIRST_LOAD_DATE)} AND {kind} IS NOT NULL
-            AND {kind} NOT IN (SELECT {kind} FROM landing
-                               WHERE purchase_date <= {day(p.FIRST_LOAD_DATE)} AND {kind} IS NOT NULL))"""
+          WHERE {kind} IS NOT NULL
+            AND {kind} NOT IN (SELECT {kind} FROM landing WHERE {first} AND {kind} IS NOT NULL))"""
+
+
+def first_load(t: Landing, with_items: bool) -> DataFrame:
+    """The very first load: one day of the locations that opened first."""
+    rows = t.input(items=with_items, until=p.FIRST_LOAD_DATE)
+    return rows.where(F.col("location").isin(list(p.LOCATIONS)))
 
 
 @query("dim_location_incremental", _incremental_member_sql("location"), "landing")
 def dim_location_incremental(t: Landing) -> DataFrame:
-    """Locations first seen after the first load, with the next keys."""
-    known = dimensions.first_locations(t.input(items=False, until=p.FIRST_LOAD_DATE))
-    later = t.input(items=False, since=p.FIRST_LOAD_DATE)
-    return dimensions.add_locations(known, later).select("location_id", "location_name")
+    """Locations unknown after the first load, with the next keys."""
+    known = dimensions.first_locations(first_load(t, with_items=False))
+    return dimensions.add_locations(known, t.input(items=False)).select("location_id", "location_name")
 
 
 @query("dim_item_incremental", _incremental_member_sql("item"), "landing")
 def dim_item_incremental(t: Landing) -> DataFrame:
-    """Items first seen after the first load, with the next keys."""
-    known = dimensions.first_items(t.input(until=p.FIRST_LOAD_DATE))
-    return dimensions.add_items(known, t.input(since=p.FIRST_LOAD_DATE)).select("item_id", "item_name")
+    """Items unknown after the first load, with the next keys."""
+    known = dimensions.first_items(first_load(t, with_items=True))
+    return dimensions.add_items(known, t.input()).select("item_id", "item_name")
 
 
 @query("distinct_members", """
@@ -160,11 +165,12 @@ def left_join_target_daily(t: Landing) -> DataFrame:
 
 @query("anti_new_dim_member", f"""
     SELECT DISTINCT location FROM landing
-    WHERE purchase_date > {day(p.FIRST_LOAD_DATE)} AND location NOT IN
-          (SELECT location FROM landing WHERE purchase_date <= {day(p.FIRST_LOAD_DATE)})""", "landing")
+    WHERE location NOT IN (SELECT location FROM landing
+                           WHERE purchase_date <= {day(p.FIRST_LOAD_DATE)} AND location IN ({words(p.LOCATIONS)}))""",
+    "landing")
 def anti_new_dim_member(t: Landing) -> DataFrame:
-    known = dimensions.first_locations(t.input(items=False, until=p.FIRST_LOAD_DATE))
-    seen = aggregates.distinct_members(t.input(items=False, since=p.FIRST_LOAD_DATE), "location")
+    known = dimensions.first_locations(first_load(t, with_items=False))
+    seen = aggregates.distinct_members(t.input(items=False), "location")
     return joins.new_members(seen, known, "location", "location_name")
 
 

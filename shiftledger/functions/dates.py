@@ -97,13 +97,19 @@ def days_between(start: ColumnOrDate, end: ColumnOrDate) -> Column:
 
 
 def parse_date(text: Column | str, pattern: str) -> Column:
-    """Text to date; malformed text raises."""
-    return F.to_date(text, pattern)
+    """Text to date; malformed text raises. Two-digit years run from 1969 to 2068."""
+    return _century(F.to_date(text, pattern), pattern)
 
 
 def try_parse_date(text: Column | str, pattern: str) -> Column:
-    """Text to date; malformed text gives null."""
-    return F.try_to_date(text, pattern)
+    """Text to date; malformed text gives null. Two-digit years run from 1969 to 2068."""
+    return _century(F.try_to_date(text, pattern), pattern)
+
+
+def _century(parsed: Column, pattern: str) -> Column:
+    if "yyyy" in pattern or "yy" not in pattern:
+        return parsed
+    return F.when(F.year(parsed) >= 2069, F.add_months(parsed, -1200)).otherwise(parsed)
 
 
 def planned_hour(plan: dict[str, float], d: ColumnOrDate) -> Column:
