@@ -78,9 +78,10 @@ def sink_full_refresh(t: Landing) -> DataFrame:
     """The practitioner dimension written twice in full; the newest snapshot is read back."""
     path = work_dir(t.spark, "dim_practitioner")
     rows, old = t.input(items=False), t.input(items=False, until=p.SPLIT_DATE)
-    places = dimensions.first_locations(rows)
+    places = dimensions.first_locations(dimensions.members(rows))
     for snapshot, source in enumerate((old, rows), start=1):
-        writers.write_snapshot(dimensions.first_practitioners(source, places, p.EMAIL_DOMAIN), path, snapshot)
+        people = dimensions.first_practitioners(dimensions.members(source), places, p.EMAIL_DOMAIN)
+        writers.write_snapshot(people, path, snapshot)
     return writers.read_snapshot(t.spark, path, schemas.DIM_PRACTITIONER)
 
 
@@ -89,8 +90,9 @@ def sink_append(t: Landing) -> DataFrame:
     """The performance fact appended in two batches, the second one twice; read back once each."""
     path = work_dir(t.spark, "fact_performance")
     rows = t.input(items=False)
-    places = dimensions.first_locations(rows)
-    people = dimensions.first_practitioners(rows, places, p.EMAIL_DOMAIN)
+    seen = dimensions.members(rows)
+    places = dimensions.first_locations(seen)
+    people = dimensions.first_practitioners(seen, places, p.EMAIL_DOMAIN)
     old, new = t.input(items=False, until=p.SPLIT_DATE), t.input(items=False, since=p.SPLIT_DATE)
     for batch, source in ((1, old), (2, new), (2, new)):
         writers.append_facts(facts.fact_performance(source, t.target(), people, places), path, batch)

@@ -6,20 +6,29 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftledger import params as p
+from shiftledger import schemas
 from shiftledger.catalog.base import query
 from shiftledger.catalog.filters import loaded_mark
 from shiftledger.catalog.views import day, words
 from shiftledger.operators import aggregates, joins, keys
 from shiftledger.plans import dimensions, facts
+from shiftledger.session import work_dir
 from shiftledger.sources.mapping import Landing
+from shiftledger.sources.writers import read_snapshot, write_snapshot
 
 BATCH_DATE = p.SPLIT_DATE + dt.timedelta(days=1)
 
 
+def members(t: Landing) -> DataFrame:
+    """Staff and locations of all rows; every dimension below shares this one grouping."""
+    return dimensions.members(t.input(items=False))
+
+
 def places(t: Landing) -> DataFrame:
-    return dimensions.first_locations(t.input(items=False))
+    return dimensions.first_locations(members(t))
 
 
 def items(t: Landing) -> DataFrame:
@@ -27,30 +36,46 @@ def items(t: Landing) -> DataFrame:
 
 
 def people(t: Landing) -> DataFrame:
-    return dimensions.first_practitioners(t.input(items=False), places(t), p.EMAIL_DOMAIN)
+    return dimensions.first_practitioners(members(t), places(t), p.EMAIL_DOMAIN)
+
+
+def stored(t: Landing, dim: DataFrame, schema: T.StructType, name: str) -> DataFrame:
+    """A dimension as a later load finds it: a written table."""
+    path = work_dir(t.spark, name)
+    write_snapshot(dim, path, 1)
+    return read_snapshot(t.spark, path, schema)
 
 
-def old_people(t: Landing) -> DataFrame:
+def old_people(t: Landing, known_places: DataFrame) -> DataFrame:
     """The practitioner dimension after the first batch."""
-    return dimensions.first_practitioners(t.input(items=False, until=p.SPLIT_DATE), places(t), p.EMAIL_DOMAIN)
+    seen = dimensions.members(t.input(items=False, until=p.SPLIT_DATE))
+    dim = dimensions.first_practitioners(seen, known_places, p.EMAIL_DOMAIN)
+    return stored(t, dim, schemas.DIM_PRACTITIONER, "dim_practitioner")
 
 
-def new_rows(t: Landing) -> DataFrame:
-    """The second batch, in which some staff report to another manager."""
+def stored_places(t: Landing) -> DataFrame:
+    return stored(t, places(t), schemas.DIM_LOCATION, "dim_location")
+
+
+def new_members(t: Landing) -> DataFrame:
+    """The members of the second batch, in which some staff report to another manager."""
     moved = F.col("account_balance") >= p.MIN_BALANCE_REASSIGNED
-    return t.input(items=False, since=p.SPLIT_DATE).withColumn(
-        "manager", F.when(moved, p.REASSIGNED_MANAGER).otherwise(F.col("manager"))
+    rows = t.input(items=False, since=p.SPLIT_DATE)
+    return dimensions.members(
+        rows.withColumn("manager", F.when(moved, p.REASSIGNED_MANAGER).otherwise(F.col("manager")))
     )
 
 
-def appended_people(t: Landing) -> DataFrame:
-    """Old and new versions before the old ones are closed."""
-    merged = merged_people(t)
-    return merged.withColumn("is_current", F.lit(True)).withColumn("effective_end_date", F.lit(None).cast("date"))
+def merged_people(t: Landing) -> DataFrame:
+    known_places = stored_places(t)
+    return dimensions.merge_practitioners(
+        old_people(t, known_places), new_members(t), known_places, p.EMAIL_DOMAIN, BATCH_DATE
+    )
 
 
-def merged_people(t: Landing) -> DataFrame:
-    return dimensions.merge_practitioners(old_people(t), new_rows(t), places(t), p.EMAIL_DOMAIN, BATCH_DATE)
+def appended_people(t: Landing) -> DataFrame:
+    """Old and new versions before the old ones are closed."""
+    return merged_people(t).withColumn("is_current", F.lit(True))
 
 
 @query("dim_location", "SELECT * FROM dim_location", "dim_location")
@@ -117,7 +142,7 @@ def distinct_members(t: Landing) -> DataFrame:
            is_current
     FROM dim_practitioner""", "dim_practitioner")
 def distinct_practitioners(t: Landing) -> DataFrame:
-    return dimensions.distinct_practitioners(t.input(items=False), places(t), p.EMAIL_DOMAIN)
+    return dimensions.distinct_practitioners(members(t), places(t), p.EMAIL_DOMAIN)
 
 
 @query("surrogate_keys", """
@@ -177,7 +202,7 @@ def anti_new_dim_member(t: Landing) -> DataFrame:
 @query("anti_scd_unchanged", """
     SELECT practitioner_id, practitioner_name, manager_name, location_name FROM newcomers""", "newcomers")
 def anti_scd_unchanged(t: Landing) -> DataFrame:
-    changed = joins.changed_practitioners(dimensions.latest_people(new_rows(t)), old_people(t))
+    changed = joins.changed_practitioners(dimensions.latest_people(new_members(t)), old_people(t, stored_places(t)))
     return changed.select("practitioner_id", "practitioner_name", "manager_name", "location_name")
 
 

@@ -24,6 +24,7 @@ def run_daily(
 ) -> None:
     """Bring the warehouse folder up to date with the landing rows.
 
+    The members are drawn from the landing rows in one pass and kept as a table for the dimensions.
     Locations and items come first, then practitioners, then both facts from one mark taken before
     either is written. The performance fact, which carries the mark, is written last: when a run is
     lost half way, the next one finds the old mark and writes the same batch again in place.
@@ -37,12 +38,14 @@ def run_daily(
     def now(name: str) -> DataFrame:
         return read_snapshot(spark, path[name], TABLES[name])
 
+    write_snapshot(dimensions.members(landing), path["members"], batch)
+    seen = now("members")
     for name, add in (("dim_location", dimensions.add_locations), ("dim_item", dimensions.add_items)):
         known = before(name)
-        write_snapshot(known.unionByName(add(known, landing)), path[name], batch)
+        write_snapshot(known.unionByName(add(known, seen)), path[name], batch)
 
     people = dimensions.merge_practitioners(
-        before("dim_practitioner"), landing, now("dim_location"), email_domain, batch_date
+        before("dim_practitioner"), seen, now("dim_location"), email_domain, batch_date
     )
     write_snapshot(people, path["dim_practitioner"], batch)
 
@@ -60,6 +63,7 @@ def run_daily(
 
 # The tables of the warehouse folder.
 TABLES = {
+    "members": schemas.MEMBERS,
     "dim_location": schemas.DIM_LOCATION,
     "dim_item": schemas.DIM_ITEM,
     "dim_practitioner": schemas.DIM_PRACTITIONER,

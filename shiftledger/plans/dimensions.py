@@ -87,6 +87,19 @@ def fill(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+MEMBER_COLUMNS = ("staff_id", "staff_name", "manager", "location", "item")
+
+
+def members(rows: DataFrame) -> DataFrame:
+    """The distinct dimension members of landing rows with the newest day of each.
+
+    It has the columns of landing rows, so every dimension can be built from it; one pass over the
+    appointments then serves them all.
+    """
+    cols = [name for name in MEMBER_COLUMNS if name in rows.columns]
+    return rows.groupBy(*cols).agg(F.max("purchase_date").alias("purchase_date"))
+
+
 def people_of(rows: DataFrame) -> DataFrame:
     """Distinct practitioners under dimension names."""
     return (
@@ -153,15 +166,18 @@ def merge_practitioners(
         "effective_start_date", F.lit(batch_date)
     )
     keyed = surrogate_keys(detailed, PERSON, "practitioner_dim_id", max_key(dim, "practitioner_dim_id"))
-    return close_superseded(dim.unionByName(fill(keyed, schemas.DIM_PRACTITIONER)), batch_date)
+    closed = close_superseded(dim, detailed, batch_date)
+    return closed.unionByName(fill(keyed, schemas.DIM_PRACTITIONER))
 
 
-def close_superseded(dim: DataFrame, batch_date: dt.date) -> DataFrame:
-    """Keep the newest current version of each practitioner current and close the others."""
-    closes = F.col("is_current") & (F.col("practitioner_dim_id") < F.col("newest_id"))
+def close_superseded(dim: DataFrame, newcomers: DataFrame, batch_date: dt.date) -> DataFrame:
+    """Close the current versions of ``dim`` that a newcomer or a newer current version replaces."""
+    replaced = newcomers.select("practitioner_id", F.lit(True).alias("_replaced"))
+    older = F.col("practitioner_dim_id") < F.col("newest_id")
     return (
         dim.join(newest_key(dim), "practitioner_id", "left")
-        .withColumn("_closes", F.coalesce(closes, F.lit(False)))
+        .join(replaced, "practitioner_id", "left")
+        .withColumn("_closes", F.col("is_current") & (F.col("_replaced").isNotNull() | older))
         .withColumn(
             "effective_end_date",
             F.when(F.col("_closes"), F.date_sub(F.lit(batch_date), 1)).otherwise(F.col("effective_end_date")),
