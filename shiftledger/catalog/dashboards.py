@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from shiftledger import params as p
 from shiftledger.catalog.base import query
-from shiftledger.catalog.warehouse import people, places
+from shiftledger.catalog.warehouse import star
 from shiftledger.functions import dates
 from shiftledger.operators import aggregates, filters, joins, ordering, reshape
 from shiftledger.plans import dimensions, facts, kpi
@@ -257,8 +257,9 @@ def head_n(t: Landing) -> DataFrame:
     "fact_performance",
 )
 def kpi_by_location_manager_staff(t: Landing) -> DataFrame:
-    fact = facts.fact_performance(t.input(items=False), t.target(), people(t), places(t))
-    return kpi.by_location_manager_staff(fact, people(t), places(t))
+    dims = star(t)
+    fact = facts.fact_performance(t.input(items=False), t.target(), dims.people, dims.places)
+    return kpi.by_location_manager_staff(fact, dims.people, dims.places)
 
 
 def _by_period(kind: str) -> str:
@@ -277,7 +278,8 @@ def _by_period(kind: str) -> str:
     "fact_performance",
 )
 def kpi_by_period(t: Landing) -> DataFrame:
-    return kpi.by_period(facts.fact_performance(t.input(items=False), t.target(), people(t), places(t)))
+    dims = star(t)
+    return kpi.by_period(facts.fact_performance(t.input(items=False), t.target(), dims.people, dims.places))
 
 
 @query(
@@ -292,6 +294,7 @@ def kpi_by_period(t: Landing) -> DataFrame:
 )
 def kpi_by_calendar(t: Landing) -> DataFrame:
     """By year and quarter of the date dimension."""
-    fact = facts.fact_performance(t.input(items=False), t.target(), people(t), places(t))
+    dims = star(t)
+    fact = facts.fact_performance(t.input(items=False), t.target(), dims.people, dims.places)
     days = dimensions.dim_date(t.input(items=False), "purchase_date")
     return kpi.by_calendar(fact, days, "year", "quarter")

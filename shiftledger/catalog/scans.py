@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shiftledger import params as p
 from shiftledger import schemas
 from shiftledger.catalog.base import query
+from shiftledger.catalog.warehouse import star, stored_places
 from shiftledger.functions import dates
 from shiftledger.plans import dimensions, facts
 from shiftledger.session import work_dir
@@ -78,7 +79,7 @@ def sink_full_refresh(t: Landing) -> DataFrame:
     """The practitioner dimension written twice in full; the newest snapshot is read back."""
     path = work_dir(t.spark, "dim_practitioner")
     rows, old = t.input(items=False), t.input(items=False, until=p.SPLIT_DATE)
-    places = dimensions.first_locations(dimensions.members(rows))
+    places = stored_places(t)
     for snapshot, source in enumerate((old, rows), start=1):
         people = dimensions.first_practitioners(dimensions.members(source), places, p.EMAIL_DOMAIN)
         writers.write_snapshot(people, path, snapshot)
@@ -89,13 +90,10 @@ def sink_full_refresh(t: Landing) -> DataFrame:
 def sink_append(t: Landing) -> DataFrame:
     """The performance fact appended in two batches, the second one twice; read back once each."""
     path = work_dir(t.spark, "fact_performance")
-    rows = t.input(items=False)
-    seen = dimensions.members(rows)
-    places = dimensions.first_locations(seen)
-    people = dimensions.first_practitioners(seen, places, p.EMAIL_DOMAIN)
+    dims = star(t)
     old, new = t.input(items=False, until=p.SPLIT_DATE), t.input(items=False, since=p.SPLIT_DATE)
     for batch, source in ((1, old), (2, new), (2, new)):
-        writers.append_facts(facts.fact_performance(source, t.target(), people, places), path, batch)
+        writers.append_facts(facts.fact_performance(source, t.target(), dims.people, dims.places), path, batch)
     return writers.read_facts(t.spark, path, schemas.FACT_PERFORMANCE).select(*schemas.FACT_PERFORMANCE.names)
 
 

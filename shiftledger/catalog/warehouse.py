@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,39 +23,40 @@ from shiftledger.sources.writers import read_snapshot, write_snapshot
 BATCH_DATE = p.SPLIT_DATE + dt.timedelta(days=1)
 
 
-def members(t: Landing) -> DataFrame:
-    """Staff and locations of all rows; every dimension below shares this one grouping."""
-    return dimensions.members(t.input(items=False))
+def stored(t: Landing, df: DataFrame, schema: T.StructType, name: str) -> DataFrame:
+    """A table as a later step of the load finds it: written to the shared folder and read back."""
+    path = work_dir(t.spark, name)
+    write_snapshot(df, path, 1)
+    return read_snapshot(t.spark, path, schema)
 
 
-def places(t: Landing) -> DataFrame:
-    return dimensions.first_locations(members(t))
+@dataclass(frozen=True)
+class Star:
+    """The dimensions that a fact load joins."""
 
+    members: DataFrame
+    places: DataFrame
+    people: DataFrame
 
-def items(t: Landing) -> DataFrame:
-    return dimensions.first_items(t.input())
 
+def star(t: Landing, items: bool = False) -> Star:
+    """Locations and practitioners of all rows. The appointments are read once, for the members, which
+    are kept as a table; the dimensions are built on that small table."""
+    found = dimensions.fill(dimensions.members(t.input(items=items)), schemas.MEMBERS)
+    members = stored(t, found, schemas.MEMBERS, "members")
+    places = dimensions.first_locations(members)
+    return Star(members, places, dimensions.first_practitioners(members, places, p.EMAIL_DOMAIN))
 
-def people(t: Landing) -> DataFrame:
-    return dimensions.first_practitioners(members(t), places(t), p.EMAIL_DOMAIN)
 
-
-def stored(t: Landing, dim: DataFrame, schema: T.StructType, name: str) -> DataFrame:
-    """A dimension as a later load finds it: a written table."""
-    path = work_dir(t.spark, name)
-    write_snapshot(dim, path, 1)
-    return read_snapshot(t.spark, path, schema)
-
-
-def old_people(t: Landing, known_places: DataFrame) -> DataFrame:
+def old_people(t: Landing, places: DataFrame) -> DataFrame:
     """The practitioner dimension after the first batch."""
     seen = dimensions.members(t.input(items=False, until=p.SPLIT_DATE))
-    dim = dimensions.first_practitioners(seen, known_places, p.EMAIL_DOMAIN)
+    dim = dimensions.first_practitioners(seen, places, p.EMAIL_DOMAIN)
     return stored(t, dim, schemas.DIM_PRACTITIONER, "dim_practitioner")
 
 
 def stored_places(t: Landing) -> DataFrame:
-    return stored(t, places(t), schemas.DIM_LOCATION, "dim_location")
+    return stored(t, dimensions.first_locations(t.input(items=False)), schemas.DIM_LOCATION, "dim_location")
 
 
 def new_members(t: Landing) -> DataFrame:
@@ -67,30 +69,31 @@ def new_members(t: Landing) -> DataFrame:
 
 
 def merged_people(t: Landing) -> DataFrame:
-    known_places = stored_places(t)
+    places = stored_places(t)
     return dimensions.merge_practitioners(
-        old_people(t, known_places), new_members(t), known_places, p.EMAIL_DOMAIN, BATCH_DATE
+        old_people(t, places), new_members(t), places, p.EMAIL_DOMAIN, BATCH_DATE
     )
 
 
 def appended_people(t: Landing) -> DataFrame:
     """Old and new versions before the old ones are closed."""
-    return merged_people(t).withColumn("is_current", F.lit(True))
+    appended = stored(t, merged_people(t), schemas.DIM_PRACTITIONER, "dim_practitioner")
+    return appended.withColumn("is_current", F.lit(True))
 
 
 @query("dim_location", "SELECT * FROM dim_location", "dim_location")
 def dim_location(t: Landing) -> DataFrame:
-    return places(t)
+    return dimensions.first_locations(t.input(items=False))
 
 
 @query("dim_item", "SELECT * FROM dim_item", "dim_item")
 def dim_item(t: Landing) -> DataFrame:
-    return items(t)
+    return dimensions.first_items(t.input())
 
 
 @query("dim_practitioner", "SELECT * FROM dim_practitioner", "dim_practitioner")
 def dim_practitioner(t: Landing) -> DataFrame:
-    return people(t)
+    return dimensions.first_practitioners(dimensions.members(t.input(items=False)), stored_places(t), p.EMAIL_DOMAIN)
 
 
 def _incremental_member_sql(kind: str) -> str:
@@ -142,7 +145,7 @@ def distinct_members(t: Landing) -> DataFrame:
            is_current
     FROM dim_practitioner""", "dim_practitioner")
 def distinct_practitioners(t: Landing) -> DataFrame:
-    return dimensions.distinct_practitioners(members(t), places(t), p.EMAIL_DOMAIN)
+    return dimensions.distinct_practitioners(t.input(items=False), stored_places(t), p.EMAIL_DOMAIN)
 
 
 @query("surrogate_keys", """
@@ -162,7 +165,7 @@ _ROW = "invoice_no, purchase_date, staff_id, total"
     SELECT {_ROW}, location_id FROM landing JOIN dim_location ON location = location_name""",
     "landing dim_location")
 def join_dim_location(t: Landing) -> DataFrame:
-    return joins.with_location(t.input(items=False), places(t)).select(*_ROW.split(", "), "location_id")
+    return joins.with_location(t.input(items=False), stored_places(t)).select(*_ROW.split(", "), "location_id")
 
 
 @query("join_dim_practitioner_current", f"""
@@ -170,14 +173,16 @@ def join_dim_location(t: Landing) -> DataFrame:
     FROM landing JOIN dim_practitioner_new ON staff_id = practitioner_id AND is_current""",
     "landing dim_practitioner_new")
 def join_dim_practitioner_current(t: Landing) -> DataFrame:
-    joined = joins.with_practitioner(t.input(items=False), merged_people(t))
+    people = stored(t, merged_people(t), schemas.DIM_PRACTITIONER, "dim_practitioner")
+    joined = joins.with_practitioner(t.input(items=False), people)
     return joined.select(*_ROW.split(", "), "practitioner_dim_id")
 
 
 @query("join_dim_item", f"SELECT {_ROW}, item_id FROM landing JOIN dim_item ON item = item_name",
        "landing dim_item")
 def join_dim_item(t: Landing) -> DataFrame:
-    return joins.with_item(t.input(), items(t)).select(*_ROW.split(", "), "item_id")
+    items = stored(t, dimensions.first_items(t.input()), schemas.DIM_ITEM, "dim_item")
+    return joins.with_item(t.input(), items).select(*_ROW.split(", "), "item_id")
 
 
 @query("left_join_target_daily", """
@@ -238,7 +243,8 @@ def agg_daily_actuals(t: Landing) -> DataFrame:
 
 @query("fact_performance", "SELECT * FROM fact_performance", "fact_performance")
 def fact_performance(t: Landing) -> DataFrame:
-    return facts.fact_performance(t.input(items=False), t.target(), people(t), places(t))
+    dims = star(t)
+    return facts.fact_performance(t.input(items=False), t.target(), dims.people, dims.places)
 
 
 @query("fact_performance_dedup", """
@@ -255,7 +261,8 @@ def fact_performance_dedup(t: Landing) -> DataFrame:
 
 @query("fact_appointments", "SELECT * FROM fact_appointments", "fact_appointments")
 def fact_appointments(t: Landing) -> DataFrame:
-    return facts.fact_appointments(t.input(), people(t), places(t), items(t))
+    dims = star(t, items=True)
+    return facts.fact_appointments(t.input(), dims.people, dims.places, dimensions.first_items(dims.members))
 
 
 @query("max_loaded_date", "SELECT mark FROM mark", "mark")
@@ -265,11 +272,13 @@ def max_loaded_date(t: Landing) -> DataFrame:
 
 @query("incremental_fact_performance", "SELECT * FROM fact_performance_added", "fact_performance_added")
 def incremental_fact_performance(t: Landing) -> DataFrame:
+    dims = star(t)
     newer = t.input(items=False, since=loaded_mark(t).scalar())
-    return facts.fact_performance(newer, t.target(), people(t), places(t))
+    return facts.fact_performance(newer, t.target(), dims.people, dims.places)
 
 
 @query("incremental_fact_appointments", "SELECT * FROM fact_appointments_added", "fact_appointments_added")
 def incremental_fact_appointments(t: Landing) -> DataFrame:
+    dims = star(t, items=True)
     newer = t.input(since=loaded_mark(t).scalar())
-    return facts.fact_appointments(newer, people(t), places(t), items(t))
+    return facts.fact_appointments(newer, dims.people, dims.places, dimensions.first_items(dims.members))

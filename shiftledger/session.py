@@ -21,15 +21,17 @@ SETTINGS = {
 }
 
 
-def local_session(name: str, cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and the benchmark."""
+def local_session(
+    name: str, cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g", **more: str
+) -> SparkSession:
+    """A local session for tests and the benchmark, with ``more`` settings."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **more}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -17,15 +17,34 @@ from shiftledger import params
 from shiftledger.functions import dates
 
 
+# The types of the driver's tables, so that no file is opened to infer them.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 class Landing:
     """Views over the tables of one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     def _staff(self) -> DataFrame:
         return self.table("supplier").select(
@@ -168,9 +187,8 @@ class Landing:
 
     def activity_stream(self, files_per_trigger: int = 64) -> DataFrame:
         """The event table as a stream; each micro-batch takes a bounded number of files."""
-        schema = self.table("events").schema
         stream = (
-            self.spark.readStream.schema(schema)
+            self.spark.readStream.schema(TABLES["events"])
             .option("pathGlobFilter", "events.parquet")
             .option("maxFilesPerTrigger", files_per_trigger)
             .parquet(self.sf_dir)
