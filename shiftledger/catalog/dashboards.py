@@ -21,7 +21,7 @@ def _ratio(a: str, b: str) -> str:
 
 @query("weekly_performance", "SELECT * FROM weekly", "weekly")
 def weekly_performance(t: Landing) -> DataFrame:
-    return aggregates.weekly_performance(t.performance(), "practitioner_id")
+    return aggregates.weekly_performance(t.performance(types=False, names=False), "practitioner_id")
 
 
 @query(
@@ -33,17 +33,17 @@ def weekly_performance(t: Landing) -> DataFrame:
     "perf",
 )
 def weekly_performance_by_name(t: Landing) -> DataFrame:
-    return aggregates.weekly_performance(t.performance(), "practitioner_name")
+    return aggregates.weekly_performance(t.performance(types=False), "practitioner_name")
 
 
 @query("weekly_performance_by_type", "SELECT * FROM weekly_type", "weekly_type")
 def weekly_performance_by_type(t: Landing) -> DataFrame:
-    return kpi.weekly_by_type(t.performance())
+    return kpi.weekly_by_type(t.performance(names=False))
 
 
 @query("weekly_hours_one_user", f"SELECT week, total_hours FROM weekly WHERE {_MINE}", "weekly")
 def weekly_hours_one_user(t: Landing) -> DataFrame:
-    return aggregates.weekly_hours(filters.row_security(t.performance(), "secondary", p.SECONDARY_USER))
+    return aggregates.weekly_hours(filters.row_security(t.performance(types=False, names=False), "secondary", p.SECONDARY_USER))
 
 
 @query(
@@ -54,7 +54,7 @@ def weekly_hours_one_user(t: Landing) -> DataFrame:
     "weekly weekly_target",
 )
 def left_merge_weekly(t: Landing) -> DataFrame:
-    weekly = aggregates.weekly_performance(t.performance(), "practitioner_id")
+    weekly = aggregates.weekly_performance(t.performance(types=False, names=False), "practitioner_id")
     return joins.with_weekly_target(weekly, t.weekly_target(), "target_income", "target_hour")
 
 
@@ -67,7 +67,7 @@ def left_merge_weekly(t: Landing) -> DataFrame:
     "weekly_type weekly_target",
 )
 def left_merge_weekly_type(t: Landing) -> DataFrame:
-    return joins.with_weekly_type_target(kpi.weekly_by_type(t.performance()), t.weekly_target())
+    return joins.with_weekly_type_target(kpi.weekly_by_type(t.performance(names=False)), t.weekly_target())
 
 
 _FANOUT = f"""
@@ -78,7 +78,7 @@ _FANOUT = f"""
 
 @query("left_merge_weekly_fanout", _FANOUT, "weekly_type weekly_target")
 def left_merge_weekly_fanout(t: Landing) -> DataFrame:
-    return joins.with_weekly_target_any_type(kpi.weekly_by_type(t.performance()), t.weekly_target())
+    return joins.with_weekly_target_any_type(kpi.weekly_by_type(t.performance(names=False)), t.weekly_target())
 
 
 @query(
@@ -89,7 +89,7 @@ def left_merge_weekly_fanout(t: Landing) -> DataFrame:
     "weekly weekly_target",
 )
 def weekly_ratio(t: Landing) -> DataFrame:
-    return kpi.weekly_ratio(t.performance(), t.weekly_target())
+    return kpi.weekly_ratio(t.performance(types=False, names=False), t.weekly_target())
 
 
 _PER_WEEK = """(SELECT week, practitioner_id, CAST(sum(target_income) AS DECIMAL(22,2)) AS target_income,
@@ -105,7 +105,7 @@ _PER_WEEK = """(SELECT week, practitioner_id, CAST(sum(target_income) AS DECIMAL
     "weekly weekly_target",
 )
 def weekly_ratio_dedup(t: Landing) -> DataFrame:
-    return kpi.weekly_ratio(t.performance(), kpi.targets_per_week(t.weekly_target()))
+    return kpi.weekly_ratio(t.performance(types=False, names=False), kpi.targets_per_week(t.weekly_target()))
 
 
 _MASTER = f"""
@@ -116,7 +116,7 @@ _MASTER = f"""
 
 @query("master_dashboard_weekly", _MASTER, "weekly weekly_target")
 def master_dashboard_weekly(t: Landing) -> DataFrame:
-    return kpi.master_weekly(t.performance(), t.weekly_target())
+    return kpi.master_weekly(t.performance(types=False, names=False), t.weekly_target())
 
 
 @query(
@@ -127,7 +127,7 @@ def master_dashboard_weekly(t: Landing) -> DataFrame:
     "weekly weekly_target",
 )
 def master_dashboard_weekly_dedup(t: Landing) -> DataFrame:
-    return kpi.master_weekly(t.performance(), kpi.targets_per_week(t.weekly_target()))
+    return kpi.master_weekly(t.performance(types=False, names=False), kpi.targets_per_week(t.weekly_target()))
 
 
 _SUMS = """CAST(sum(total_hours) AS DECIMAL(28,1)) AS total_hours,
@@ -144,7 +144,7 @@ def _totals(source: str, with_ratio: bool = True) -> str:
 
 @query("master_dashboard_totals", _totals(_MASTER), "weekly weekly_target")
 def master_dashboard_totals(t: Landing) -> DataFrame:
-    return kpi.master_totals(t.performance(), t.weekly_target())
+    return kpi.master_totals(t.performance(types=False, names=False), t.weekly_target())
 
 
 @query(
@@ -154,12 +154,12 @@ def master_dashboard_totals(t: Landing) -> DataFrame:
     "weekly weekly_target",
 )
 def master_dashboard_totals_dedup(t: Landing) -> DataFrame:
-    return kpi.master_totals_dedup(t.performance(), t.weekly_target())
+    return kpi.master_totals_dedup(t.performance(types=False, names=False), t.weekly_target())
 
 
 @query("practitioner_totals", _totals(_MASTER, with_ratio=False), "weekly weekly_target")
 def practitioner_totals(t: Landing) -> DataFrame:
-    return kpi.practitioner_totals(t.performance(), t.weekly_target())
+    return kpi.practitioner_totals(t.performance(types=False, names=False), t.weekly_target())
 
 
 @query(
@@ -168,7 +168,7 @@ def practitioner_totals(t: Landing) -> DataFrame:
     "weekly_type weekly_target",
 )
 def practitioner_weekly_type(t: Landing) -> DataFrame:
-    return kpi.practitioner_weekly_type(t.performance(), t.weekly_target(), "secondary", p.SECONDARY_USER)
+    return kpi.practitioner_weekly_type(t.performance(names=False), t.weekly_target(), "secondary", p.SECONDARY_USER)
 
 
 _PROFILED = (
@@ -184,7 +184,7 @@ _PROFILED = (
     "weekly_type weekly_target",
 )
 def null_profile(t: Landing) -> DataFrame:
-    return kpi.practitioner_null_profile(t.performance(), t.weekly_target(), "master")
+    return kpi.practitioner_null_profile(t.performance(names=False), t.weekly_target(), "master")
 
 
 _BY_TYPE = """
@@ -203,23 +203,23 @@ def _long(kind: str, unit: str, where: str = "") -> str:
 
 @query("unpivot_hours", _long("hours", "hour"), "weekly_type weekly_target")
 def unpivot_hours(t: Landing) -> DataFrame:
-    return reshape.hours_long(kpi.practitioner_by_type(t.performance(), t.weekly_target(), "master"))
+    return reshape.hours_long(kpi.practitioner_by_type(t.performance(names=False), t.weekly_target(), "master"))
 
 
 @query("unpivot_income", _long("income", "income"), "weekly_type weekly_target")
 def unpivot_income(t: Landing) -> DataFrame:
-    return reshape.income_long(kpi.practitioner_by_type(t.performance(), t.weekly_target(), "master"))
+    return reshape.income_long(kpi.practitioner_by_type(t.performance(names=False), t.weekly_target(), "master"))
 
 
 @query("practitioner_hours_long", _long("hours", "hour", f"WHERE {_MINE}"), "weekly_type weekly_target")
 def practitioner_hours_long(t: Landing) -> DataFrame:
-    mine = kpi.practitioner_by_type(t.performance(), t.weekly_target(), "secondary", p.SECONDARY_USER)
+    mine = kpi.practitioner_by_type(t.performance(names=False), t.weekly_target(), "secondary", p.SECONDARY_USER)
     return reshape.hours_long(mine)
 
 
 @query("practitioner_income_long", _long("income", "income", f"WHERE {_MINE}"), "weekly_type weekly_target")
 def practitioner_income_long(t: Landing) -> DataFrame:
-    mine = kpi.practitioner_by_type(t.performance(), t.weekly_target(), "secondary", p.SECONDARY_USER)
+    mine = kpi.practitioner_by_type(t.performance(names=False), t.weekly_target(), "secondary", p.SECONDARY_USER)
     return reshape.income_long(mine)
 
 
@@ -234,13 +234,13 @@ def practitioner_income_long(t: Landing) -> DataFrame:
     "weekly weekly_target",
 )
 def practitioner_week_head(t: Landing) -> DataFrame:
-    return kpi.practitioner_week_head(t.performance(), t.weekly_target(), p.SECONDARY_USER)
+    return kpi.practitioner_week_head(t.performance(types=False, names=False), t.weekly_target(), p.SECONDARY_USER)
 
 
 @query("head_n", "SELECT * FROM weekly ORDER BY week, practitioner_id LIMIT 5", "weekly")
 def head_n(t: Landing) -> DataFrame:
     """The first five rows of the weekly frame."""
-    weekly = aggregates.weekly_performance(t.performance(), "practitioner_id")
+    weekly = aggregates.weekly_performance(t.performance(types=False, names=False), "practitioner_id")
     return ordering.head(weekly, 5, "week", "practitioner_id")
 
 
@@ -296,5 +296,5 @@ def kpi_by_calendar(t: Landing) -> DataFrame:
     """By year and quarter of the date dimension."""
     dims = star(t)
     fact = facts.fact_performance(t.input(items=False), t.target(), dims.people, dims.places)
-    days = dimensions.dim_date(t.input(items=False), "purchase_date")
+    days = dimensions.dim_date(t.input(items=False, people=False), "purchase_date")
     return kpi.by_calendar(fact, days, "year", "quarter")

@@ -30,7 +30,7 @@ def targets_with_people(t: Landing) -> DataFrame:
 )
 def filter_not_null(t: Landing) -> DataFrame:
     """Rows with an item, where one appointment type stands for a missing item."""
-    rows = t.input().select("staff_id", "purchase_date", F.nullif("item", F.lit("PROMO")).alias("item"))
+    rows = t.input(people=False).select("staff_id", "purchase_date", F.nullif("item", F.lit("PROMO")).alias("item"))
     return filters.not_null(rows, "item", "staff_id")
 
 
@@ -111,7 +111,7 @@ def filter_row_security_master(t: Landing) -> DataFrame:
 )
 def normalise_columns(t: Landing) -> DataFrame:
     """Sheet headers with blanks, dots and signs become plain names."""
-    sheet = t.input(items=False).select(
+    sheet = t.input(items=False, people=False).select(
         F.col("purchase_date").alias(" Appt. Date"),
         F.col("staff_id").alias("Practitioner ID "),
         F.col("invoice_no").alias("Invoice #"),
@@ -151,7 +151,7 @@ _PLAN_ROWS = ", ".join(f"('{name}', CAST({hour} AS DECIMAL(5,1)))" for name, hou
     "landing",
 )
 def filter_weekday_in_plan(t: Landing) -> DataFrame:
-    rows = t.input(items=False).select("staff_id", "purchase_date")
+    rows = t.input(items=False, people=False).select("staff_id", "purchase_date")
     return filters.weekday_in_plan(rows, "purchase_date", p.WEEKDAY_PLAN)
 
 
@@ -162,14 +162,14 @@ def filter_weekday_in_plan(t: Landing) -> DataFrame:
 )
 def filter_high_watermark(t: Landing) -> DataFrame:
     """Rows newer than the newest row of the first batch."""
-    rows = t.input(items=False, since=loaded_mark(t).scalar())
+    rows = t.input(items=False, people=False, since=loaded_mark(t).scalar())
     return rows.select("staff_id", "purchase_date", "total", "actual_hour")
 
 
 def loaded_mark(t: Landing) -> DataFrame:
     """The mark after the first batch. Each landing row with a staff id gives a fact row on its date, so
     the newest date of the batch is the newest date of its facts."""
-    return max_loaded_date(t.input(items=False, until=p.SPLIT_DATE), p.DEFAULT_MARK, "purchase_date")
+    return max_loaded_date(t.input(items=False, people=False, until=p.SPLIT_DATE), p.DEFAULT_MARK, "purchase_date")
 
 
 @query(
@@ -183,6 +183,6 @@ def loaded_mark(t: Landing) -> DataFrame:
 )
 def filter_exact_key(t: Landing) -> DataFrame:
     """Weekly targets whose key occurs among the appointments of the plan range."""
-    seen = filters.between_dates(t.performance(), "appt_date", p.PLAN_START, p.PLAN_END)
+    seen = filters.between_dates(t.performance(names=False), "appt_date", p.PLAN_START, p.PLAN_END)
     keys = seen.select("practitioner_id", F.weekofyear("appt_date").alias("week"), "appt_type")
     return filters.exact_key(t.weekly_target(), keys, ["practitioner_id", "week", "appt_type"])

@@ -25,7 +25,7 @@ _COLLAPSED = f"""
 def raw_targets(t: Landing) -> DataFrame:
     """A target line per appointment, so a person's day may have several."""
     hour = (4 + (F.col("staff_id") + F.dayofmonth("purchase_date")) % 4).cast("decimal(5,1)")
-    return t.input(items=False).select(
+    return t.input(items=False, people=False).select(
         F.col("staff_id").alias("practitioner_id"),
         F.col("purchase_date").alias("target_date"),
         hour.alias("target_hour"),
@@ -77,7 +77,7 @@ def dq_date_range(t: Landing) -> DataFrame:
     "landing",
 )
 def dq_unique_key(t: Landing) -> DataFrame:
-    return quality.duplicate_keys(t.input(items=False), ["staff_id", "purchase_date"])
+    return quality.duplicate_keys(t.input(items=False, people=False), ["staff_id", "purchase_date"])
 
 
 _RAW = """

@@ -120,4 +120,4 @@ def sink_target_export(t: Landing) -> DataFrame:
 )
 def dim_date_build(t: Landing) -> DataFrame:
     """The calendar of all years in the data."""
-    return dimensions.dim_date(t.input(items=False), "purchase_date")
+    return dimensions.dim_date(t.input(items=False, people=False), "purchase_date")

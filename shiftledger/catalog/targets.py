@@ -63,7 +63,7 @@ def anti_existing_target(t: Landing) -> DataFrame:
     "landing holidays",
 )
 def anti_holiday(t: Landing) -> DataFrame:
-    rows = t.input(items=False).select("staff_id", "purchase_date", "actual_hour")
+    rows = t.input(items=False, people=False).select("staff_id", "purchase_date", "actual_hour")
     return joins.without_holiday(rows, t.holidays(), "purchase_date").select(*rows.columns)
 
 
@@ -460,15 +460,13 @@ def edits(t: Landing) -> DataFrame:
 
 def sundays(t: Landing) -> DataFrame:
     """Targets for the Sundays that staff worked; the target table has none."""
-    worked = t.input(items=False).where(dates.weekday_index("purchase_date") == 6)
-    return (
-        worked.select(
-            F.col("staff_id").alias("practitioner_id"),
-            F.col("staff_name").alias("practitioner_name"),
-            F.col("purchase_date").alias("target_date"),
-        )
-        .distinct()
-        .withColumns({"target_hour": F.lit(p.CONSTANT_HOUR).cast("decimal(5,1)"), "updated_at": changed_at()})
+    worked = t.input(items=False, people=False).where(dates.weekday_index("purchase_date") == 6)
+    days = worked.select(
+        F.col("staff_id").alias("practitioner_id"), F.col("purchase_date").alias("target_date")
+    ).distinct()
+    names = t.practitioner().select("practitioner_id", "practitioner_name")
+    return days.join(names, "practitioner_id").withColumns(
+        {"target_hour": F.lit(p.CONSTANT_HOUR).cast("decimal(5,1)"), "updated_at": changed_at()}
     )
 
 

@@ -88,7 +88,7 @@ def dim_location(t: Landing) -> DataFrame:
 
 @query("dim_item", "SELECT * FROM dim_item", "dim_item")
 def dim_item(t: Landing) -> DataFrame:
-    return dimensions.first_items(t.input())
+    return dimensions.first_items(t.input(people=False))
 
 
 @query("dim_practitioner", "SELECT * FROM dim_practitioner", "dim_practitioner")
@@ -124,7 +124,7 @@ def dim_location_incremental(t: Landing) -> DataFrame:
 def dim_item_incremental(t: Landing) -> DataFrame:
     """Items unknown after the first load, with the next keys."""
     known = dimensions.first_items(first_load(t, with_items=True))
-    return dimensions.add_items(known, t.input()).select("item_id", "item_name")
+    return dimensions.add_items(known, t.input(people=False)).select("item_id", "item_name")
 
 
 @query("distinct_members", """
@@ -132,7 +132,7 @@ def dim_item_incremental(t: Landing) -> DataFrame:
     UNION ALL SELECT DISTINCT 'location', location FROM landing WHERE location IS NOT NULL""", "landing")
 def distinct_members(t: Landing) -> DataFrame:
     found = [
-        aggregates.distinct_members(t.input(items=kind == "item"), kind).select(
+        aggregates.distinct_members(t.input(items=kind == "item", people=kind == "location"), kind).select(
             F.lit(kind).alias("kind"), F.col(kind).alias("member")
         )
         for kind in ("item", "location")
@@ -154,7 +154,7 @@ def distinct_practitioners(t: Landing) -> DataFrame:
     FROM (SELECT DISTINCT staff_id, item FROM landing)""", "landing")
 def surrogate_keys(t: Landing) -> DataFrame:
     """Dense keys after 100 for each pair of staff member and item."""
-    pairs = t.input().select("staff_id", "item").distinct()
+    pairs = t.input(people=False).select("staff_id", "item").distinct()
     return keys.surrogate_keys(pairs, ["staff_id", "item"], "pair_key", after=100)
 
 
@@ -174,15 +174,15 @@ def join_dim_location(t: Landing) -> DataFrame:
     "landing dim_practitioner_new")
 def join_dim_practitioner_current(t: Landing) -> DataFrame:
     people = stored(t, merged_people(t), schemas.DIM_PRACTITIONER, "dim_practitioner")
-    joined = joins.with_practitioner(t.input(items=False), people)
+    joined = joins.with_practitioner(t.input(items=False, people=False), people)
     return joined.select(*_ROW.split(", "), "practitioner_dim_id")
 
 
 @query("join_dim_item", f"SELECT {_ROW}, item_id FROM landing JOIN dim_item ON item = item_name",
        "landing dim_item")
 def join_dim_item(t: Landing) -> DataFrame:
-    items = stored(t, dimensions.first_items(t.input()), schemas.DIM_ITEM, "dim_item")
-    return joins.with_item(t.input(), items).select(*_ROW.split(", "), "item_id")
+    items = stored(t, dimensions.first_items(t.input(people=False)), schemas.DIM_ITEM, "dim_item")
+    return joins.with_item(t.input(people=False), items).select(*_ROW.split(", "), "item_id")
 
 
 @query("left_join_target_daily", """
@@ -256,7 +256,7 @@ def fact_performance(t: Landing) -> DataFrame:
     LEFT JOIN target t ON l.staff_id = t.staff_id AND l.purchase_date = t.appt_date
     GROUP BY l.purchase_date, l.staff_id""", "landing target")
 def fact_performance_dedup(t: Landing) -> DataFrame:
-    return facts.fact_performance_dedup(t.input(items=False), t.target())
+    return facts.fact_performance_dedup(t.input(items=False, people=False), t.target())
 
 
 @query("fact_appointments", "SELECT * FROM fact_appointments", "fact_appointments")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ PATTERNS = {
     "long": "MMMM d, yyyy",
     "short": "d-MMM-yy",
     "us": "M/d/yyyy",
-    "day_first": "dd/MM/yy",
+    "day_first": "d/M/yy",
     "iso": "yyyy-MM-dd",
 }
 
@@ -102,8 +103,32 @@ def parse_date(text: Column | str, pattern: str) -> Column:
 
 
 def try_parse_date(text: Column | str, pattern: str) -> Column:
-    """Text to date; malformed text gives null. Two-digit years run from 1969 to 2068."""
-    return _century(F.try_to_date(text, pattern), pattern)
+    """Text to date; malformed text gives null. Two-digit years run from 1969 to 2068.
+
+    The shape of the text is checked first, so the parser, for which a failure is slow, sees few
+    malformed values.
+    """
+    column = F.col(text) if isinstance(text, str) else text
+    parsed = F.when(column.rlike(_shape(pattern)), F.try_to_date(column, pattern))
+    return _century(parsed, pattern)
+
+
+# What each part of a date pattern looks like in text.
+_SHAPES = {
+    "yyyy": r"\d{4}",
+    "yy": r"\d{2}",
+    "MMMM": "[A-Za-z]+",
+    "MMM": "[A-Za-z]{3}",
+    "MM": r"\d{2}",
+    "M": r"\d{1,2}",
+    "dd": r"\d{2}",
+    "d": r"\d{1,2}",
+}
+
+
+def _shape(pattern: str) -> str:
+    parts = re.findall(r"[A-Za-z]+|[^A-Za-z]+", pattern)
+    return "^" + "".join(_SHAPES[part] if part.isalpha() else re.escape(part) for part in parts) + "$"
 
 
 def _century(parsed: Column, pattern: str) -> Column:

@@ -55,7 +55,10 @@ def bad_text(
         check(F.length(name) > limit, "too_long", name)
     for name in letters_only:
         check(~F.col(name).rlike("^[A-Za-z]+$"), "not_letters", name)
-    return raw.withColumn("reasons", F.concat_ws(",", *checks)).where(F.col("reasons") != "")
+    # Exploding the text, or nothing where it is empty, evaluates the checks once per row; a filter on
+    # the text would be moved below its projection and evaluate them twice.
+    found = F.array_remove(F.array(F.concat_ws(",", *checks)), "")
+    return raw.select("*", F.explode(found).alias("reasons"))
 
 
 def bad_ids(raw: DataFrame, col: str) -> DataFrame:

@@ -92,15 +92,21 @@ class Landing:
     def input(
         self,
         items: bool = True,
+        people: bool = True,
         since: dt.date | Column | None = None,
         until: dt.date | None = None,
     ) -> DataFrame:
-        """Appointment and billing rows. Without ``items`` the part table is not read at all."""
+        """Appointment and billing rows.
+
+        An inner join is carried out even when none of its columns are used. Each line item has one
+        part and one supplier, so a caller that needs no ``items`` or no ``people`` leaves that join out.
+        """
         rows = self._lines(since, until)
         if items:
             types = self.table("part").select(F.col("p_partkey").alias("_part"), F.col("p_type").alias("item"))
             rows = rows.join(types, "_part")
-        return self._located(rows.drop("_part").join(self._staff(), "staff_id"))
+        rows = rows.drop("_part")
+        return self._located(rows.join(self._staff(), "staff_id")) if people else rows
 
     def practitioner(self) -> DataFrame:
         return self._located(self._staff()).select(
@@ -153,12 +159,14 @@ class Landing:
         ]
         return self.spark.createDataFrame(rows, "holiday_date date")
 
-    def performance(self) -> DataFrame:
-        return self.input().select(
+    def performance(self, types: bool = True, names: bool = True) -> DataFrame:
+        """Performance sheet rows, with the appointment type and the practitioner name where needed."""
+        rows = self.input(items=types, people=names)
+        return rows.select(
             F.col("purchase_date").alias("appt_date"),
             F.col("staff_id").alias("practitioner_id"),
-            F.col("staff_name").alias("practitioner_name"),
-            F.col("item").alias("appt_type"),
+            *([F.col("staff_name").alias("practitioner_name")] if names else []),
+            *([F.col("item").alias("appt_type")] if types else []),
             F.col("actual_hour").alias("total_hours"),
             F.col("total").alias("total_income"),
         )

@@ -28,10 +28,7 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType, before:
 
     The choice is a subquery on the partition column, so only the chosen folder is read.
     """
-    if not table_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    full = T.StructType([*schema.fields, T.StructField("snapshot", T.IntegerType(), True)])
-    table = spark.read.schema(full).parquet(path)
+    table = _read_or_empty(spark, path, _with_ints(schema, "snapshot"))
     if before is not None:
         table = table.where(F.col("snapshot") < before)
     newest = table.agg(F.max("snapshot")).scalar()
@@ -41,12 +38,12 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType, before:
 def append_facts(df: DataFrame, path: str, batch: int, date_col: str = "date") -> None:
     """Append the fact rows of one load batch, partitioned by year, month and batch.
 
-    The rows of a month are brought together first, split by day, so that each task writes few files
-    and a heavy month is shared by several tasks.
+    The rebalance hint brings the rows of a month together before the write, so that each task writes
+    few files, and splits a month that is larger than the advised partition size.
     """
     (
         df.withColumns({"year": F.year(date_col), "month": F.month(date_col), "batch": F.lit(batch)})
-        .repartition("year", "month", date_col)
+        .hint("rebalance", "year", "month")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("year", "month", "batch")
@@ -56,11 +53,7 @@ def append_facts(df: DataFrame, path: str, batch: int, date_col: str = "date") -
 
 def read_facts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All fact rows, with the year and month partition columns for pruning."""
-    parts = [T.StructField(name, T.IntegerType(), True) for name in ("year", "month", "batch")]
-    full = T.StructType([*schema.fields, *parts])
-    if not table_exists(spark, path):
-        return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(path)
+    return _read_or_empty(spark, path, _with_ints(schema, "year", "month", "batch"))
 
 
 def export_targets(df: DataFrame, path: str, format: str = "csv") -> None:
@@ -72,12 +65,15 @@ def export_targets(df: DataFrame, path: str, format: str = "csv") -> None:
         writer.format(format).save(path)
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    """Whether the table folder holds any file."""
+def _with_ints(schema: T.StructType, *names: str) -> T.StructType:
+    return T.StructType([*schema.fields, *[T.StructField(name, T.IntegerType(), True) for name in names]])
+
+
+def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table under ``path``, or an empty one before its first write."""
     try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
