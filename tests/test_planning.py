@@ -239,3 +239,19 @@ def test_weekly_update_statuses(spark, rows):
         (1, 6, H("6.0"), "kept"),
         (2, 5, H("1.0"), "rejected"),
     ]
+
+
+def test_registered_plans_have_no_cross_join_and_push_the_mark_down(spark):
+    from pathlib import Path
+
+    from shiftledger.catalog import all_queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    if not Path(sf_dir).is_dir():
+        pytest.skip("no test tables")
+    for key in ("targets_set_weekday_plan", "targets_clone_latest_week", "fact_performance", "filter_high_watermark"):
+        plan = all_queries()[key](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan, key
+        if key == "filter_high_watermark":
+            scan = next(line for line in plan.splitlines() if "FileScan" in line and "l_extendedprice" in line)
+            assert "DataFilters" in scan and "Subquery" in scan
