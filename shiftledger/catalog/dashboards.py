@@ -258,7 +258,7 @@ def head_n(t: Landing) -> DataFrame:
 )
 def kpi_by_location_manager_staff(t: Landing) -> DataFrame:
     dims = star(t)
-    fact = facts.fact_performance(t.input(items=False), t.target(), dims.people, dims.places)
+    fact = facts.fact_performance(t.per_day(), t.target(), dims.people, dims.places)
     return kpi.by_location_manager_staff(fact, dims.people, dims.places)
 
 
@@ -279,7 +279,7 @@ def _by_period(kind: str) -> str:
 )
 def kpi_by_period(t: Landing) -> DataFrame:
     dims = star(t)
-    return kpi.by_period(facts.fact_performance(t.input(items=False), t.target(), dims.people, dims.places))
+    return kpi.by_period(facts.fact_performance(t.per_day(), t.target(), dims.people, dims.places))
 
 
 @query(
@@ -295,6 +295,6 @@ def kpi_by_period(t: Landing) -> DataFrame:
 def kpi_by_calendar(t: Landing) -> DataFrame:
     """By year and quarter of the date dimension."""
     dims = star(t)
-    fact = facts.fact_performance(t.input(items=False), t.target(), dims.people, dims.places)
+    fact = facts.fact_performance(t.per_day(), t.target(), dims.people, dims.places)
     days = dimensions.dim_date(t.input(items=False, people=False), "purchase_date")
     return kpi.by_calendar(fact, days, "year", "quarter")

@@ -78,10 +78,9 @@ def range_source_dates(t: Landing) -> DataFrame:
 def sink_full_refresh(t: Landing) -> DataFrame:
     """The practitioner dimension written twice in full; the newest snapshot is read back."""
     path = work_dir(t.spark, "dim_practitioner")
-    rows, old = t.input(items=False), t.input(items=False, until=p.SPLIT_DATE)
     places = stored_places(t)
-    for snapshot, source in enumerate((old, rows), start=1):
-        people = dimensions.first_practitioners(dimensions.members(source), places, p.EMAIL_DOMAIN)
+    for snapshot, seen in enumerate((t.members(until=p.SPLIT_DATE), t.members()), start=1):
+        people = dimensions.first_practitioners(seen, places, p.EMAIL_DOMAIN)
         writers.write_snapshot(people, path, snapshot)
     return writers.read_snapshot(t.spark, path, schemas.DIM_PRACTITIONER)
 

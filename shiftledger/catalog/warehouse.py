@@ -42,30 +42,26 @@ class Star:
 def star(t: Landing, items: bool = False) -> Star:
     """Locations and practitioners of all rows. The appointments are read once, for the members, which
     are kept as a table; the dimensions are built on that small table."""
-    found = dimensions.fill(dimensions.members(t.input(items=items)), schemas.MEMBERS)
-    members = stored(t, found, schemas.MEMBERS, "members")
+    members = stored(t, dimensions.fill(t.members(items), schemas.MEMBERS), schemas.MEMBERS, "members")
     places = dimensions.first_locations(members)
     return Star(members, places, dimensions.first_practitioners(members, places, p.EMAIL_DOMAIN))
 
 
 def old_people(t: Landing, places: DataFrame) -> DataFrame:
     """The practitioner dimension after the first batch."""
-    seen = dimensions.members(t.input(items=False, until=p.SPLIT_DATE))
-    dim = dimensions.first_practitioners(seen, places, p.EMAIL_DOMAIN)
+    dim = dimensions.first_practitioners(t.members(until=p.SPLIT_DATE), places, p.EMAIL_DOMAIN)
     return stored(t, dim, schemas.DIM_PRACTITIONER, "dim_practitioner")
 
 
 def stored_places(t: Landing) -> DataFrame:
-    return stored(t, dimensions.first_locations(t.input(items=False)), schemas.DIM_LOCATION, "dim_location")
+    return stored(t, dimensions.first_locations(t.members()), schemas.DIM_LOCATION, "dim_location")
 
 
 def new_members(t: Landing) -> DataFrame:
     """The members of the second batch, in which some staff report to another manager."""
     moved = F.col("account_balance") >= p.MIN_BALANCE_REASSIGNED
-    rows = t.input(items=False, since=p.SPLIT_DATE)
-    return dimensions.members(
-        rows.withColumn("manager", F.when(moved, p.REASSIGNED_MANAGER).otherwise(F.col("manager")))
-    )
+    manager = F.when(moved, p.REASSIGNED_MANAGER).otherwise(F.col("manager"))
+    return t.members(since=p.SPLIT_DATE).withColumn("manager", manager)
 
 
 def merged_people(t: Landing) -> DataFrame:
@@ -83,7 +79,7 @@ def appended_people(t: Landing) -> DataFrame:
 
 @query("dim_location", "SELECT * FROM dim_location", "dim_location")
 def dim_location(t: Landing) -> DataFrame:
-    return dimensions.first_locations(t.input(items=False))
+    return dimensions.first_locations(t.members())
 
 
 @query("dim_item", "SELECT * FROM dim_item", "dim_item")
@@ -93,7 +89,7 @@ def dim_item(t: Landing) -> DataFrame:
 
 @query("dim_practitioner", "SELECT * FROM dim_practitioner", "dim_practitioner")
 def dim_practitioner(t: Landing) -> DataFrame:
-    return dimensions.first_practitioners(dimensions.members(t.input(items=False)), stored_places(t), p.EMAIL_DOMAIN)
+    return dimensions.first_practitioners(t.members(), stored_places(t), p.EMAIL_DOMAIN)
 
 
 def _incremental_member_sql(kind: str) -> str:
@@ -117,7 +113,7 @@ def first_load(t: Landing, with_items: bool) -> DataFrame:
 def dim_location_incremental(t: Landing) -> DataFrame:
     """Locations unknown after the first load, with the next keys."""
     known = dimensions.first_locations(first_load(t, with_items=False))
-    return dimensions.add_locations(known, t.input(items=False)).select("location_id", "location_name")
+    return dimensions.add_locations(known, t.members()).select("location_id", "location_name")
 
 
 @query("dim_item_incremental", _incremental_member_sql("item"), "landing")
@@ -145,7 +141,7 @@ def distinct_members(t: Landing) -> DataFrame:
            is_current
     FROM dim_practitioner""", "dim_practitioner")
 def distinct_practitioners(t: Landing) -> DataFrame:
-    return dimensions.distinct_practitioners(t.input(items=False), stored_places(t), p.EMAIL_DOMAIN)
+    return dimensions.distinct_practitioners(t.members(), stored_places(t), p.EMAIL_DOMAIN)
 
 
 @query("surrogate_keys", """
@@ -200,7 +196,7 @@ def left_join_target_daily(t: Landing) -> DataFrame:
     "landing")
 def anti_new_dim_member(t: Landing) -> DataFrame:
     known = dimensions.first_locations(first_load(t, with_items=False))
-    seen = aggregates.distinct_members(t.input(items=False), "location")
+    seen = aggregates.distinct_members(t.members(), "location")
     return joins.new_members(seen, known, "location", "location_name")
 
 
@@ -244,7 +240,7 @@ def agg_daily_actuals(t: Landing) -> DataFrame:
 @query("fact_performance", "SELECT * FROM fact_performance", "fact_performance")
 def fact_performance(t: Landing) -> DataFrame:
     dims = star(t)
-    return facts.fact_performance(t.input(items=False), t.target(), dims.people, dims.places)
+    return facts.fact_performance(t.per_day(), t.target(), dims.people, dims.places)
 
 
 @query("fact_performance_dedup", """
@@ -273,7 +269,7 @@ def max_loaded_date(t: Landing) -> DataFrame:
 @query("incremental_fact_performance", "SELECT * FROM fact_performance_added", "fact_performance_added")
 def incremental_fact_performance(t: Landing) -> DataFrame:
     dims = star(t)
-    newer = t.input(items=False, since=loaded_mark(t).scalar())
+    newer = t.per_day(since=loaded_mark(t).scalar())
     return facts.fact_performance(newer, t.target(), dims.people, dims.places)
 
 

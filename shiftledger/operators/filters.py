@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -98,7 +97,3 @@ def mark_date(mark: DataFrame, lookback_days: int = 0) -> Column:
 def exact_key(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is among ``keys``."""
     return df.join(keys.select(*on), list(on), "left_semi")
-
-
-def on_or_before(df: DataFrame, col: str, last: dt.date) -> DataFrame:
-    return df.where(F.col(col) <= F.lit(last))

@@ -108,6 +108,40 @@ class Landing:
         rows = rows.drop("_part")
         return self._located(rows.join(self._staff(), "staff_id")) if people else rows
 
+    def per_day(self, since: dt.date | Column | None = None) -> DataFrame:
+        """Landing rows summed per staff member and day.
+
+        The location of a row follows from its staff member, so the line items are summed before the
+        staff table is joined. The sums stay partitioned by person and day, which is what the facts
+        group and join them by.
+        """
+        days = (
+            self._lines(since)
+            .groupBy("staff_id", "purchase_date")
+            .agg(F.sum("actual_hour").alias("actual_hour"), F.sum("total").alias("total"))
+        )
+        return self._located(days.join(self._staff(), "staff_id"))
+
+    def members(
+        self,
+        items: bool = False,
+        since: dt.date | Column | None = None,
+        until: dt.date | None = None,
+    ) -> DataFrame:
+        """Distinct dimension members of the landing rows with the newest day of each.
+
+        Only keys are grouped and shuffled; names are joined to the distinct keys.
+        """
+        newest = F.max("purchase_date").alias("purchase_date")
+        seen = self._lines(since, until)
+        if items:
+            types = self.table("part").select(F.col("p_partkey").alias("_part"), F.col("p_type").alias("item"))
+            pairs = seen.groupBy("staff_id", "_part").agg(newest).join(types, "_part")
+            found = pairs.groupBy("staff_id", "item").agg(newest)
+        else:
+            found = seen.groupBy("staff_id").agg(newest)
+        return self._located(found.join(self._staff(), "staff_id"))
+
     def practitioner(self) -> DataFrame:
         return self._located(self._staff()).select(
             F.col("staff_id").alias("practitioner_id"),

@@ -56,6 +56,24 @@ def test_sheets(spark, tmp_path):
         readers.read_performance(spark, str(path), format="xlsx")
 
 
+def test_planning_tables(spark, tmp_path):
+    text = {
+        "people": "Practitioner ID,Practitioner Name,Clinic Location,Manager Name\n1,Ann,North,Kim\n",
+        "weekly": "Practitioner ID,Appt. Type,Week,Target Income,Target Hour\n1,yoga,5,100,6\n",
+        "holidays": "holiday_date\n2024-07-01\n",
+    }
+    for name, content in text.items():
+        (tmp_path / f"{name}.csv").write_text(content)
+    people = readers.read_practitioners(spark, str(tmp_path / "people.csv"), format="csv")
+    weekly = readers.read_weekly_targets(spark, str(tmp_path / "weekly.csv"), format="csv")
+    holidays = readers.read_holidays(spark, str(tmp_path / "holidays.csv"), format="csv")
+    assert tuple(people.first()) == (1, "Ann", "North", "Kim")
+    assert tuple(weekly.first()) == (1, "yoga", 5, H("100.00"), H("6.0"))
+    assert tuple(holidays.first()) == (D(2024, 7, 1),)
+    people.write.parquet(str(tmp_path / "people"))
+    assert readers.read_practitioners(spark, str(tmp_path / "people")).collect() == people.collect()
+
+
 def test_snapshots(spark, tmp_path, rows):
     path = str(tmp_path / "dim")
     assert writers.read_snapshot(spark, path, schemas.DIM_LOCATION).count() == 0
