@@ -34,17 +34,16 @@ def stored(t: Landing, df: DataFrame, schema: T.StructType, name: str) -> DataFr
 class Star:
     """The dimensions that a fact load joins."""
 
-    members: DataFrame
     places: DataFrame
     people: DataFrame
 
 
-def star(t: Landing, items: bool = False) -> Star:
-    """Locations and practitioners of all rows. The appointments are read once, for the members, which
-    are kept as a table; the dimensions are built on that small table."""
-    members = stored(t, dimensions.fill(t.members(items), schemas.MEMBERS), schemas.MEMBERS, "members")
+def star(t: Landing) -> Star:
+    """Locations and practitioners of all rows. The members of the appointments are kept as a table, and
+    both dimensions are built on that small table."""
+    members = stored(t, dimensions.fill(t.members(), schemas.MEMBERS), schemas.MEMBERS, "members")
     places = dimensions.first_locations(members)
-    return Star(members, places, dimensions.first_practitioners(members, places, p.EMAIL_DOMAIN))
+    return Star(places, dimensions.first_practitioners(members, places, p.EMAIL_DOMAIN))
 
 
 def old_people(t: Landing, places: DataFrame) -> DataFrame:
@@ -257,8 +256,8 @@ def fact_performance_dedup(t: Landing) -> DataFrame:
 
 @query("fact_appointments", "SELECT * FROM fact_appointments", "fact_appointments")
 def fact_appointments(t: Landing) -> DataFrame:
-    dims = star(t, items=True)
-    return facts.fact_appointments(t.input(), dims.people, dims.places, dimensions.first_items(dims.members))
+    dims = star(t)
+    return facts.fact_appointments(t.input(), dims.people, dims.places, dimensions.first_items(t.input(people=False)))
 
 
 @query("max_loaded_date", "SELECT mark FROM mark", "mark")
@@ -275,6 +274,6 @@ def incremental_fact_performance(t: Landing) -> DataFrame:
 
 @query("incremental_fact_appointments", "SELECT * FROM fact_appointments_added", "fact_appointments_added")
 def incremental_fact_appointments(t: Landing) -> DataFrame:
-    dims = star(t, items=True)
+    dims = star(t)
     newer = t.input(since=loaded_mark(t).scalar())
-    return facts.fact_appointments(newer, dims.people, dims.places, dimensions.first_items(dims.members))
+    return facts.fact_appointments(newer, dims.people, dims.places, dimensions.first_items(t.input(people=False)))

@@ -122,25 +122,13 @@ class Landing:
         )
         return self._located(days.join(self._staff(), "staff_id"))
 
-    def members(
-        self,
-        items: bool = False,
-        since: dt.date | Column | None = None,
-        until: dt.date | None = None,
-    ) -> DataFrame:
-        """Distinct dimension members of the landing rows with the newest day of each.
+    def members(self, since: dt.date | Column | None = None, until: dt.date | None = None) -> DataFrame:
+        """The staff of the landing rows with name, manager, location and newest day.
 
-        Only keys are grouped and shuffled; names are joined to the distinct keys.
+        Only staff ids are grouped and shuffled; names are joined to the distinct ids.
         """
-        newest = F.max("purchase_date").alias("purchase_date")
-        seen = self._lines(since, until)
-        if items:
-            types = self.table("part").select(F.col("p_partkey").alias("_part"), F.col("p_type").alias("item"))
-            pairs = seen.groupBy("staff_id", "_part").agg(newest).join(types, "_part")
-            found = pairs.groupBy("staff_id", "item").agg(newest)
-        else:
-            found = seen.groupBy("staff_id").agg(newest)
-        return self._located(found.join(self._staff(), "staff_id"))
+        seen = self._lines(since, until).groupBy("staff_id").agg(F.max("purchase_date").alias("purchase_date"))
+        return self._located(seen.join(self._staff(), "staff_id"))
 
     def practitioner(self) -> DataFrame:
         return self._located(self._staff()).select(
