@@ -1 +1,8 @@
 """Operators for preparing training text. Nothing else in the library imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this subpackage go to the executors by value, so that these need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shiftledger.llm import mixing, quality, urls
+from shiftledger.llm import mixing, quality, urls, warc
 
 W = r"[^\x20\x09-\x0D]"
 S = r"[\x20\x09-\x0D]"
@@ -97,11 +97,24 @@ best AS (SELECT rid, first(rule ORDER BY n DESC, nh DESC, action DESC) AS rule,
 SELECT page_id, host, path, rule, coalesce(action, '{urls.DEFAULT}') AS verdict FROM split LEFT JOIN best USING (rid)"""
 
 
+def warc_sql() -> str:
+    hex5 = "('0x' || substr(x, {}, 5))::BIGINT"
+    parts = " || ".join(f"lpad(upper(to_base({hex5.format(1 + 5 * k)}, 32)), 4, '0')" for k in range(8))
+    return f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT page_id, payload_bytes, translate({parts}, '{warc.BASE32_HEX}', '{warc.BASE32}') AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f"""
+
+
 SQL = {
     "op3_url_filters": url_sql(),
     "op7_quality_rules": f"""WITH {quality_ctes()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
 CAST(n_removed AS BIGINT) AS n_removed, kept FROM q_judged""",
+    "op9_warc": warc_sql(),
     "op8_mixing": f"""WITH {mixing_ctes()}
 SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, repeats FROM m_mixed""",
 }

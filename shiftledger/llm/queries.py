@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from shiftledger.llm import mixing, pii, quality, urls
+from pyspark.sql import functions as F
+
+from shiftledger.llm import html, langid, mixing, pii, quality, urls, warc
 from shiftledger.llm.common import table
 
 
@@ -12,11 +14,19 @@ def op1_pii(spark, sf_dir):
     return pii.sanitise(docs.select("doc_id", "text")).select("doc_id", *names)
 
 
+def op2_html_extraction(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_url_filters(spark, sf_dir):
     judged = urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality.judge(docs).select("doc_id", *quality.RULES, "n_removed", "kept")
@@ -27,11 +37,26 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
+def op9_warc(spark, sf_dir):
+    found = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    about = F.col("metadata.fields")
+    return found.select(
+        about["page-id"].cast("long").alias("page_id"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.digest").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        about["refers-to-page"].cast("long").alias("refers_to"),
+    )
+
+
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_html_extraction": op2_html_extraction,
     "op3_url_filters": op3_url_filters,
+    "op5_language_id": op5_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
+    "op9_warc": op9_warc,
 }
 
 
