@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shiftledger.llm import html, langid, mixing, pii, quality, urls, warc
+from shiftledger.llm import decontam, html, langid, mixing, pii, quality, urls, warc
 from shiftledger.llm.common import table
 
 
@@ -27,6 +27,12 @@ def op5_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
 def op7_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality.judge(docs).select("doc_id", *quality.RULES, "n_removed", "kept")
@@ -54,6 +60,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_url_filters": op3_url_filters,
     "op5_language_id": op5_language_id,
+    "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
