@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -229,6 +230,17 @@ def indexes(items: DataFrame, item_id: str, text: str, threshold: float) -> Iter
         yield Index(held[span], span, threshold)
 
 
+def searcher(sent: Broadcast):
+    """A UDF over texts; what is sent is the index's state, as the executors have no copy of the class."""
+
+    def look(texts: pd.Series) -> pd.Series:
+        index = Index.__new__(Index)
+        index.__dict__.update(sent.value)
+        return pd.Series(index.hits(list(texts)), dtype=object)
+
+    return F.pandas_udf(look, HITS)
+
+
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -240,12 +252,7 @@ def contaminated(
     """``docs`` with the ``hits`` of each text: item, score, overlaps of question and answer, best passage."""
     found = []
     for index in indexes(items, item_id, item_text, threshold):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        def look(texts: pd.Series, sent=sent) -> pd.Series:
-            return pd.Series(sent.value.hits(list(texts)), dtype=object)
-
-        found.append(F.pandas_udf(look, HITS)(F.col(text)))
+        found.append(searcher(docs.sparkSession.sparkContext.broadcast(vars(index)))(F.col(text)))
     none = F.array().cast(HITS)
     hits = F.concat(*found) if len(found) > 1 else found[0] if found else none
     return docs.withColumn("hits", hits)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shiftledger.llm import decontam, html, langid, mixing, pii, quality, urls, warc
+from shiftledger.llm import ctw, decontam, html, langid, mixing, pii, quality, urls, warc
 from shiftledger.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op9_warc(spark, sf_dir):
     )
 
 
+def op10_lm_scoring(spark, sf_dir):
+    return ctw.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_html_extraction": op2_html_extraction,
@@ -64,6 +68,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 
