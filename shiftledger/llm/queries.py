@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shiftledger.llm import ctw, decontam, html, langid, mixing, pii, quality, urls, warc
+from shiftledger.llm import ctw, decontam, html, jaccard, langid, mixing, pii, quality, urls, warc
 from shiftledger.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op3_url_filters(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_ngram_jaccard(spark, sf_dir):
+    rows, _ = jaccard.join(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_html_extraction": op2_html_extraction,
     "op3_url_filters": op3_url_filters,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
