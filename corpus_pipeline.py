@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftledger.llm import mixing, pii, quality
+from shiftledger.llm import decontam, jaccard, mixing, pii, quality
 from shiftledger.llm.common import saved, table
 
 STAGES = [
     ("quality rules", quality.stage),
+    ("n-gram Jaccard join", jaccard.stage),
+    ("benchmark decontamination", decontam.stage),
     ("personal data", pii.stage),
     ("mixing", mixing.stage),
 ]
@@ -26,4 +28,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # block-max WAND and the term spans are not SQL; tests hold run() against a plain Python version

@@ -212,7 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = own.union(own.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(F.col("u").alias("u2")).agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u2"))
         large = both.join(low, F.col("u") == F.col("u2")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = saved(large.union(own.filter("false")).distinct(), "edges")
+        large = large.distinct()
         low = large.groupBy(F.col("u").alias("u2")).agg(F.min("v").alias("m"))
         joined = large.join(low, F.col("u") == F.col("u2"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u2", "m"))
@@ -225,7 +225,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked_sets(docs: DataFrame, n_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Slim rows (doc_id, text_key, sid, n_shingles) of ``docs`` (doc_id, text) and the labels of sets that link."""
+    """Slim rows (doc_id, text_key, sid, n_shingles) of ``docs`` (doc_id, text) and edges that connect what links."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     slim = saved(rows.mapInPandas(slim_rows(n_words), SLIM), "jaccard-slim")
@@ -279,7 +279,7 @@ def linked_sets(docs: DataFrame, n_words: int, percent: int) -> tuple[DataFrame,
     done = near.select(F.col("a").alias("a9"), F.col("b").alias("b9"))
     rest = rest.distinct().join(done, (F.col("a") == F.col("a9")) & (F.col("b") == F.col("b9")), "left_anti")
     more = saved(verified(saved(rest, "jaccard-rest"), sets, percent), "jaccard-more")
-    return slim, links.union(more)
+    return slim, labels.select("sid", "label").union(more.select("a", "b")).toDF("a", "b")
 
 
 def involved_sets(rows: DataFrame, slim: DataFrame, probes: DataFrame, leaders: DataFrame, n_words: int) -> DataFrame:
@@ -300,8 +300,8 @@ def involved_sets(rows: DataFrame, slim: DataFrame, probes: DataFrame, leaders:
 
 def join(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = N_WORDS, percent: int = PERCENT
-) -> tuple[DataFrame, DataFrame]:
-    """Per row of ``docs``: doc_id, text_key, sid, label, n_shingles, component_id; and the links found between sets."""
+) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_key, sid and label (the set's and the component's), n_shingles, component_id."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     slim, links = linked_sets(docs, n_words, percent)
     labels = saved(components(links), "jaccard-components")
@@ -312,4 +312,24 @@ def join(
     smallest = rows.filter("label IS NOT NULL").groupBy(F.col("label").alias("label2")).agg(F.min("doc_id").alias("low"))
     rows = rows.join(smallest, F.col("label") == F.col("label2"), "left")
     own = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("low"))
-    return rows.select("doc_id", "text_key", "sid", "label", "n_shingles", own.alias("component_id")), links
+    return rows.select("doc_id", "text_key", "sid", "label", "n_shingles", own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """``docs`` with one document of each component: of the smallest id, then text hash, then the other columns.
+
+    Documents without words have no component and all stay.
+    """
+    rows = join(docs, n_words=n_words, percent=percent).filter("label IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    kept = rows.groupBy("label").agg(first.alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.text_key").alias("__key"))
+    own = F.xxhash64("text")
+    chosen = docs.join(saved(kept, "jaccard-kept"), F.col("doc_id").eqNullSafe(F.col("__id")) & (own == F.col("__key")))
+    row = F.min(F.struct(*docs.columns)).alias("row")
+    without = docs.filter(F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
+    return chosen.groupBy("__id", "__key").agg(row).select("row.*").union(without)
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pipeline's stage: of near duplicates by five words and a similarity of 0.8 one stays."""
+    return one_of_each(docs, n_words=5, percent=80)

@@ -24,8 +24,7 @@ def op3_url_filters(spark, sf_dir):
 
 
 def op4_ngram_jaccard(spark, sf_dir):
-    rows, _ = jaccard.join(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_shingles", "component_id")
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_language_id(spark, sf_dir):
