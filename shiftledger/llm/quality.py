@@ -37,60 +37,71 @@ def has_word(line: Column) -> Column:
     return F.length(F.translate(line, SPACES, "")) > 0
 
 
+def let(value: Column, fn) -> Column:
+    """``fn`` of ``value``, which is computed once however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def neighbours(rows: Column, fn) -> Column:
     """``fn`` of each element and the next one."""
     n = F.greatest(F.size(rows) - 1, F.lit(0))
     return F.zip_with(F.slice(rows, F.lit(1), n), F.slice(rows, F.lit(2), n), fn)
 
 
-def with_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns of ``RULES``.
+def repeated_words(found: Column) -> Column:
+    """Words in windows of three that occur twice or more.
 
-    For ``n_repeat_words``, the hashes of all windows of three words are sorted with their positions; equal
-    neighbours are the windows found again. Their positions, sorted, cover three words each, less what the
-    next one covers too. Each step is a column of its own, so that no lambda computes an array anew.
+    The windows' hashes are sorted with their places; equal neighbours are windows found again. Their places,
+    sorted, cover three words each, less what the next one covers too.
     """
+
+    def windows(w: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(w) - 3)
+        return F.transform(places, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+    def ordered(h: Column) -> Column:
+        return F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+
+    def again(s: Column) -> Column:
+        no = F.array(F.lit(False))
+        return let(
+            neighbours(s, lambda a, b: a["h"] == b["h"]),
+            lambda equal: F.filter(
+                F.zip_with(s, F.zip_with(F.concat(no, equal), F.concat(equal, no), lambda a, b: a | b), lambda x, m: F.when(m, x["i"])),
+                lambda x: x.isNotNull(),
+            ),
+        )
+
+    def covered(places: Column) -> Column:
+        steps = neighbours(places, lambda a, b: F.least(b - a, F.lit(3)))
+        return F.aggregate(steps, F.lit(3), lambda total, x: total + x)
+
+    def of_hashes(h: Column) -> Column:
+        return F.when(
+            F.size(h) > F.size(F.array_distinct(h)),
+            let(ordered(h), lambda s: let(F.sort_array(again(s)), covered)),
+        ).otherwise(0)
+
+    return let(found, lambda w: F.when(F.size(w) > 3, let(windows(w), of_hashes)).otherwise(0))
+
+
+def with_rules(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the columns of ``RULES``."""
     own = [c for c in docs.columns if c not in RULES]
     full = filled(text)
     lines = F.filter(F.split(full, "\n"), has_word)
-    base = docs.select(*own, words(full).alias("__w"), lines.alias("__l"))
-    base = base.select(
+    found = docs.select(
         *own,
-        "__w",
-        F.size("__w").cast("long").alias("n_words"),
+        F.size(words(full)).cast("long").alias("n_words"),
         F.length(F.translate(full, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(full) - F.length(F.translate(full, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.sequence(F.lit(0), F.greatest(F.size("__w") - 3, F.lit(0))).alias("__i"),
-    )
-    kept = [*own, "n_words", "word_chars", "n_symbols", "n_dup_lines"]
-    base = base.select(
-        *kept,
-        "__i",
-        F.transform(
-            "__i", lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2))
-        ).alias("__h"),
-    )
-    base = base.select(
-        *kept,
-        F.when(
-            F.size("__h") > F.size(F.array_distinct("__h")),
-            F.sort_array(F.zip_with("__h", "__i", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-        ).alias("__s"),
-    )
-    base = base.select(*kept, "__s", neighbours(F.col("__s"), lambda a, b: a["h"] == b["h"]).alias("__e"))
-    no = F.array(F.lit(False))
-    marks = F.zip_with(F.concat(no, "__e"), F.concat("__e", no), lambda a, b: a | b)
-    found = F.filter(F.zip_with("__s", marks, lambda x, m: F.when(m, x["i"])), lambda x: x.isNotNull())
-    base = base.select(*kept, F.sort_array(found).alias("__p"))
-    covered = F.aggregate(
-        neighbours(F.col("__p"), lambda a, b: F.least(b - a, F.lit(3))), F.lit(3), lambda total, x: total + x
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        repeated_words(words(full)).cast("long").alias("n_repeat_words"),
     )
-    base = base.select(*kept, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
-    return base.withColumn("base_failed", failed)
+    return found.withColumn("base_failed", failed)
 
 
 def document_key(doc_id: str, text: str, host: str) -> tuple[Column, Column]:
