@@ -43,7 +43,7 @@ SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 # Elements by their part in a page.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "select", "button"}
-INLINE = set("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr script style noscript template".split())
 CONTAINERS = set("html head body nav header footer aside form article main section div ul ol dl table figure fieldset dialog menu".split())
 IMPLIED = {"p", "li", "dt", "dd"}
 BOILERPLATE = set("head nav header footer aside form dialog menu fieldset".split())

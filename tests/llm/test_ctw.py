@@ -1,0 +1,119 @@
+import math
+import re
+from collections import Counter, defaultdict
+from zlib import crc32
+
+from cases import LONG, doc, documents, none, plain
+
+from shiftledger.llm import ctw
+
+
+def trained(doc_id):
+    return crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 != 2
+
+
+class Tree:
+    """Context-tree weighting, recursively, over all contexts that training saw."""
+
+    def __init__(self, texts, depth):
+        self.depth = depth
+        self.counts = defaultdict(lambda: [0, 0])
+        self.children = defaultdict(set)
+        for t in texts:
+            data = bytes(depth) + t + b"\0"
+            for i in range(depth, len(data)):
+                for step in range(8):
+                    made, bit = (1 << step) | (data[i] >> (8 - step)), (data[i] >> (7 - step)) & 1
+                    for d in range(depth + 1):
+                        context = data[i - d : i]
+                        self.counts[made, context][bit] += 1
+                        if d:
+                            self.children[made, context[1:]].add(context)
+        self.known = {}
+
+    def own(self, made, context):
+        a, b = self.counts.get((made, context), (0, 0))
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def weighted(self, made, context):
+        if (made, context) not in self.known:
+            x = self.own(made, context)
+            if len(context) < self.depth:
+                y = sum(self.weighted(made, c) for c in self.children[made, context])
+                x = max(x, y) + math.log1p(math.exp(-abs(x - y))) - math.log(2)
+            self.known[made, context] = x
+        return self.known[made, context]
+
+    def predict(self, made, data, i, d=0):
+        """Probability of a one."""
+        context = data[i - d : i]
+        if (made, context) not in self.counts:
+            return 0.5
+        a, b = self.counts[made, context]
+        p = (b + 0.5) / (a + b + 1)
+        if d == self.depth:
+            return p
+        stop = 0.5 * math.exp(self.own(made, context) - self.weighted(made, context))
+        return stop * p + (1 - stop) * self.predict(made, data, i, d + 1)
+
+    def score(self, t):
+        data, total = bytes(self.depth) + t + b"\0", 0.0
+        for i in range(self.depth, len(data)):
+            for step in range(8):
+                p = self.predict((1 << step) | (data[i] >> (8 - step)), data, i)
+                total += math.log10(p if (data[i] >> (7 - step)) & 1 else 1 - p)
+        return total
+
+
+def words(text):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return [*re.findall(r"[^\x20\x09-\x0D]+", text), None]
+
+
+def compared(rows, found):
+    learnt = [r["text"] for r in rows if trained(r["doc_id"])]
+    counts = Counter(w for t in learnt for w in words(t))
+    n, v = counts.total(), len(counts)
+    tree = Tree([(t or "").encode() for t in learnt], ctw.DEPTH)
+    expected = []
+    for r in rows:
+        own = words(r["text"])
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own)
+        score = tree.score((r["text"] or "").encode())
+        known = sum(counts[w] > 0 for w in own)
+        expected.append((str(r["doc_id"]), not trained(r["doc_id"]), len(own), known, n, round(base, 5), round(score, 5)))
+    got = [
+        (str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5))
+        for r in found
+    ]
+    assert sorted(got) == sorted(expected)
+
+
+def cases(spark):
+    docs = documents(spark).filter("doc_id IS NULL OR doc_id <> 7")
+    more = [doc(100 + k, f"Él dijo: «{plain(k, 12)}» ÄÖ X{k} the end THE End") for k in range(20)]
+    return docs.union(spark.createDataFrame([*more, doc(200, "a\0b"), doc(201, LONG[:3000])], docs.schema))
+
+
+def test_scores_equal_the_plain_ones(spark, monkeypatch):
+    docs = cases(spark)
+    compared(docs.collect(), ctw.score(docs).collect())
+    # Few words broadcast, short chunks and a table with many collisions change nothing.
+    for name, value in {"HOT_WORDS": 3, "CHUNK_BYTES": 300, "FLUSH_WORDS": 10, "FLUSH_GRAMS": 50, "TABLE_BITS": 4}.items():
+        monkeypatch.setattr(ctw, name, value)
+    compared(docs.collect(), ctw.score(docs.repartition(3)).collect())
+
+
+def test_learnt_text_is_cheaper(spark):
+    rows = [doc(k, f"the same kind of sentence again and again, number {k}. " * 4) for k in range(60)]
+    rows.append(doc(1002, "zq xj vw kp " * 12))
+    found = {r["doc_id"]: r for r in ctw.score(spark.createDataFrame(rows, documents(spark).schema)).collect()}
+    assert found[5]["bits_per_byte"] < 1 < 5 < found[1002]["bits_per_byte"]
+
+
+def test_nothing_learnt_and_empty_table(spark):
+    assert ctw.score(none(spark)).count() == 0
+    held = next(k for k in range(100) if not trained(k))
+    row = ctw.score(spark.createDataFrame([doc(held, "ab")], documents(spark).schema)).first()
+    assert (row["n_known"], row["train_tokens"], row["base_score"]) == (0, 0, 0.0)
+    assert abs(row["score"] - 24 * math.log10(0.5)) < 1e-9 and row["bits_per_byte"] == 8.0

@@ -1,0 +1,91 @@
+import random
+import re
+
+import pytest
+from cases import doc, documents, none, plain
+
+from shiftledger.llm import jaccard
+
+
+def shingle_set(text, n):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1)))
+
+
+def joined(rows, n, percent):
+    """Components by comparing all pairs."""
+    sets = [shingle_set(t, n) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    low = {}
+    for i, (doc_id, _) in enumerate(rows):
+        ids = [x for x in (low.get(find(i)), doc_id) if x is not None]
+        low[find(i)] = min(ids) if ids else None
+    return sorted((doc_id or -1, len(sets[i]), low[find(i)] or -1) for i, (doc_id, _) in enumerate(rows))
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        at = rng.randrange(len(words))
+        words[at : at + rng.randrange(2)] = [f"e{rng.randrange(10**6)}"] * rng.randrange(2)
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
+def test_components_equal_all_pairs(spark, n, percent):
+    rng = random.Random(n)
+    texts = []
+    for k in range(12):  # groups of copies with ever more edits, some of them copies of copies
+        words = plain(k, 40 + 15 * k).split()
+        for edits in (0, 0, 1, 1, 2, 3, 4, 6, 8):
+            texts.append(edited(rng, words, edits))
+            texts.append(edited(rng, texts[-1].split(), 2))
+    passage = plain(70, 30)
+    texts += [f"{passage} {plain(100 + k, 5 + k)}" for k in range(40)]  # a shared passage, weak and strong links
+    texts += [" ".join(plain(71, 200).split()[: 60 + k]) for k in range(0, 140, 3)]  # a chain by size
+    rng.shuffle(texts)
+    docs = documents(spark).union(spark.createDataFrame([doc(1000 + k, t) for k, t in enumerate(texts)], documents(spark).schema))
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    found = jaccard.join(docs.repartition(5), n_words=n, percent=percent).collect()
+    assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in found) == joined(rows, n, percent)
+
+
+def test_group_of_copies_costs_no_pairs(spark, monkeypatch):
+    """Comparisons with leaders grow with the group; all pairs of the group would be 44 850."""
+    rng = random.Random(5)
+    words = plain(5, 150).split()
+    texts = [" ".join(words), *[edited(rng, words, 1) for _ in range(299)]]
+    docs = spark.createDataFrame([doc(k, t) for k, t in enumerate(texts)], documents(spark).schema)
+    rows, saved = {}, jaccard.saved
+
+    def counted(df, name):
+        found = saved(df, name)
+        rows[name] = found.count()
+        return found
+
+    monkeypatch.setattr(jaccard, "saved", counted)
+    assert [r["component_id"] for r in jaccard.join(docs).select("component_id").distinct().collect()] == [0]
+    assert rows["jaccard-near"] + rows["jaccard-rest"] < 3000
+
+
+def test_stage_keeps_one_of_each(spark):
+    docs = documents(spark)
+    kept = jaccard.stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    ids = sorted((r["doc_id"] or -1) for r in kept.collect())
+    assert ids == [-1, -1, 1, 4, 5, 6, 7, 8, 10, 12, 13, 14]
+    assert jaccard.stage(spark, none(spark), "").count() == 0
+    assert jaccard.join(none(spark)).count() == 0

@@ -1,0 +1,60 @@
+import re
+from collections import Counter
+
+from cases import doc, documents, none, plain
+
+from shiftledger.llm import quality
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def rules(text):
+    """The fixed rules, written out plainly."""
+    text = text or ""
+    words = re.findall(WORD, text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    often = Counter(windows)
+    repeated = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(WORD, x)]
+    return (
+        len(words),
+        sum(map(len, words)),
+        sum(c in "#*$%&|<>" for c in text),
+        len(lines) - len(set(lines)),
+        len(repeated),
+        len(words) < 50 or 100 * len(repeated) > 50 * len(words),
+    )
+
+
+def test_rules_equal_the_plain_ones(spark):
+    docs = documents(spark)
+    found = quality.judge(docs)
+    assert found.columns == [c for c in docs.columns if c != "kept"] + [*quality.RULES, "n_removed", "cleaned", "kept"]
+    for row in found.collect():
+        assert tuple(row[c] for c in quality.RULES) == rules(row["text"]), row["doc_id"]
+        assert row["kept"] is not row["base_failed"] and row["n_removed"] == 0 and row["cleaned"] == row["text"]
+    assert found.count() == docs.count()
+
+
+def test_boilerplate_goes_and_depleted_documents_with_it(spark):
+    banner = "Subscribe to our letter number 12 today please"
+    rows = [doc(k, f"{banner.replace('12', str(k))}\n{plain(k)}") for k in range(30)]
+    rows += [doc(100 + k, plain(500)) for k in range(30)]  # copies count as one document
+    rows.append(doc(200, "\n".join([banner] * 12)))
+    rows.append(doc(201, f"{banner}\n{plain(201)}", source="other"))
+    many = [plain(900 + k, 7) for k in range(9)]
+    rows += [doc(300 + k, "\n".join([*many, plain(300 + k, 60)])) for k in range(20)]
+    rows.append(doc(400, "\n".join([*many, "closing words"])))
+    docs = spark.createDataFrame(rows, documents(spark).schema)
+    found = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert found[3]["cleaned"] == plain(3) and found[3]["n_removed"] == 8 and found[3]["kept"]
+    assert found[110]["cleaned"] == plain(500) and found[110]["kept"]
+    assert found[201]["n_removed"] == 0 and found[201]["kept"]
+    assert found[305]["kept"] and found[305]["n_removed"] == 63
+    assert not found[400]["base_failed"] and not found[400]["kept"]
+    kept = {r["doc_id"]: r for r in quality.stage(spark, docs, "").collect()}
+    assert kept[3]["text"] == plain(3) and kept[3]["n_chars"] == len(plain(3)) and 400 not in kept
+
+
+def test_empty_table(spark):
+    assert quality.judge(none(spark)).count() == 0
