@@ -162,13 +162,13 @@ def filter_weekday_in_plan(t: Landing) -> DataFrame:
 )
 def filter_high_watermark(t: Landing) -> DataFrame:
     """Rows newer than the newest row of the first batch."""
-    rows = t.input(items=False, people=False, since=loaded_mark(t).scalar())
+    rows = t.input(items=False, people=False, since=loaded_mark(t))
     return rows.select("staff_id", "purchase_date", "total", "actual_hour")
 
 
 def loaded_mark(t: Landing) -> DataFrame:
     """The mark after the first batch. Each landing row with a staff id gives a fact row on its date, so
-    the newest date of the batch is the newest date of its facts."""
+    the newest date of the batch is the newest date of its facts. ``max_loaded_date`` takes it from the fact."""
     return max_loaded_date(t.input(items=False, people=False, until=p.SPLIT_DATE), p.DEFAULT_MARK, "purchase_date")
 
 

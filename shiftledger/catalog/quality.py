@@ -10,6 +10,7 @@ from shiftledger import params as p
 from shiftledger import schemas
 from shiftledger.catalog.base import query
 from shiftledger.catalog.views import day
+from shiftledger.catalog.warehouse import appended_people
 from shiftledger.functions import dates
 from shiftledger.operators import quality
 from shiftledger.sources.mapping import Landing
@@ -69,6 +70,22 @@ def dq_date_range(t: Landing) -> DataFrame:
     return quality.bad_date_ranges(requests, p.AS_OF)
 
 
+def _repeated_versions(key: str) -> str:
+    return f"SELECT {key}, count(*) AS row_count FROM dim_appended WHERE is_current GROUP BY {key} HAVING count(*) > 1"
+
+
+@query("dq_unique_email", _repeated_versions("email"), "dim_appended")
+def dq_unique_email(t: Landing) -> DataFrame:
+    """E-mail addresses of several current practitioner rows, before superseded versions are closed."""
+    return quality.duplicate_keys(appended_people(t).where("is_current"), ["email"])
+
+
+@query("dq_unique_practitioner", _repeated_versions("practitioner_id"), "dim_appended")
+def dq_unique_practitioner(t: Landing) -> DataFrame:
+    """Practitioner ids of several current rows, before superseded versions are closed."""
+    return quality.duplicate_keys(appended_people(t).where("is_current"), ["practitioner_id"])
+
+
 @query(
     "dq_unique_key",
     """

@@ -49,11 +49,11 @@ def scan_weekly_target(t: Landing) -> DataFrame:
 
 @query(
     "scan_holidays",
-    "SELECT holiday_date FROM holidays WHERE year(holiday_date) IN (SELECT year(purchase_date) FROM landing)",
-    "holidays landing",
+    "SELECT holiday_date FROM holidays",
+    "holidays",
 )
 def scan_holidays(t: Landing) -> DataFrame:
-    return t.holidays_of_data()
+    return t.holidays()
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from shiftledger import params as p
@@ -11,15 +13,16 @@ from shiftledger.sources.mapping import Landing
 from shiftledger.streaming import activity
 
 
-def run(t: Landing, stream: DataFrame, name: str) -> DataFrame:
+def run(t: Landing, job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Weeks and sessions are cut in the zone of the session, which has to be UTC as the stored times are; the
+    session gets its own zone back after the run."""
     folder = work_dir(t.spark, name)
-    return activity.run_available(stream, f"{folder}/table", f"{folder}/checkpoint")
-
-
-def utc(t: Landing) -> Landing:
-    """Weeks and sessions are cut in the zone of the session, which has to be UTC as the stored times are."""
+    zone = t.spark.conf.get("spark.sql.session.timeZone")
     t.spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return t
+    try:
+        return activity.run_available(job(t.activity_stream()), f"{folder}/table", f"{folder}/checkpoint")
+    finally:
+        t.spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 @query(
@@ -33,7 +36,7 @@ def utc(t: Landing) -> Landing:
 )
 def stream_weekly_actuals(t: Landing) -> DataFrame:
     """Hours per week and practitioner; the weeks that the watermark has closed."""
-    return run(t, activity.weekly_actuals(utc(t).activity_stream(), p.STREAM_DELAY), "weekly_actuals")
+    return run(t, lambda stream: activity.weekly_actuals(stream, p.STREAM_DELAY), "weekly_actuals")
 
 
 @query(
@@ -52,4 +55,4 @@ def stream_weekly_actuals(t: Landing) -> DataFrame:
 )
 def stream_activity_sessions(t: Landing) -> DataFrame:
     """Sessions of practitioners; those that the watermark has closed."""
-    return run(t, activity.sessions(utc(t).activity_stream(), p.SESSION_DELAY, p.SESSION_GAP), "sessions")
+    return run(t, lambda stream: activity.sessions(stream, p.SESSION_DELAY, p.SESSION_GAP), "sessions")

@@ -105,9 +105,13 @@ _SET = f"""
     FROM slots s JOIN (VALUES {_PLAN_ROWS}) plan(weekday, hour) ON dayname(s.target_date) = plan.weekday"""
 
 
+def plan_holidays(t: Landing) -> DataFrame:
+    return t.holidays(p.YEAR_START, p.YEAR_END)
+
+
 def set_plan(t: Landing) -> DataFrame:
     return planning.set_weekday_plan(
-        t.practitioner(), t.target_update(), t.holidays(), p.YEAR_START, p.YEAR_END, p.WEEKDAY_PLAN
+        t.practitioner(), t.target_update(), plan_holidays(t), p.YEAR_START, p.YEAR_END, p.WEEKDAY_PLAN
     )
 
 
@@ -183,7 +187,9 @@ _LATEST = """(SELECT * FROM target_update
     "slots target_update holidays",
 )
 def targets_clone_latest_week(t: Landing) -> DataFrame:
-    return planning.clone_latest_week(t.practitioner(), t.target_update(), t.holidays(), p.YEAR_START, p.YEAR_END)
+    return planning.clone_latest_week(
+        t.practitioner(), t.target_update(), plan_holidays(t), p.YEAR_START, p.YEAR_END
+    )
 
 
 @query(
@@ -294,8 +300,9 @@ def targets_load_period_year(t: Landing) -> DataFrame:
     SELECT * FROM (WITH change AS (
         SELECT practitioner_id, practitioner_name, CAST(d AS DATE) AS target_date, target_hour,
                {stamp(p.CHANGED_AT)} AS updated_at
-        FROM (SELECT practitioner_id, practitioner_name, max_by(target_hour, target_date) AS target_hour
-              FROM ({_period("month")}) GROUP BY ALL), {_days(p.PLAN_START, p.PLAN_END)})
+        FROM (SELECT practitioner_id, max_by(practitioner_name, target_date) AS practitioner_name,
+                     max_by(target_hour, target_date) AS target_hour
+              FROM ({_period("month")}) GROUP BY practitioner_id), {_days(p.PLAN_START, p.PLAN_END)})
     {_UPSERT})""",
     "target_update practitioner",
 )

@@ -1,7 +1,7 @@
 """SQL views that the oracle statements share.
 
-They spell out each table in the plainest form, independent of how the Spark side computes it: facts
-join raw rows and group afterwards, keys are numbered by one window over all members.
+They spell out each table by its rule, independent of how the Spark side computes it; keys are numbered by
+one window over all members.
 """
 
 from __future__ import annotations
@@ -31,45 +31,57 @@ _PERSON_DIGEST = (
 
 
 def _numbered_people(source: str) -> str:
+    """Rule: a member is a distinct (id, name, manager, place); keys count members in the order of their digest."""
     return f"""
-        SELECT row_number() OVER (ORDER BY {_PERSON_DIGEST}, practitioner_id) AS practitioner_dim_id,
-               practitioner_id, practitioner_name,
-               lower(replace(practitioner_name, ' ', '.')) || '@{p.EMAIL_DOMAIN}' AS email,
-               CAST(NULL AS VARCHAR) AS contract_type, manager_name, location_id, location_name,
-               CAST(NULL AS DATE) AS effective_start_date, CAST(NULL AS DATE) AS effective_end_date,
-               TRUE AS is_current
-        FROM (SELECT DISTINCT staff_id AS practitioner_id, staff_name AS practitioner_name,
-                     manager AS manager_name, d.location_id, d.location_name
-              FROM {source} i JOIN dim_location d ON i.location = d.location_name
-              WHERE staff_id IS NOT NULL)"""
+        WITH members AS (
+            SELECT location AS location_name, manager AS manager_name, staff_id AS practitioner_id,
+                   staff_name AS practitioner_name
+            FROM {source} GROUP BY ALL HAVING staff_id IS NOT NULL)
+        SELECT row_number() OVER by_digest AS practitioner_dim_id, practitioner_id, practitioner_name,
+               concat(lower(replace(practitioner_name, ' ', '.')), '@', '{p.EMAIL_DOMAIN}') AS email,
+               NULL::VARCHAR AS contract_type, manager_name, location_id, location_name,
+               NULL::DATE AS effective_start_date, NULL::DATE AS effective_end_date, true AS is_current
+        FROM members NATURAL JOIN (SELECT location_id, location_name FROM dim_location)
+        WINDOW by_digest AS (ORDER BY {_PERSON_DIGEST}, practitioner_id)"""
+
+
+def _keyed(rows: str, people: str) -> str:
+    """``rows`` with natural keys staff_id and place, given their surrogate keys; rows without a member are left out."""
+    return f"""
+        (SELECT * FROM {rows}
+         NATURAL JOIN (SELECT practitioner_id AS staff_id, practitioner_dim_id FROM {people} WHERE is_current)
+         NATURAL JOIN (SELECT location_name AS place, location_id FROM dim_location))"""
 
 
 def _fact_performance(rows: str, people: str) -> str:
+    """Rule: what a person worked at a place on a day counts once for each target row of that person and day,
+    and once without any; the targets of the day are added up. Sums of nothing are 0."""
+    worked = f"""
+        (SELECT staff_id, location AS place, purchase_date AS date, sum(actual_hour) AS hours, sum(total) AS billed
+         FROM {rows} GROUP BY ALL)"""
     return f"""
-        SELECT a.purchase_date AS date, p.practitioner_dim_id, l.location_id,
-               CAST(coalesce(sum(t.target_hour), 0) AS DECIMAL(18,1)) AS target_hour,
-               CAST(coalesce(sum(a.total_actual_hour), 0) AS DECIMAL(18,1)) AS actual_hour,
-               CAST(coalesce(sum(a.total_billing), 0) AS DECIMAL(22,1)) AS total_billing
-        FROM (SELECT purchase_date, staff_id, location, sum(actual_hour) AS total_actual_hour,
-                     sum(total) AS total_billing
-              FROM {rows} GROUP BY ALL) a
-        JOIN {people} p ON a.staff_id = p.practitioner_id AND p.is_current
-        JOIN dim_location l ON a.location = l.location_name
-        LEFT JOIN target t ON a.staff_id = t.staff_id AND a.purchase_date = t.appt_date
-        GROUP BY a.purchase_date, p.practitioner_dim_id, l.location_id"""
+        WITH planned AS (SELECT staff_id, appt_date AS date, count(*) AS times, sum(target_hour) AS hours_planned
+                         FROM target GROUP BY ALL)
+        SELECT date, practitioner_dim_id, location_id,
+               CAST(sum(coalesce(hours_planned, 0)) AS DECIMAL(18,1)) AS target_hour,
+               CAST(sum(coalesce(hours * coalesce(times, 1), 0)) AS DECIMAL(18,1)) AS actual_hour,
+               CAST(sum(coalesce(billed * coalesce(times, 1), 0)) AS DECIMAL(22,1)) AS total_billing
+        FROM {_keyed(worked, people)} LEFT JOIN planned USING (staff_id, date)
+        GROUP BY ALL"""
 
 
 def _fact_appointments(rows: str, people: str) -> str:
+    """Rule: rows with an item, counted and summed per day, person, place and item."""
+    counted = f"""
+        (SELECT staff_id, location AS place, purchase_date AS date, item AS item_name, count(*) AS n,
+                sum(actual_hour) AS hours, sum(total) AS billed
+         FROM {rows} WHERE item IS NOT NULL GROUP BY ALL)"""
     return f"""
-        SELECT i.purchase_date AS date, p.practitioner_dim_id, l.location_id, it.item_id,
-               count(i.item) AS number_appointments,
-               CAST(coalesce(sum(i.actual_hour), 0) AS DECIMAL(18,1)) AS actual_hour,
-               CAST(coalesce(sum(i.total), 0) AS DECIMAL(22,1)) AS total_billing
-        FROM {rows} i
-        JOIN {people} p ON i.staff_id = p.practitioner_id AND p.is_current
-        JOIN dim_location l ON i.location = l.location_name
-        JOIN dim_item it ON i.item = it.item_name
-        GROUP BY i.purchase_date, p.practitioner_dim_id, l.location_id, it.item_id"""
+        SELECT date, practitioner_dim_id, location_id, item_id, CAST(sum(n) AS BIGINT) AS number_appointments,
+               CAST(sum(coalesce(hours, 0)) AS DECIMAL(18,1)) AS actual_hour,
+               CAST(sum(coalesce(billed, 0)) AS DECIMAL(22,1)) AS total_billing
+        FROM {_keyed(counted, people)} NATURAL JOIN (SELECT item_id, item_name FROM dim_item)
+        GROUP BY ALL"""
 
 
 # name -> (views it reads, statement), in order of dependence
@@ -109,7 +121,8 @@ VIEWS: dict[str, tuple[str, str]] = {
         "",
         f"""
         SELECT make_date(y, m, d) AS holiday_date
-        FROM range(1995, 2002) years(y) CROSS JOIN (VALUES {_MONTH_DAYS}) days(m, d)""",
+        FROM (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS y FROM lineitem WHERE l_shipdate IS NOT NULL)
+        CROSS JOIN (VALUES {_MONTH_DAYS}) days(m, d)""",
     ),
     "perf": (
         "landing",

@@ -262,18 +262,21 @@ def fact_appointments(t: Landing) -> DataFrame:
 
 @query("max_loaded_date", "SELECT mark FROM mark", "mark")
 def max_loaded_date(t: Landing) -> DataFrame:
-    return loaded_mark(t)
+    """The newest date in the fact of the first batch."""
+    dims = star(t)
+    loaded = facts.fact_performance(t.per_day(until=p.SPLIT_DATE), t.target(), dims.people, dims.places)
+    return aggregates.max_loaded_date(loaded, p.DEFAULT_MARK)
 
 
 @query("incremental_fact_performance", "SELECT * FROM fact_performance_added", "fact_performance_added")
 def incremental_fact_performance(t: Landing) -> DataFrame:
     dims = star(t)
-    newer = t.per_day(since=loaded_mark(t).scalar())
-    return facts.fact_performance(newer, t.target(), dims.people, dims.places)
+    newer = t.per_day(since=loaded_mark(t))
+    return facts.fact_performance(newer, t.target(since=loaded_mark(t)), dims.people, dims.places)
 
 
 @query("incremental_fact_appointments", "SELECT * FROM fact_appointments_added", "fact_appointments_added")
 def incremental_fact_appointments(t: Landing) -> DataFrame:
     dims = star(t)
-    newer = t.input(since=loaded_mark(t).scalar())
+    newer = t.input(since=loaded_mark(t))
     return facts.fact_appointments(newer, dims.people, dims.places, dimensions.first_items(t.input(people=False)))

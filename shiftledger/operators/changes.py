@@ -16,8 +16,17 @@ from shiftledger.operators.aggregates import last_writer
 from shiftledger.operators.joins import PERSON_DAY
 
 
+def one_per_key(change: DataFrame, keys: Sequence[str], order: Sequence[str] = ("updated_at",)) -> DataFrame:
+    """The last change of each key by ``order``, as far as the change has those columns; ties and changes without
+    them go to the greatest other values. Repeated keys so leave one row, whatever the order of the input."""
+    first = [c for c in order if c in change.columns]
+    rest = [c for c in change.columns if c not in keys and c not in first]
+    return last_writer(change, list(keys), [*first, *rest])
+
+
 def upsert(current: DataFrame, change: DataFrame, keys: Sequence[str] = PERSON_DAY) -> DataFrame:
-    """Insert the change, replacing rows with the same key. ``change`` has one row per key."""
+    """Insert the change, replacing rows with the same key; of repeated keys in the change the last counts."""
+    change = one_per_key(change, keys)
     kept = current.join(change.select(*keys), list(keys), "left_anti")
     return kept.select(*current.columns).unionByName(change.select(*current.columns))
 
@@ -26,7 +35,7 @@ def upsert_log(
     current: DataFrame, changes: DataFrame, keys: Sequence[str] = PERSON_DAY, order: Sequence[str] = ("updated_at",)
 ) -> DataFrame:
     """Upsert of a change log that may hold several changes per key; the last one wins."""
-    return upsert(current, last_writer(changes, list(keys), list(order)), keys)
+    return upsert(current, one_per_key(changes, keys, order), keys)
 
 
 def update(
@@ -34,9 +43,9 @@ def update(
 ) -> DataFrame:
     """Overwrite ``values`` where the key matches; changes without a match are ignored.
 
-    ``change`` has one row per key.
+    Of repeated keys in the change the last counts.
     """
-    news = change.select(*keys, *[F.col(v).alias(f"_new_{v}") for v in values], F.lit(True).alias("_hit"))
+    news = one_per_key(change, keys).select(*keys, *[F.col(v).alias(f"_new_{v}") for v in values], F.lit(True).alias("_hit"))
     joined = current.join(news, list(keys), "left")
     return joined.select(
         *[

@@ -36,7 +36,8 @@ def run_daily(
         return read_snapshot(spark, path[name], TABLES[name], before=batch)
 
     def now(name: str) -> DataFrame:
-        return read_snapshot(spark, path[name], TABLES[name])
+        """This batch's own snapshot, also when a later batch has been loaded before."""
+        return read_snapshot(spark, path[name], TABLES[name], at=batch)
 
     write_snapshot(dimensions.members(landing), path["members"], batch)
     seen = now("members")

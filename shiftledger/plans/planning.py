@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shiftledger.functions import dates
 from shiftledger.operators.aggregates import latest_date
-from shiftledger.operators.changes import update, upsert
+from shiftledger.operators.changes import one_per_key, upsert
 from shiftledger.operators.filters import between_dates, pick_group, weekday_in_plan
 from shiftledger.operators.joins import PERSON_DAY, person_days, with_practitioner_details
 from shiftledger.operators.ordering import by_name_and_date
@@ -224,9 +224,9 @@ def clone_over_range(
     targets: DataFrame, source: DataFrame, start: dt.date, end: dt.date, updated_at: Column
 ) -> DataFrame:
     """The target table after each person's newest source hour is written on every day of the range."""
-    hours = source.groupBy("practitioner_id", "practitioner_name").agg(
-        F.max_by("target_hour", "target_date").alias("target_hour")
-    )
+    newest = F.max(F.struct("target_date", "target_hour", "practitioner_name")).alias("_newest")
+    hours = source.groupBy("practitioner_id").agg(newest)  # one row per person, also after a change of name
+    hours = hours.select("practitioner_id", "_newest.practitioner_name", "_newest.target_hour")
     change = person_days(hours, start, end).withColumn("updated_at", updated_at)
     return upsert(targets, change)
 
@@ -254,17 +254,15 @@ def edit_changes(targets: DataFrame, edits: DataFrame) -> DataFrame:
 def edit_all(
     targets: DataFrame, people: DataFrame, start: dt.date, end: dt.date, hour: float, updated_at: Column
 ) -> DataFrame:
-    """The target table after one hour is written to all targets of the people in the range."""
-    change = (
-        between_dates(targets, "target_date", start, end)
-        .join(people.select("practitioner_id"), "practitioner_id", "left_semi")
-        .select(
-            *PERSON_DAY,
-            F.lit(hour).cast("decimal(5,1)").alias("target_hour"),
-            updated_at.alias("updated_at"),
-        )
-    )
-    return update(targets, change, ["target_hour", "updated_at"])
+    """The target table after one hour is written to all targets of the people in the range.
+
+    The rows are changed where they stand: the only join is with the people.
+    """
+    picked = people.select(F.col("practitioner_id").alias("_id")).distinct()
+    hit = F.col("_id").isNotNull() & F.col("target_date").between(F.lit(start), F.lit(end))
+    news = {"target_hour": F.lit(hour).cast("decimal(5,1)"), "updated_at": updated_at}
+    joined = targets.join(picked, F.col("practitioner_id") == F.col("_id"), "left")
+    return joined.select(*[F.when(hit, news[c]).otherwise(F.col(c)).alias(c) if c in news else c for c in targets.columns])
 
 
 WEEKLY_KEY = ("practitioner_id", "week", "appt_type")
@@ -273,19 +271,21 @@ WEEKLY_KEY = ("practitioner_id", "week", "appt_type")
 def update_weekly_targets(weekly_target: DataFrame, change: DataFrame) -> DataFrame:
     """Weekly targets after a change of income and hours, with a status per row.
 
-    Rows are ``kept`` or ``updated``; a change whose key does not exist is ``rejected``.
+    Rows are ``kept`` or ``updated``, also to null; a change whose key does not exist is ``rejected``. Of several
+    changes of a key the last by ``updated_at`` counts, or without that column the greatest. Only the change is
+    shuffled while it is small enough to be broadcast.
     """
-    news = change.select(
+    last = one_per_key(change, WEEKLY_KEY)
+    news = last.select(
         *WEEKLY_KEY, F.col("target_income").alias("_income"), F.col("target_hour").alias("_hour"), F.lit(True).alias("_new")
     )
-    stored = weekly_target.withColumn("_stored", F.lit(True))
-    both = stored.join(news, list(WEEKLY_KEY), "full_outer")
-    return both.select(
+    stored = weekly_target.join(news, list(WEEKLY_KEY), "left").select(
         *WEEKLY_KEY,
-        F.coalesce("_income", "target_income").alias("target_income"),
-        F.coalesce("_hour", "target_hour").alias("target_hour"),
-        F.when(F.col("_stored").isNull(), "rejected")
-        .when(F.col("_new"), "updated")
-        .otherwise("kept")
-        .alias("status"),
+        F.when(F.col("_new"), F.col("_income")).otherwise(F.col("target_income")).alias("target_income"),
+        F.when(F.col("_new"), F.col("_hour")).otherwise(F.col("target_hour")).alias("target_hour"),
+        F.when(F.col("_new"), "updated").otherwise("kept").alias("status"),
+    )
+    rejected = last.join(weekly_target.select(*WEEKLY_KEY), list(WEEKLY_KEY), "left_anti").select(
+        *WEEKLY_KEY, "target_income", "target_hour", F.lit("rejected").alias("status")
     )
+    return stored.unionByName(rejected)

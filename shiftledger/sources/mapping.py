@@ -69,14 +69,17 @@ class Landing:
         )
         return staff.join(F.broadcast(places), "_nation").drop("_nation")
 
-    def _lines(self, since: dt.date | Column | None = None, until: dt.date | None = None) -> DataFrame:
+    def _lines(self, since: dt.date | DataFrame | None = None, until: dt.date | None = None) -> DataFrame:
         """Line items under landing names, optionally after ``since`` and up to ``until``.
 
-        The bounds are set on the stored timestamp, so that they reach the Parquet scan.
+        The bounds are set on the stored timestamp, so that they reach the Parquet scan. A ``since`` that is a
+        one-row table of a mark becomes a scalar subquery with the arithmetic inside, compared with as it is.
         """
         lines = self.table("lineitem")
         shipped = F.col("l_shipdate")
-        if since is not None:
+        if isinstance(since, DataFrame):
+            lines = lines.where(shipped >= since.select(F.date_add("mark", 1).cast("timestamp_ntz")).scalar())
+        elif since is not None:
             lines = lines.where(shipped >= F.date_add(dates.as_col(since), 1).cast("timestamp_ntz"))
         if until is not None:
             lines = lines.where(shipped < F.date_add(dates.as_col(until), 1).cast("timestamp_ntz"))
@@ -93,7 +96,7 @@ class Landing:
         self,
         items: bool = True,
         people: bool = True,
-        since: dt.date | Column | None = None,
+        since: dt.date | DataFrame | None = None,
         until: dt.date | None = None,
     ) -> DataFrame:
         """Appointment and billing rows.
@@ -108,7 +111,7 @@ class Landing:
         rows = rows.drop("_part")
         return self._located(rows.join(self._staff(), "staff_id")) if people else rows
 
-    def per_day(self, since: dt.date | Column | None = None) -> DataFrame:
+    def per_day(self, since: dt.date | DataFrame | None = None, until: dt.date | None = None) -> DataFrame:
         """Landing rows summed per staff member and day.
 
         The location of a row follows from its staff member, so the line items are summed before the
@@ -116,13 +119,13 @@ class Landing:
         group and join them by.
         """
         days = (
-            self._lines(since)
+            self._lines(since, until)
             .groupBy("staff_id", "purchase_date")
             .agg(F.sum("actual_hour").alias("actual_hour"), F.sum("total").alias("total"))
         )
         return self._located(days.join(self._staff(), "staff_id"))
 
-    def members(self, since: dt.date | Column | None = None, until: dt.date | None = None) -> DataFrame:
+    def members(self, since: dt.date | DataFrame | None = None, until: dt.date | None = None) -> DataFrame:
         """The staff of the landing rows with name, manager, location and newest day.
 
         Only staff ids are grouped and shuffled; names are joined to the distinct ids.
@@ -141,13 +144,13 @@ class Landing:
     def _with_target(self) -> DataFrame:
         return self._staff().where(F.col("account_balance") >= params.MIN_BALANCE_WITH_TARGET)
 
-    def target(self) -> DataFrame:
+    def target(self, since: dt.date | DataFrame | None = None) -> DataFrame:
         """One row per staff member and worked day other than Sunday, for staff with targets.
 
         The days are made distinct before the names are joined, so only keys are shuffled.
         """
         days = (
-            self._lines()
+            self._lines(since)
             .where(dates.weekday_index("purchase_date") < 6)
             .select("staff_id", F.col("purchase_date").alias("appt_date"))
             .distinct()
@@ -166,20 +169,14 @@ class Landing:
             timestamp(params.UPDATED_AT).alias("updated_at"),
         )
 
-    def holidays_of_data(self) -> DataFrame:
-        """The statutory holidays of every year in the data."""
-        year = self._lines().select(F.year("purchase_date").alias("year")).distinct()
+    def holidays(self, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
+        """The statutory holidays of the years of a range, or of every year in the data."""
+        if start and end:
+            year = self.spark.range(start.year, end.year + 1).select(F.col("id").cast("int").alias("year"))
+        else:
+            year = self._lines().select(F.year("purchase_date").alias("year")).distinct()
         days = [F.make_date("year", F.lit(m), F.lit(d)) for m, d in params.HOLIDAY_MONTH_DAYS]
-        return year.select(F.explode(F.array(*days)).alias("holiday_date"))
-
-    def holidays(self, start: dt.date = dt.date(1995, 1, 1), end: dt.date = dt.date(2001, 12, 31)) -> DataFrame:
-        """The statutory holidays of a range of years, as a planner enters them."""
-        rows = [
-            (dt.date(year, m, d),)
-            for year in range(start.year, end.year + 1)
-            for m, d in params.HOLIDAY_MONTH_DAYS
-        ]
-        return self.spark.createDataFrame(rows, "holiday_date date")
+        return year.select(F.explode(F.array(*days)).alias("holiday_date")).where(F.col("holiday_date").isNotNull())
 
     def performance(self, types: bool = True, names: bool = True) -> DataFrame:
         """Performance sheet rows, with the appointment type and the practitioner name where needed."""
@@ -215,15 +212,14 @@ class Landing:
     def activity(self) -> DataFrame:
         return activity_of(self.table("events"))
 
-    def activity_stream(self, files_per_trigger: int = 64) -> DataFrame:
-        """The event table as a stream; each micro-batch takes a bounded number of files."""
-        stream = (
-            self.spark.readStream.schema(TABLES["events"])
-            .option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(self.sf_dir)
-        )
-        return activity_of(stream)
+    def activity_stream(self) -> DataFrame:
+        """The event table, a file or a folder of files, as a stream.
+
+        All files that are there form one batch. Files are not in the order of time, so with several batches
+        the watermark of one would make rows of the next late, and their number would decide the result. The
+        path is a pattern, as the source takes a single file only by one.
+        """
+        return activity_of(self.spark.readStream.schema(TABLES["events"]).parquet(f"{self.sf_dir}/events.parque[t]"))
 
 
 def activity_of(events: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Readers for the landing, planning and dashboard tables.
 
 Parquet is read with its declared schema. CSV is read as text, its header names are normalised and
-each declared column is converted, so blanks and dots in names or column order do not matter.
+each declared column is converted, so blanks and dots in names or column order do not matter; all files
+of one folder must have the same header.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with header, every column as text under its normalised name."""
-    return normalise_columns(spark.read.csv(path, header=True))
+    """A CSV file or folder with header, every column as text under its normalised name.
+
+    A file of the folder whose header differs from the others' raises when it is read.
+    """
+    return normalise_columns(spark.read.csv(path, header=True, enforceSchema=False))
 
 
 def conform(

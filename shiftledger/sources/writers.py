@@ -23,12 +23,16 @@ def write_snapshot(df: DataFrame, path: str, snapshot: int) -> None:
     )
 
 
-def read_snapshot(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """The newest snapshot, or the newest one older than ``before``; empty when there is none.
+def read_snapshot(
+    spark: SparkSession, path: str, schema: T.StructType, before: int | None = None, at: int | None = None
+) -> DataFrame:
+    """The newest snapshot, the newest one older than ``before``, or the one ``at``; empty when there is none.
 
-    The choice is a subquery on the partition column, so only the chosen folder is read.
+    The newest value is a subquery on the partition column; the rows are read from the chosen folder only.
     """
     table = _read_or_empty(spark, path, _with_ints(schema, "snapshot"))
+    if at is not None:
+        return table.where(F.col("snapshot") == at).drop("snapshot")
     if before is not None:
         table = table.where(F.col("snapshot") < before)
     newest = table.agg(F.max("snapshot")).scalar()
