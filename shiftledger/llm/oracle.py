@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shiftledger.llm import mixing, quality, urls, warc
+from shiftledger.llm import jaccard, mixing, pii, quality, urls, warc
 
 W = r"[^\x20\x09-\x0D]"
 S = r"[\x20\x09-\x0D]"
@@ -97,6 +97,78 @@ best AS (SELECT rid, first(rule ORDER BY n DESC, nh DESC, action DESC) AS rule,
 SELECT page_id, host, path, rule, coalesce(action, '{urls.DEFAULT}') AS verdict FROM split LEFT JOIN best USING (rid)"""
 
 
+def jaccard_sql() -> str:
+    n, percent = jaccard.N_WORDS, jaccard.PERCENT
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all({lower("coalesce(text, '')")}, '{W}+') AS ws FROM documents),
+s AS (SELECT DISTINCT rid, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {n} THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' ')) END) AS shingle FROM d),
+sizes AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+pairs AS (SELECT a.rid AS x, b.rid AS y, count(*) AS meet FROM s a JOIN s b ON a.shingle = b.shingle AND a.rid < b.rid GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes a ON a.rid = x JOIN sizes b ON b.rid = y
+  WHERE 100 * meet >= {percent} * (a.n + b.n - meet)),
+steps AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT rid AS x, rid AS y FROM d UNION SELECT reach.x, steps.y FROM reach JOIN steps ON reach.y = steps.x),
+low AS (SELECT reach.x AS rid, min(doc_id) AS component_id FROM reach JOIN d ON d.rid = reach.y GROUP BY reach.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN low USING (rid) LEFT JOIN sizes USING (rid)"""
+
+
+def pii_sql() -> str:
+    """Base spans and terms; positions are the lengths of what stands before, added up."""
+    patterns = (
+        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        r"[0-9](?:[\x20-]?[0-9])+",
+        r"\+[0-9][\x20().0-9-]+[0-9]",
+    )
+
+    def found(k: int, pattern: str) -> str:
+        step = f"(?s)(.*?)({pattern})"
+        return f"""SELECT rid, {k} AS k, unnest(regexp_extract_all(t, '{step}', 0)) AS step,
+          unnest(regexp_extract_all(t, '{step}', 2)) AS v, unnest(range(len(regexp_extract_all(t, '{step}', 2)))) AS i FROM d"""
+
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = (
+        f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN"
+        f" CAST(reverse({digits})[i] AS INTEGER) ELSE CAST(reverse({digits})[i] AS INTEGER) * 2"
+        f" - CASE WHEN CAST(reverse({digits})[i] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+    )
+    everything = " UNION ALL ".join(found(k, x) for k, x in enumerate((*patterns, r"\p{L}+")))
+    term = rf"\p{{L}}{{{pii.MIN_TERM},}}"
+    names = "['" + "', '".join((*pii.KINDS, "term")) + "']"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+raw AS ({everything}),
+placed AS (SELECT rid, k, v, sum(length(step)) OVER (PARTITION BY rid, k ORDER BY i) AS e FROM raw),
+valid AS (SELECT rid, k, v, CAST(e - length(v) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM placed WHERE CASE k
+  WHEN 0 THEN true
+  WHEN 1 THEN len(list_filter(string_split(v, '.'), lambda x: CAST(x AS HUGEINT) > 255)) = 0
+  WHEN 2 THEN length({digits}) BETWEEN 14 AND 19 AND {luhn}
+  WHEN 3 THEN length({digits}) BETWEEN 10 AND 15
+  ELSE length(v) >= {pii.MIN_TERM} END),
+base AS (SELECT * FROM valid WHERE k < 4),
+sides AS (SELECT CASE k WHEN 0 THEN '0:' || {lower("v")} WHEN 1 THEN '1:' || v ELSE k || ':' || {digits} END AS entity,
+  CASE WHEN s > {pii.NEAR} THEN regexp_replace(t[s - {pii.NEAR} + 1:s], '^\p{{L}}+', '') ELSE t[1:s] END || chr(32) || chr(10) || chr(32) ||
+  CASE WHEN e + {pii.NEAR} < length(t) THEN regexp_replace(t[e + 1:e + {pii.NEAR}], '\p{{L}}+$', '') ELSE t[e + 1:] END AS around
+  FROM base JOIN d USING (rid)),
+near AS (SELECT DISTINCT entity, around, unnest(regexp_extract_all({lower("around")}, '{term}')) AS term FROM sides),
+pairs AS (SELECT entity, term, count(DISTINCT around) AS meet FROM near GROUP BY ALL HAVING count(DISTINCT around) >= {pii.MIN_CONTEXTS}),
+entities AS (SELECT entity, count(DISTINCT around) AS of_entity FROM near GROUP BY entity),
+terms AS (SELECT {lower("v")} AS term, count(DISTINCT rid) AS of_term FROM valid WHERE k = 4 GROUP BY ALL),
+flagged AS (SELECT DISTINCT term FROM pairs JOIN entities USING (entity) JOIN terms USING (term),
+  (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents)
+  WHERE ln(n / of_entity) > 0 AND ln(meet * n / (of_entity * of_term)) >= {pii.THRESHOLD} * ln(n / of_entity)),
+said AS (SELECT * FROM valid WHERE k = 4 AND {lower("v")} IN (SELECT term FROM flagged)
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = valid.rid AND b.s < valid.e AND valid.s < b.e)),
+spans AS (SELECT rid, k, s, e, {names}[k + 1] || ':' || s || ':' || e AS span FROM base
+  UNION ALL SELECT rid, k, s, e, {names}[k + 1] || ':' || s || ':' || e FROM said),
+told AS (SELECT rid, string_agg(span, ',' ORDER BY s, k, e) AS spans, string_agg(span, ',' ORDER BY s, k, e) FILTER (k < 4) AS base_spans,
+  {", ".join(f"count(*) FILTER (k = {k}) AS n_{name}" for k, name in enumerate((*pii.KINDS, "term")))} FROM spans GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name in (*pii.KINDS, "term"))},
+sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (rid)"""
+
+
 def warc_sql() -> str:
     hex5 = "('0x' || substr(x, {}, 5))::BIGINT"
     parts = " || ".join(f"lpad(upper(to_base({hex5.format(1 + 5 * k)}, 32)), 4, '0')" for k in range(8))
@@ -110,10 +182,12 @@ CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS
 
 
 SQL = {
+    "op1_pii": pii_sql(),
     "op3_url_filters": url_sql(),
     "op7_quality_rules": f"""WITH {quality_ctes()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
 CAST(n_removed AS BIGINT) AS n_removed, kept FROM q_judged""",
+    "op4_ngram_jaccard": jaccard_sql(),
     "op9_warc": warc_sql(),
     "op8_mixing": f"""WITH {mixing_ctes()}
 SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, repeats FROM m_mixed""",
