@@ -249,6 +249,7 @@ def head_n(t: Landing) -> DataFrame:
     f"""
     SELECT *, {_ratio('actual_hour', 'target_hour')} AS performance_ratio
     FROM (SELECT l.location_name, p.manager_name, p.practitioner_name,
+                 CAST(3 - bit_count(GROUPING(l.location_name, p.manager_name, p.practitioner_name)) AS INTEGER) AS level,
                  CAST(sum(actual_hour) AS DECIMAL(28,1)) AS actual_hour,
                  CAST(sum(target_hour) AS DECIMAL(28,1)) AS target_hour
           FROM fact_performance f JOIN dim_practitioner p ON f.practitioner_dim_id = p.practitioner_dim_id

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftledger.functions import dates
 from shiftledger.functions.values import ratio
-from shiftledger.operators.aggregates import null_profile, weekly_performance
+from shiftledger.operators.aggregates import weekly_performance
 from shiftledger.operators.filters import row_security
 from shiftledger.operators.joins import (
     with_weekly_target,
@@ -102,7 +102,43 @@ def practitioner_weekly_type(
 
 
 def practitioner_null_profile(perf, weekly_target, role, practitioner_id=None) -> DataFrame:
-    return null_profile(practitioner_weekly_type(perf, weekly_target, role, practitioner_id))
+    """Nulls in each column of ``practitioner_weekly_type``, without making its rows.
+
+    A person's week gives actual types x target types rows, so each side is counted per week and person and the
+    counts are multiplied; a week without a target gives its actual rows once, with nulls for the target.
+    """
+    key = ["week", "practitioner_id"]
+    actual = weekly_by_type(row_security(perf, role, practitioner_id))
+    wanted = row_security(weekly_target, role, practitioner_id)
+
+    def nulls(df: DataFrame, *names: str) -> list[Column]:
+        return [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in names if c in df.columns]
+
+    rows = F.count(F.lit(1))
+    of_actual = actual.groupBy(*key).agg(
+        rows.alias("a"),
+        F.count_if(F.col("total_hours").isNotNull()).alias("with_hours"),
+        *nulls(actual, "appt_type", "total_hours", "total_income"),
+    )
+    of_wanted = wanted.groupBy(*key).agg(
+        rows.alias("b"),
+        F.count_if(F.col("target_hour") != 0).alias("with_target"),
+        F.count_if(F.col("appt_type").isNull()).alias("null_appt_type_target"),
+        *nulls(wanted, "target_income", "target_hour"),
+    )
+    both = of_actual.join(of_wanted, key, "left").withColumn("times", F.coalesce("b", F.lit(1)))
+    counts = {
+        "week": F.when(F.col("week").isNull(), F.col("a") * F.col("times")),
+        "practitioner_id": F.when(F.col("practitioner_id").isNull(), F.col("a") * F.col("times")),
+        "appt_type_actual": F.col("null_appt_type") * F.col("times"),
+        "total_hours": F.col("null_total_hours") * F.col("times"),
+        "total_income": F.col("null_total_income") * F.col("times"),
+        "appt_type_target": F.col("a") * F.coalesce("null_appt_type_target", F.lit(1)),
+        "target_income": F.col("a") * F.coalesce("null_target_income", F.lit(1)),
+        "target_hour": F.col("a") * F.coalesce("null_target_hour", F.lit(1)),
+        "performance_ratio": F.col("a") * F.col("times") - F.col("with_hours") * F.coalesce("with_target", F.lit(0)),
+    }
+    return both.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(name) for name, n in counts.items()])
 
 
 def practitioner_by_type(
@@ -126,7 +162,8 @@ def practitioner_week_head(perf: DataFrame, weekly_target: DataFrame, practition
 def by_location_manager_staff(fact: DataFrame, dim_practitioner: DataFrame, dim_location: DataFrame) -> DataFrame:
     """Actual and target hours by location, manager and practitioner with subtotals.
 
-    The facts are summed per dimension key before the joins, and the subtotals are built on that
+    ``level`` tells how many of the three a row is of: 0 is the total, 3 a single practitioner. A member without
+    a name so differs from a subtotal. The facts are summed per dimension key before the joins, and the subtotals are built on that
     small result.
     """
     summed = fact.groupBy("practitioner_dim_id", "location_id").agg(
@@ -141,6 +178,7 @@ def by_location_manager_staff(fact: DataFrame, dim_practitioner: DataFrame, dim_
         .agg(
             F.sum("actual_hour").cast("decimal(28,1)").alias("actual_hour"),
             F.sum("target_hour").cast("decimal(28,1)").alias("target_hour"),
+            (3 - F.bit_count(F.grouping_id())).cast("int").alias("level"),
         )
         .withColumn("performance_ratio", ratio("actual_hour", "target_hour"))
     )

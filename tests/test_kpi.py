@@ -73,6 +73,7 @@ def test_own_rows_against_targets_of_any_type(perf, wanted):
     assert mine.count() == 2 * 2 + 1
     assert kpi.practitioner_weekly_type(perf, wanted, "guest").count() == 0
     profile = kpi.practitioner_null_profile(perf, wanted, "master").first()
+    assert profile == aggregates.null_profile(kpi.practitioner_weekly_type(perf, wanted, "master")).first()
     assert (profile.week, profile.target_hour, profile.performance_ratio) == (0, 1, 2)
 
 
@@ -112,6 +113,9 @@ def test_rollup_levels(spark, rows):
     found = kpi.by_location_manager_staff(fact, people, places)
     assert found.count() == 1 + 1 + 2 + 2
     assert found.where("location_name is null").first().actual_hour == H("7.0")
+    unnamed = spark.createDataFrame([(1, None, "Ann"), (2, None, "Bo")], people.schema)
+    levels = kpi.by_location_manager_staff(fact, unnamed, places)
+    assert sorted(r.level for r in levels.where("manager_name is null").collect()) == [0, 1, 2, 3, 3]
     assert found.where("manager_name = 'Kim' and practitioner_name is null").first().performance_ratio == 0.5
 
 
