@@ -36,14 +36,17 @@ class Star:
 
     places: DataFrame
     people: DataFrame
+    items: DataFrame | None = None
 
 
-def star(t: Landing) -> Star:
-    """Locations and practitioners of all rows. The members of the appointments are kept as a table, and
-    both dimensions are built on that small table."""
-    members = stored(t, dimensions.fill(t.members(), schemas.MEMBERS), schemas.MEMBERS, "members")
+def star(t: Landing, items: bool = False) -> Star:
+    """Locations, practitioners and, if asked for, items of all rows. The members of the appointments are kept
+    as a table from one pass, and all dimensions are built on that small table."""
+    found = dimensions.members(t.input()) if items else t.members()
+    members = stored(t, dimensions.fill(found, schemas.MEMBERS), schemas.MEMBERS, "members")
     places = dimensions.first_locations(members)
-    return Star(places, dimensions.first_practitioners(members, places, p.EMAIL_DOMAIN))
+    people = dimensions.first_practitioners(members, places, p.EMAIL_DOMAIN)
+    return Star(places, people, dimensions.first_items(members) if items else None)
 
 
 def old_people(t: Landing, places: DataFrame) -> DataFrame:
@@ -256,8 +259,8 @@ def fact_performance_dedup(t: Landing) -> DataFrame:
 
 @query("fact_appointments", "SELECT * FROM fact_appointments", "fact_appointments")
 def fact_appointments(t: Landing) -> DataFrame:
-    dims = star(t)
-    return facts.fact_appointments(t.input(), dims.people, dims.places, dimensions.first_items(t.input(people=False)))
+    dims = star(t, items=True)
+    return facts.fact_appointments(t.input(), dims.people, dims.places, dims.items)
 
 
 @query("max_loaded_date", "SELECT mark FROM mark", "mark")
@@ -277,6 +280,6 @@ def incremental_fact_performance(t: Landing) -> DataFrame:
 
 @query("incremental_fact_appointments", "SELECT * FROM fact_appointments_added", "fact_appointments_added")
 def incremental_fact_appointments(t: Landing) -> DataFrame:
-    dims = star(t)
+    dims = star(t, items=True)
     newer = t.input(since=loaded_mark(t))
-    return facts.fact_appointments(newer, dims.people, dims.places, dimensions.first_items(t.input(people=False)))
+    return facts.fact_appointments(newer, dims.people, dims.places, dims.items)
