@@ -136,7 +136,7 @@ def judge(
     min_docs: int = MIN_DOCS,
 ) -> DataFrame:
     """``docs`` with the rules' columns, ``n_removed`` words on boilerplate lines, ``cleaned`` text and ``kept``."""
-    lines = document_lines(docs, doc_id, text, host)
+    lines = saved(document_lines(docs, doc_id, text, host), "quality-lines")  # read three times
     often = saved(boilerplate_lines(lines, host_percent, min_docs), "boilerplate")
     often = often.select(F.col("host").alias("host2"), F.col("line").alias("line2"))
     found = lines.join(often, (F.col("line") == F.col("line2")) & F.col("host").eqNullSafe(F.col("host2")))
