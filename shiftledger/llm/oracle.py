@@ -149,8 +149,9 @@ valid AS (SELECT rid, k, v, CAST(e - length(v) AS BIGINT) AS s, CAST(e AS BIGINT
   ELSE length(v) >= {pii.MIN_TERM} END),
 base AS (SELECT * FROM valid WHERE k < 4),
 sides AS (SELECT CASE k WHEN 0 THEN '0:' || {lower("v")} WHEN 1 THEN '1:' || v ELSE k || ':' || {digits} END AS entity,
-  CASE WHEN s > {pii.NEAR} THEN regexp_replace(t[s - {pii.NEAR} + 1:s], '^\p{{L}}+', '') ELSE t[1:s] END || chr(32) || chr(10) || chr(32) ||
-  CASE WHEN e + {pii.NEAR} < length(t) THEN regexp_replace(t[e + 1:e + {pii.NEAR}], '\p{{L}}+$', '') ELSE t[e + 1:] END AS around
+  regexp_replace(CASE WHEN s > {pii.NEAR} THEN regexp_replace(t[s - {pii.NEAR} + 1:s], '^\p{{L}}+', '') ELSE t[1:s] END, '\p{{L}}+$', '')
+  || chr(32) || chr(10) || chr(32) ||
+  regexp_replace(CASE WHEN e + {pii.NEAR} < length(t) THEN regexp_replace(t[e + 1:e + {pii.NEAR}], '\p{{L}}+$', '') ELSE t[e + 1:] END, '^\p{{L}}+', '') AS around
   FROM base JOIN d USING (rid)),
 near AS (SELECT DISTINCT entity, around, unnest(regexp_extract_all({lower("around")}, '{term}')) AS term FROM sides),
 pairs AS (SELECT entity, term, count(DISTINCT around) AS meet FROM near GROUP BY ALL HAVING count(DISTINCT around) >= {pii.MIN_CONTEXTS}),

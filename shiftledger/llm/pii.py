@@ -106,19 +106,27 @@ def text_key(text: str) -> Column:
 
 
 def contexts(found: DataFrame, text: str) -> DataFrame:
-    """A row per entity, different context and term in it. Words cut by the end of the context don't count."""
+    """A row per text, entity, context and term in it. Words cut by the context or its entity don't count."""
     full = filled(text)
-    rows = found.select(full.alias("text"), F.explode("__base").alias("x"))
+    rows = found.select(text_key(text).alias("key"), full.alias("text"), F.explode("__base").alias("x"))
     s, e = F.col("x.s"), F.col("x.e")
-    before = F.substr("text", F.greatest(s - NEAR + 1, F.lit(1)), F.least(s, F.lit(NEAR)))
-    after = F.substr("text", e + 1, F.lit(NEAR))
+    before = F.regexp_replace(F.substr("text", F.greatest(s - NEAR + 1, F.lit(1)), F.least(s, F.lit(NEAR))), r"\p{L}+$", "")
+    after = F.regexp_replace(F.substr("text", e + 1, F.lit(NEAR)), r"^\p{L}+", "")
     before = F.when(s > NEAR, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
     after = F.when(e + NEAR < F.length("text"), F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
     compact = F.when(F.col("x.k") == 0, lower_ascii(F.col("x.v"))).when(F.col("x.k") == 1, F.col("x.v"))
     entity = F.concat(F.col("x.k").cast("string"), F.lit(":"), F.coalesce(compact, digits(F.col("x.v"))))
-    rows = rows.select(entity.alias("entity"), F.concat(before, F.lit(" \n "), after).alias("around"))
-    rows = rows.select("entity", F.xxhash64("around").alias("context"), F.array_distinct(terms(F.col("around"))).alias("t"))
-    return rows.select("entity", "context", F.explode("t").alias("term"))
+    rows = rows.select("key", entity.alias("entity"), F.concat(before, F.lit(" \n "), after).alias("around"))
+    found_terms = F.array_distinct(terms(F.col("around"))).alias("t")
+    rows = rows.select("key", "entity", F.xxhash64("around").alias("context"), found_terms)
+    return rows.select("key", "entity", "context", F.explode("t").alias("term"))
+
+
+def discloses(n: Column, of_term: str, threshold: float) -> Column:
+    """Whether a term in ``of_term`` of ``n`` documents tells enough of an entity with ``both`` and ``of_entity``."""
+    shared = F.log(F.col("both") * n / (F.col("of_entity") * F.col(of_term)))
+    own = F.log(n / F.col("of_entity"))
+    return (own > 0) & (shared >= threshold * own)
 
 
 def disclosing(
@@ -126,22 +134,29 @@ def disclosing(
 ) -> DataFrame:
     """A row (key, terms) for each text that has terms which disclose an entity."""
     found = docs.select(text, base_spans(filled(text)).alias("__base")).filter(F.size("__base") > 0)
-    near = contexts(found, text)
+    near = saved(contexts(found, text), "pii-contexts")
+    n = F.lit(docs.count()).cast("double")
     pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("both"))
-    pairs = saved(pairs.filter(F.col("both") >= min_contexts), "pii-pairs")
     entities = near.groupBy(F.col("entity").alias("entity2")).agg(F.countDistinct("context").alias("of_entity"))
+    # A term is in at least as many documents as near an entity. A pair that this bound rules out stays ruled
+    # out by the count over all documents, so common terms need not be looked for.
+    at_least = near.groupBy(F.col("term").alias("term2")).agg(F.countDistinct("key").alias("at_least"))
+    pairs = (
+        pairs.filter(F.col("both") >= min_contexts)
+        .join(entities, F.col("entity") == F.col("entity2"))
+        .join(at_least, F.col("term") == F.col("term2"))
+        .filter(discloses(n, "at_least", threshold))
+        .select("entity", "term", "both", "of_entity")
+    )
+    pairs = saved(pairs, "pii-pairs")
     candidates = pairs.select(F.col("term").alias("term2")).distinct()
     # One scan of all texts serves the counts of terms and the search for them.
     everywhere = docs.select(text_key(text).alias("key"), F.explode(F.array_distinct(terms(filled(text)))).alias("term"))
     hits = saved(everywhere.join(candidates, F.col("term") == F.col("term2"), "left_semi"), "pii-hits")
     of_term = hits.groupBy(F.col("term").alias("term3")).agg(F.count(F.lit(1)).alias("of_term"))
-    n = F.lit(docs.count()).cast("double")
-    shared = F.log(F.col("both") * n / (F.col("of_entity") * F.col("of_term")))
-    own = F.log(n / F.col("of_entity"))
     flagged = (
-        pairs.join(entities, F.col("entity") == F.col("entity2"))
-        .join(of_term, F.col("term") == F.col("term3"))
-        .filter((own > 0) & (shared >= threshold * own))
+        pairs.join(of_term, F.col("term") == F.col("term3"))
+        .filter(discloses(n, "of_term", threshold))
         .select(F.col("term").alias("term4"))
         .distinct()
     )
