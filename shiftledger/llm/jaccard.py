@@ -14,7 +14,8 @@ too few shingles behind it for a link.
 Deriving answers. Each block has a leader, the set in which the shingle stands first. All others of the block are
 compared with the leader. Sets found to link with the same leader are in one component, which is their answer to
 one another: only pairs of different components are compared after that. What is compared grows with the lists,
-not with the square of a group of copies.
+not with the square of a group of copies. Of each pair, bit sketches bound what it can share, and only pairs that
+the bound leaves possible are compared in full.
 
 Defined cases: a text without words, empty or null, has an empty set and links with nothing, not even another
 empty one. A text with fewer words than a shingle has one shingle, all its words. A null id doesn't count as
@@ -63,8 +64,7 @@ def shingles(text: str | None, n_words: int) -> np.ndarray:
     return np.unique(total.view(np.int64))
 
 
-
-SLIM = "doc_id long, text_key long, sid long, n_shingles long, shingle long, n long"
+SLIM = "doc_id long, text_key long, sid long, n_shingles long, shingle long, n long, sketch binary"
 
 
 def set_id(found: np.ndarray) -> int | None:
@@ -72,8 +72,27 @@ def set_id(found: np.ndarray) -> int | None:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(found.tobytes())))) if len(found) else None
 
 
+def sketch_of(found: np.ndarray) -> bytes:
+    """A bit for each value that the low bits of the shingles take; four or more times as many bits as shingles."""
+    bits = 1 << max(6, (4 * len(found) - 1).bit_length())
+    taken = np.zeros(bits, dtype=bool)
+    taken[found & (bits - 1)] = True
+    return np.packbits(taken).tobytes()
+
+
+def most_shared(x: bytes, y: bytes, n_x: int, n_y: int) -> int:
+    """At most so many shingles are shared: each bit that only one set has stands for a shingle that only it has."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):  # fewer low bits fold the longer sketch
+        if len(a) > len(b):
+            a = a[: len(a) // 2] | a[len(a) // 2 :]
+        else:
+            b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return min(n_x - int(np.unpackbits(a & ~b).sum()), n_y - int(np.unpackbits(b & ~a).sum()))
+
+
 def slim_rows(n_words: int):
-    """Per document its set's id and size; per task the shingles that several of its sets hold, with how many do."""
+    """Per document its set's id, size and sketch; per task the shingles that several of its sets hold, with how many do."""
 
     def often(held: list[np.ndarray]) -> pd.DataFrame:
         shingle, n = np.unique(np.concatenate(held), return_counts=True)
@@ -88,7 +107,8 @@ def slim_rows(n_words: int):
             for doc_id, key, text in zip(frame["doc_id"], frame["text_key"], frame["text"]):
                 found = shingles(text, n_words)
                 sid = set_id(found)
-                rows.append((None if pd.isna(doc_id) else int(doc_id), key, sid, len(found)))
+                sketch = None if sid is None else sketch_of(found)
+                rows.append((None if pd.isna(doc_id) else int(doc_id), key, sid, len(found), sketch))
                 if sid is not None and sid not in seen:
                     seen.add(sid)
                     held.append(found)
@@ -97,13 +117,14 @@ def slim_rows(n_words: int):
                     yield complete(often(held))
                     held, size = [], 0
                     seen.clear()
-            yield complete(pd.DataFrame(rows, columns=["doc_id", "text_key", "sid", "n_shingles"], dtype=object))
+            yield complete(pd.DataFrame(rows, columns=["doc_id", "text_key", "sid", "n_shingles", "sketch"], dtype=object))
         if held:
             yield complete(often(held))
 
     def complete(frame: pd.DataFrame) -> pd.DataFrame:
         names = [x.split()[0] for x in SLIM.split(", ")]
-        return frame.reindex(columns=names).astype("Int64")
+        frame = frame.reindex(columns=names)
+        return frame.astype({c: "Int64" for c in names[:-1]} | {"sketch": object}).replace({"sketch": {np.nan: None}})
 
     return run
 
@@ -232,7 +253,7 @@ def linked_sets(docs: DataFrame, n_words: int, percent: int) -> tuple[DataFrame,
     often = slim.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n"))
     often = often.orderBy(F.desc("n"), "shingle").limit(MAX_OFTEN).orderBy("shingle").toArrow()
     sent = spark.sparkContext.broadcast(tuple(often.column(c).to_numpy() for c in ("shingle", "n")))
-    slim = slim.filter("shingle IS NULL").select("doc_id", "text_key", "sid", "n_shingles")
+    slim = slim.filter("shingle IS NULL").drop("shingle", "n")
 
     found = rows.select("text").mapInPandas(prefixes(n_words, percent, sent), "sid long, size int, prefix array<long>")
     found = found.groupBy("sid").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
@@ -247,10 +268,8 @@ def linked_sets(docs: DataFrame, n_words: int, percent: int) -> tuple[DataFrame,
         "shingle", "block", F.col("x.sid").alias("sid"), (-F.col("x.less")).alias("size"), F.col("x.place").alias("place")
     )
     leaders = saved(leaders, "jaccard-leaders")
-    other = F.col("sid") != F.col("sid2")
-    near = saved(pairs_of(probes, leaders, other & possible(percent)), "jaccard-near")
-    sets = saved(involved_sets(rows, slim, probes, leaders, n_words), "jaccard-sets")
-    links = saved(verified(near, sets, percent), "jaccard-links")
+    near = saved(near_leaders(probes, leaders, percent), "jaccard-near")
+    links = saved(linked_pairs(near, rows, slim, n_words, percent), "jaccard-links")
     labels = saved(components(links), "jaccard-labels")
 
     # Who links with a leader has an answer; left are pairs of different components. In a block, those of the
@@ -267,9 +286,9 @@ def linked_sets(docs: DataFrame, n_words: int, percent: int) -> tuple[DataFrame,
     same = (F.col("shingle") == F.col("shingle4")) & (F.col("block") == F.col("block4"))
 
     def led(df: DataFrame) -> DataFrame:
-        found = labelled(df).join(lead, same)
-        return found.select(*df.columns, "label", (F.col("label") != F.col("lead")).alias("apart"))
+        return df.join(lead, same).select(*df.columns, (F.col("label") != F.col("lead")).alias("apart"))
 
+    targets, probes = listed(saved(labelled(index), "jaccard-labelled"), percent)
     probes, targets = led(probes), saved(led(targets), "jaccard-targets")
     larger = (F.col("size") > F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("sid") < F.col("sid2")))
     open_pair = (F.col("label") != F.col("label2")) & larger & possible(percent)
@@ -278,18 +297,38 @@ def linked_sets(docs: DataFrame, n_words: int, percent: int) -> tuple[DataFrame,
     )
     done = near.select(F.col("a").alias("a9"), F.col("b").alias("b9"))
     rest = rest.distinct().join(done, (F.col("a") == F.col("a9")) & (F.col("b") == F.col("b9")), "left_anti")
-    more = saved(verified(saved(rest, "jaccard-rest"), sets, percent), "jaccard-more")
+    rest = saved(rest, "jaccard-rest")
+    more = saved(linked_pairs(rest, rows, slim, n_words, percent), "jaccard-more")
     return slim, labels.select("sid", "label").union(more.select("a", "b")).toDF("a", "b")
 
 
-def involved_sets(rows: DataFrame, slim: DataFrame, probes: DataFrame, leaders: DataFrame, n_words: int) -> DataFrame:
-    """(sid, shingles) of the sets that share a block with another; one document is read for each."""
-    by_leader = leaders.select(
-        F.col("shingle").alias("shingle2"), F.col("block").alias("block2"), F.col("sid").alias("sid2")
-    )
-    same = (F.col("shingle") == F.col("shingle2")) & (F.col("block") == F.col("block2"))
-    together = probes.join(by_leader, same & (F.col("sid") != F.col("sid2"))).select("sid", "sid2").distinct()
-    wanted = together.select(F.explode(F.array("sid", "sid2")).alias("sid4")).distinct()
+def near_leaders(probes: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, size, size2) of sets and the leaders of their blocks that may link."""
+    return pairs_of(probes, leaders, (F.col("sid") != F.col("sid2")) & possible(percent))
+
+
+def linked_pairs(pairs: DataFrame, rows: DataFrame, slim: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """The pairs that link. Sketches rule out most others first, so whole sets are made for few."""
+    sids = pairs.select(F.explode(F.array("a", "b")).alias("sid4")).distinct()
+    known = slim.join(sids, F.col("sid") == F.col("sid4"), "left_semi")
+    sketches = saved(known.select("sid", "sketch").dropDuplicates(["sid"]), "jaccard-sketches")
+
+    def bound(x: pd.Series, y: pd.Series, n_x: pd.Series, n_y: pd.Series) -> pd.Series:
+        return pd.Series([most_shared(*v) for v in zip(x, y, n_x, n_y)], dtype="int32")
+
+    of_a = sketches.select(F.col("sid").alias("a2"), F.col("sketch").alias("of_a"))
+    of_b = sketches.select(F.col("sid").alias("b2"), F.col("sketch").alias("of_b"))
+    both = pairs.join(of_a, F.col("a") == F.col("a2")).join(of_b, F.col("b") == F.col("b2"))
+    both = both.withColumn("most", F.pandas_udf(bound, "int")("of_a", "of_b", "size", "size2"))
+    likely = both.filter(F.col("most") >= needed(F.col("size"), F.col("size2"), percent))
+    likely = saved(likely.select("a", "b", "size", "size2"), "jaccard-likely")
+    sets = saved(sets_of_pairs(likely, rows, slim, n_words), "jaccard-sets")
+    return verified(likely, sets, percent)
+
+
+def sets_of_pairs(pairs: DataFrame, rows: DataFrame, slim: DataFrame, n_words: int) -> DataFrame:
+    """(sid, shingles) of the sets in the pairs; one document is read for each."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid4")).distinct()
     one = F.min(F.struct("text_key", "doc_id"))
     reps = slim.join(wanted, F.col("sid") == F.col("sid4"), "left_semi").groupBy("sid").agg(one.alias("x"))
     reps = saved(reps.select(F.col("x.text_key").alias("key2"), F.col("x.doc_id").alias("id2")), "jaccard-reps")
@@ -306,6 +345,7 @@ def join(
     slim, links = linked_sets(docs, n_words, percent)
     labels = saved(components(links), "jaccard-components")
     of_sid = labels.select(F.col("sid").alias("sid2"), "label")
+    slim = slim.drop("sketch")
     rows = slim.join(of_sid, F.col("sid") == F.col("sid2"), "left")
     rows = rows.select(*slim.columns, F.coalesce("label", "sid").alias("label"))
     rows = saved(rows, "jaccard-rows")
@@ -321,13 +361,17 @@ def one_of_each(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     Documents without words have no component and all stay.
     """
     rows = join(docs, n_words=n_words, percent=percent).filter("label IS NOT NULL")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
-    kept = rows.groupBy("label").agg(first.alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.text_key").alias("__key"))
-    own = F.xxhash64("text")
-    chosen = docs.join(saved(kept, "jaccard-kept"), F.col("doc_id").eqNullSafe(F.col("__id")) & (own == F.col("__key")))
-    row = F.min(F.struct(*docs.columns)).alias("row")
+    rows = rows.groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n"))
+    kept = rows.groupBy("label").agg(first.alias("x"))
+    kept = kept.select(F.col("x.doc_id").alias("__id"), F.col("x.text_key").alias("__key"), F.col("x.n").alias("__n"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    chosen = docs.join(saved(kept, "jaccard-kept"), same)
+    once = chosen.filter(F.col("__n") == 1).select(docs.columns)
+    row = F.min(F.struct(*docs.columns)).alias("row")  # one of the rows that repeat
+    repeated = chosen.filter(F.col("__n") > 1).groupBy("__id", "__key").agg(row).select("row.*")
     without = docs.filter(F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
-    return chosen.groupBy("__id", "__key").agg(row).select("row.*").union(without)
+    return once.union(repeated).union(without)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

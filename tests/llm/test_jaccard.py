@@ -81,6 +81,17 @@ def test_group_of_copies_costs_no_pairs(spark, monkeypatch):
     assert rows["jaccard-near"] + rows["jaccard-rest"] < 3000
 
 
+def test_sketches_bound_what_is_shared():
+    rng = random.Random(9)
+    for _ in range(300):
+        words = plain(1, rng.randrange(5, 400)).split()
+        x, y = (jaccard.shingles(edited(rng, words, rng.randrange(12)), 4) for _ in range(2))
+        y = y[: rng.randrange(1, len(y) + 1)]
+        shared = len(set(x.tolist()) & set(y.tolist()))
+        bound = jaccard.most_shared(jaccard.sketch_of(x), jaccard.sketch_of(y), len(x), len(y))
+        assert shared <= bound <= min(len(x), len(y))
+
+
 def test_stage_keeps_one_of_each(spark):
     docs = documents(spark)
     kept = jaccard.stage(spark, docs, "")
