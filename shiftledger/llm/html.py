@@ -5,7 +5,10 @@ occur equally often on every page share an occurrence vector and form an equival
 ``MIN_CLASS`` tokens found on at least half of a host's pages make its template; on a page a class is valid only
 where its tokens stand in the class's order, and a class inside another lies in one gap of it. Text between
 template tokens fills the page's slots. The slots of menus, headers, footers, sidebars, notices, adverts, forms,
-comments and the like, told by their containers, are left out, and so is template text, except in the article.
+comments and the like, told by their containers, are left out, and so is template text. On a page with an article
+element the slots inside it are the main ones. There a class counts only where ``MIN_PAGES`` pages hold it, and
+where template tokens leave less than ``MIN_OWN_PERCENT`` of the article's characters, its pages are copies of one
+article, which stays whole.
 
 Vectors are never laid out: a vector's signature is the exclusive or of a hash of (page, count) over its pages,
 so each token costs one row however many pages a host has.
@@ -33,6 +36,7 @@ from shiftledger.llm.common import filled, lower_ascii, saved
 MIN_CLASS = 3
 MIN_PAGES = 4
 SUPPORT_PERCENT = 50
+MIN_OWN_PERCENT = 10
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[A-Za-z/!?][^>]*(?:>|\Z)|[^<]+|<",
@@ -142,7 +146,7 @@ def host_of(url: str) -> Column:
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """A row (host, classes) per host: the tokens of each class in their order.
+    """A row (host, classes, seldom) per host: the tokens of each class in their order, and those on few pages.
 
     A template token is on at least half of the host's pages, so there are at most twice as many as a page has.
     """
@@ -156,9 +160,15 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     often = (F.col("all_pages") >= MIN_PAGES) & (100 * F.col("pages") >= SUPPORT_PERCENT * F.col("all_pages"))
     kept = found.filter("token <> 0").join(sizes, F.col("host") == F.col("host2")).filter(often)
     member = F.struct((F.col("place") / F.col("pages")).alias("place"), "token")
-    classes = kept.groupBy("host", "signature").agg(F.sort_array(F.collect_list(member))["token"].alias("members"))
+    classes = kept.groupBy("host", "signature").agg(
+        F.sort_array(F.collect_list(member))["token"].alias("members"), F.max("pages").alias("pages")
+    )
     classes = classes.filter(F.size("members") >= MIN_CLASS)
-    return saved(classes.groupBy("host").agg(F.collect_list("members").alias("classes")), "html-templates")
+    few = F.when(F.col("pages") < MIN_PAGES, F.col("members"))
+    found = classes.groupBy("host").agg(
+        F.collect_list("members").alias("classes"), F.flatten(F.collect_list(few)).alias("seldom")
+    )
+    return saved(found, "html-templates")
 
 
 def template_places(found: list[int], classes) -> set[int]:
@@ -178,11 +188,22 @@ def template_places(found: list[int], classes) -> set[int]:
     return {k for ks in (root, *inside) for k in ks}
 
 
-def main_text(page: str, classes=()) -> str:
+def own_places(found: list, template: set[int], seldom) -> set[int]:
+    """The template's places on a page with an article, less those that are the article's own text."""
+    seldom = set(seldom)
+    template = {k for k in template if not (found[k][2] and signed(found[k][0]) in seldom)}
+    sizes = {k: len(text.strip()) for k, (_, text, article, skip) in enumerate(found) if text and article and not skip}
+    left = sum(n for k, n in sizes.items() if k not in template)
+    return set() if 100 * left < MIN_OWN_PERCENT * sum(sizes.values()) else template
+
+
+def main_text(page: str, classes=(), seldom=()) -> str:
     """The text of the page's main slots, blocks joined by a space."""
     found = list(tokens(page))
     has_article = any(article for _, _, article, _ in found)
-    template = set() if has_article else template_places([signed(t) for t, *_ in found], classes)
+    template = template_places([signed(t) for t, *_ in found], classes)
+    if has_article:
+        template = own_places(found, template, seldom)
     blocks, block = [], []
     for k, (_, text, article, skip) in enumerate(found):
         if text == "" or (text is not None and (skip or (has_article and not article) or k in template)):
@@ -195,14 +216,16 @@ def main_text(page: str, classes=()) -> str:
     return " ".join(b for b in clean if b)
 
 
-def main_texts(pages: pd.Series, classes: pd.Series) -> pd.Series:
-    return pd.Series([main_text(page, () if c is None else c) for page, c in zip(pages, classes)], dtype=object)
+def main_texts(pages: pd.Series, classes: pd.Series, seldom: pd.Series) -> pd.Series:
+    rows = zip(pages, classes, seldom)
+    return pd.Series([main_text(page, *(() if c is None else (c, few))) for page, c, few in rows], dtype=object)
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``pages`` with the main ``text`` and its ``n_chars``."""
     own = [c for c in pages.columns if c not in ("text", "n_chars")]
-    found = templates(pages, url, html).select(F.col("host").alias("__host2"), F.col("classes").alias("__classes"))
+    found = templates(pages, url, html)
+    found = found.select(*(F.col(c).alias(f"__{c}2" if c == "host" else f"__{c}") for c in found.columns))
     rows = pages.withColumn("__host", host_of(url)).join(found, F.col("__host") == F.col("__host2"), "left")
-    rows = rows.withColumn("__text", F.pandas_udf(main_texts, "string")(filled(html), "__classes"))
+    rows = rows.withColumn("__text", F.pandas_udf(main_texts, "string")(filled(html), "__classes", "__seldom"))
     return rows.select(*own, F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))

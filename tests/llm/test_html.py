@@ -59,3 +59,18 @@ def test_given_pages(spark):
         parts = re.split(r"</?(?:p|h1|br)>", article.group(1)) if article else []
         blocks = [re.sub(r"\s+", " ", references.unescape(re.sub("<[^>]*>", "", x))).strip() for x in parts]
         assert row["text"] == " ".join(b for b in blocks if b)
+
+
+def test_notice_in_the_articles_of_a_host_goes(spark):
+    """Template text inside articles goes under whatever name; the text of copies and of few pages stays."""
+    body = "<body><article><h1>Title {0}</h1><p>{1}<div class=zq><p>Please support <b>our</b> site</div><p>Last {0}</article><footer>f</footer>"
+    rows = [page(k, f"http://one.example/{k}", body.format(k, f"word{k} " * (k + 1))) for k in range(8)]
+    copy = "<title>{0}</title><article><h1>Same</h1><p>one text<p>of all pages</article><p>{0}"
+    rows += [page(20 + k, f"http://two.example/{k}", copy.format(k)) for k in range(8)]
+    pair = "<article><h1>{0}</h1><p>{0} a<p>{0} b<p>{0} c</article>"
+    rows += [page(40 + k, f"http://three.example/{k}", pair.format("both" if k < 2 else k)) for k in range(4)]
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found[2] == "Title 2 word2 word2 word2 Last 2"
+    assert all("support" not in found[k] and "site" not in found[k] for k in range(8))
+    assert found[25] == "Same one text of all pages"
+    assert found[41] == "both both a both b both c" and found[43] == "3 3 a 3 b 3 c"
