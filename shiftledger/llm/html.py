@@ -5,7 +5,8 @@ occur equally often on every page share an occurrence vector and form an equival
 ``MIN_CLASS`` tokens found on at least half of a host's pages make its template; on a page a class is valid only
 where its tokens stand in the class's order, and a class inside another lies in one gap of it. Text between
 template tokens fills the page's slots. The slots of menus, headers, footers, sidebars, notices, adverts, forms,
-comments and the like, told by their containers, are left out, and so is template text. On a page with an article
+comments and the like, told by their containers, are left out, and so is template text; a container that holds
+the article is not one of them by its name. On a page with an article
 element the slots inside it are the main ones. There a class counts only where ``MIN_PAGES`` pages hold it, and
 where template tokens leave less than ``MIN_OWN_PERCENT`` of the article's characters, its pages are copies of one
 article, which stays whole.
@@ -52,6 +53,7 @@ CONTAINERS = set("html head body nav header footer aside form article main secti
 IMPLIED = {"p", "li", "dt", "dd"}
 BOILERPLATE = set("head nav header footer aside form dialog menu fieldset".split())
 ARTICLE = {"article", "main"}
+UNNAMED = {"html", "body"} | ARTICLE | BOILERPLATE
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 # Words in class, id or role that name such parts.
 NAMES = set(
@@ -60,15 +62,19 @@ NAMES = set(
     " navigations breadcrumb breadcrumbs pagination pager header footer masthead toolbar comment comments respond replies"
     " discussion disqus share sharing social related recommended search login complementary contentinfo dialog".split()
 )
+# Words that a name of such a part may add.
+FORMS = set("area bar box button buttons icons item items link links list posts site slot unit".split())
 
 
-def boilerplate(tag: str, attributes: str) -> bool:
-    if tag in BOILERPLATE:
-        return True
-    if tag in ARTICLE:
+def named(tag: str, attributes: str) -> bool:
+    """Whether a whole name in class, id or role says that the element is boilerplate: "cookie-notice", not "has-sidebar"."""
+    if tag in UNNAMED:
         return False
-    said = " ".join(x for m in ATTRIBUTE.findall(attributes) for x in m).lower()
-    return any(word in NAMES for word in re.split(r"[^a-z]+", said))
+    for name in " ".join(x for m in ATTRIBUTE.findall(attributes) for x in m).lower().split():
+        said = [x for x in re.split(r"[^a-z]+", name) if x]
+        if any(x in NAMES for x in said) and all(x in NAMES or x in FORMS for x in said):
+            return True
+    return False
 
 
 def tokens(page: str) -> Iterator[tuple[int, str | None, bool, bool]]:
@@ -76,7 +82,39 @@ def tokens(page: str) -> Iterator[tuple[int, str | None, bool, bool]]:
 
     The text is that of a piece of text, empty for a tag that ends a block and None for one that doesn't.
     """
-    path: list[tuple[str, bool, bool, str]] = [("", False, False, "")]
+    found = list(marked_tokens(page))
+    free = unmarked(found)
+    for token, text, article, skip, marks in found:
+        yield token, text, bool(article), skip or not free.issuperset(marks)
+
+
+def unmarked(found: list) -> set[int]:
+    """The named elements that hold the article, which their names do not mark.
+
+    Of several articles those inside the fewest named elements count; a main element counts as one where the
+    text outside the articles' named elements is the longer one, or where it is alone.
+    """
+    opened: dict[str, set] = {}
+    for _, _, article, skip, marks in found:
+        if article and not skip:
+            opened.setdefault(article[0], set()).add(article[1])
+    least = {tag: {m for m in all_marks if len(m) == min(map(len, all_marks))} for tag, all_marks in opened.items()}
+    free = {tag: {x for m in marks for x in m} for tag, marks in least.items()}
+    if len(free) < 2 or free["article"] <= free["main"]:
+        return free.get("article", free.get("main", set()))
+    inner = outer = 0
+    for _, text, article, skip, marks in found:
+        if text and article and not skip:
+            n = len(text.strip())
+            outer += n if free["main"].issuperset(marks) else 0
+            inner += n if not free["main"].issuperset(marks) and free["article"].issuperset(marks) else 0
+    return free["main"] if outer > inner else free["article"]
+
+
+def marked_tokens(page: str) -> Iterator[tuple[int, str | None, tuple | None, bool, tuple]]:
+    """As ``tokens``, with the tag and the named elements of the article a token is in, and its own named elements."""
+    path: list[tuple[str, tuple | None, bool, str, tuple]] = [("", None, False, "", ())]
+    n_named = 0
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.match(page, at)
@@ -85,11 +123,11 @@ def tokens(page: str) -> Iterator[tuple[int, str | None, bool, bool]]:
         if tag and not m.group(1) and path[-1][0] in IMPLIED and tag not in INLINE:
             if path[-1][0] == "p" or path[-1][0] == tag:  # its end tag is left out
                 path.pop()
-        _, article, skip, place = path[-1]
+        _, article, skip, place, marks = path[-1]
         if not tag:
             piece = m.group()
             if piece[0] != "<" or piece == "<":
-                yield xxhash.xxh64_intdigest(f"{place}>{SPACE.sub(' ', piece).strip()}"), piece, article, skip
+                yield xxhash.xxh64_intdigest(f"{place}>{SPACE.sub(' ', piece).strip()}"), piece, article, skip, marks
             continue
         ends_block = None if tag in INLINE else ""
         if m.group(1):
@@ -97,19 +135,23 @@ def tokens(page: str) -> Iterator[tuple[int, str | None, bool, bool]]:
                 if path[k][0] == tag:
                     del path[k:]
                     break
-            yield xxhash.xxh64_intdigest(f"{path[-1][3]}</{tag}"), ends_block, article, skip
+            yield xxhash.xxh64_intdigest(f"{path[-1][3]}</{tag}"), ends_block, article, skip, marks
             continue
         attributes = m.group(3) or ""
-        yield xxhash.xxh64_intdigest(f"{place}<{tag}"), ends_block, article, skip
+        yield xxhash.xxh64_intdigest(f"{place}<{tag}"), ends_block, article, skip, marks
         if tag in VOID or attributes.endswith("/"):
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else end
-        elif tag in CONTAINERS or boilerplate(tag, attributes):
-            named = " ".join(sorted(x for m in ATTRIBUTE.findall(attributes) for x in m))
-            skip = skip or boilerplate(tag, attributes)
-            path.append((tag, article or tag in ARTICLE, skip, f"{place}/{tag} {named}"))
+        elif (mark := named(tag, attributes)) or tag in CONTAINERS or tag in BOILERPLATE:
+            said = " ".join(sorted(x for m in ATTRIBUTE.findall(attributes) for x in m))
+            if mark:
+                n_named += 1
+                marks = (*marks, n_named)
+            if tag in ARTICLE and (not article or article[0] == "main"):
+                article = (tag, marks)
+            path.append((tag, article, skip or tag in BOILERPLATE, f"{place}/{tag} {said}", marks))
 
 
 def signed(x: int) -> int:
@@ -128,7 +170,7 @@ def count_tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for host, page in zip(frame["host"], frame["html"]):
             n += 1
             places: dict[int, list[int]] = {0: [0]}
-            for k, (token, *_) in enumerate(tokens(page)):
+            for k, (token, *_) in enumerate(marked_tokens(page)):
                 places.setdefault(token, []).append(k)
             for token, ks in places.items():
                 row = found.setdefault((host, token), [0, 0, 0.0])

@@ -74,3 +74,23 @@ def test_notice_in_the_articles_of_a_host_goes(spark):
     assert all("support" not in found[k] and "site" not in found[k] for k in range(8))
     assert found[25] == "Same one text of all pages"
     assert found[41] == "both both a both b both c" and found[43] == "3 3 a 3 b 3 c"
+
+
+ARTICLE = "<article><p>one<p>two</article>"
+HELD = [
+    f'<body class="single has-sidebar search">{ARTICLE}</body>',
+    f'<html class="no-js cookie"><body id=search><div id="content" class="with-sidebar">{ARTICLE}<div class="sidebar">s</div></div>',
+    f'<div class="search"><section class="search-related"><div class="share">s</div>{ARTICLE}</section></div>',
+    f'<main><div class=share>s</div><section class="related">{ARTICLE}</section></main>',
+    '<main><p>one<p>two<div class=related><article>r</article></div></main>',
+    f'{ARTICLE}<div class="related-posts"><article>other</article></div>',
+    '<article><p>one<div class="ad-slot">buy</div><p>two<div class="comments"><article><p>a long comment of many words</article></div></article>',
+    '<body class="has-sidebar"><div class="with-sidebar"><p>one<p>two</div><div class="site-footer">f</div></body>',
+    '<article><p>one<div class="notice-period sharepoint">two</div></article>',
+    '<div class="search"><main><p>one<p>two</main></div>',
+]
+
+
+@pytest.mark.parametrize("page_html", HELD)
+def test_names_do_not_mark_what_holds_the_article(page_html):
+    assert html.main_text(page_html) == "one two"
