@@ -1,7 +1,7 @@
 """Quality rules: fixed rules per document, then lines that too many documents of a host share.
 
 A line's normal form is its words, A-Z in lower case and digit runs as 0, joined by one space. Documents of a
-host are told apart by their least and greatest normal line, so that copies of one document count once. A line
+host are told apart by a hash of all their normal lines, so that copies of one document count once. A line
 is boilerplate where it stands in over ``host_percent`` of the host's documents and in over ``min_docs``.
 Boilerplate lines are removed; a document of which too little is left is rejected.
 
@@ -110,19 +110,19 @@ def document_key(doc_id: str, text: str, host: str) -> tuple[Column, Column]:
 
 
 def document_lines(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """A row per line with a word: the document's key, host and sketch, the line's place, hash and words."""
+    """A row per line with a word: the document's key, host and the hash of its lines, the line's place, hash and words."""
     lines = F.transform(F.filter(F.split(filled(text), "\n"), has_word), normal)
     rows = docs.select(*document_key(doc_id, text, host), F.col(host).alias("host"), lines.alias("lines"))
-    rows = rows.withColumn("sketch", F.xxhash64(F.array_min("lines"), F.array_max("lines")))
-    rows = rows.select("id", "key", "host", "sketch", F.posexplode("lines").alias("pos", "line"))
+    rows = rows.withColumn("told", F.xxhash64("lines"))
+    rows = rows.select("id", "key", "host", "told", F.posexplode("lines").alias("pos", "line"))
     n = F.length("line") - F.length(F.translate("line", " ", "")) + 1
-    return rows.select("id", "key", "host", "sketch", "pos", F.xxhash64("line").alias("line"), n.cast("long").alias("n"))
+    return rows.select("id", "key", "host", "told", "pos", F.xxhash64("line").alias("line"), n.cast("long").alias("n"))
 
 
 def boilerplate_lines(lines: DataFrame, host_percent: int = HOST_PERCENT, min_docs: int = MIN_DOCS) -> DataFrame:
     """Host and hash of the lines above the limits."""
-    counts = lines.groupBy("host", "line").agg(F.countDistinct("sketch").alias("docs"))
-    sizes = lines.groupBy(F.col("host").alias("host2")).agg(F.countDistinct("sketch").alias("all_docs"))
+    counts = lines.groupBy("host", "line").agg(F.countDistinct("told").alias("docs"))
+    sizes = lines.groupBy(F.col("host").alias("host2")).agg(F.countDistinct("told").alias("all_docs"))
     often = counts.filter(F.col("docs") > min_docs).join(sizes, F.col("host").eqNullSafe(F.col("host2")))
     return often.filter(100 * F.col("docs") > host_percent * F.col("all_docs")).select("host", "line")
 

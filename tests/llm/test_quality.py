@@ -56,5 +56,15 @@ def test_boilerplate_goes_and_depleted_documents_with_it(spark):
     assert kept[3]["text"] == plain(3) and kept[3]["n_chars"] == len(plain(3)) and 400 not in kept
 
 
+def test_documents_with_equal_first_and_last_lines_are_told_apart(spark):
+    """A number and a footer are the least and greatest line of every document of the host."""
+    rows = [doc(k, f"{k}\n{plain(k)}\n\u00a9 all rights of this site reserved") for k in range(30)]
+    rows += [doc(100 + k, f"7\n{plain(500)}\n\u00a9 all rights reserved", source="copies") for k in range(30)]
+    docs = spark.createDataFrame(rows, documents(spark).schema)
+    found = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert all(found[k]["cleaned"] == plain(k) and found[k]["n_removed"] == 8 for k in range(30))
+    assert all(found[100 + k]["n_removed"] == 0 for k in range(30))  # copies count as one document
+
+
 def test_empty_table(spark):
     assert quality.judge(none(spark)).count() == 0
