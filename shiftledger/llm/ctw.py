@@ -7,8 +7,9 @@ them up the tree level by level, as groupings. A prediction mixes the estimates
 context down by the weights that training gave each depth. A text starts after ``DEPTH`` zero bytes and ends with
 one.
 
-Nodes and n-grams go to the executors with at most ``MAX_NODES`` per depth, the most frequent ones; contexts
-beyond are unseen ones to a text that is scored. Of the words, the ``HOT_WORDS`` most frequent are broadcast with
+Nodes and n-grams go to the executors with at most ``MAX_NODES`` per depth, the most frequent ones. Where a node
+beyond may be on the path of an n-gram, the document's n-gram is joined with the nodes of all depths, so scores do
+not depend on what is broadcast. Of the words, the ``HOT_WORDS`` most frequent are broadcast with
 their counts; the others of each document are joined with the counts of all words.
 
 Defined cases: a null text is empty. A null id is of the training part, as its text is empty. Without training
@@ -171,14 +172,40 @@ def tree(grams: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
     return found[::-1]
 
 
-def most_frequent(rows: DataFrame, most: int) -> dict[str, np.ndarray]:
-    """The rows as arrays ordered by key: all, or the ``most`` frequent where there are more."""
-    if rows.count() > most:
+def most_frequent(rows: DataFrame, most: int) -> tuple[dict[str, np.ndarray], bool]:
+    """The rows as arrays ordered by key: all, or the ``most`` frequent where there are more; and whether it is all."""
+    whole = rows.count() <= most
+    if not whole:
         rows = rows.orderBy(F.desc("n"), "key").limit(most)
     table = rows.toArrow()
     found = {c: table.column(c).to_numpy() for c in table.column_names}
     order = np.argsort(found["key"])
-    return {c: values[order] for c, values in found.items()}
+    return {c: values[order] for c, values in found.items()}, whole
+
+
+def evaluated(codes: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(code, value): as ``Model.evaluate`` for each distinct code, from the nodes of all depths.
+
+    Depths 0 and 1 have at most 257 x 255 nodes and are broadcast; a deeper node is met by at most 2^16 steps of codes.
+    """
+    steps = codes.select("code", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("step"))
+    made = F.expr("shiftleft(1L, step) | shiftright(code & 255, 8 - step)")
+    context = F.shiftright("code", 8)
+    met = []
+    for depth, level in enumerate(levels):
+        key = (context.bitwiseAND((1 << 8 * depth) - 1) * 256 + made).alias("key")
+        nodes = level.select(F.col("key").alias("key2"), "p1", "stop")
+        wanted = steps.select("code", "step", key)
+        nodes = F.broadcast(nodes) if depth < 2 else nodes
+        joined = wanted.join(nodes, F.col("key") == F.col("key2"), "left" if depth == 0 else "inner")
+        met.append(joined.select("code", "step", F.struct(F.lit(-depth).alias("depth"), "p1", "stop").alias("node")))
+    nodes = met[0]
+    for more in met[1:]:
+        nodes = nodes.unionByName(more)
+    path = nodes.groupBy("code", "step").agg(F.sort_array(F.collect_list("node")).alias("path"))
+    mixed = F.aggregate("path", F.lit(0.5), lambda p, x: F.coalesce(x["stop"] * x["p1"] + (1 - x["stop"]) * p, p))
+    one = F.expr("shiftright(code & 255, 7 - step) & 1") == 1
+    return path.groupBy("code").agg(F.sum(F.log10(F.when(one, mixed).otherwise(1 - mixed))).alias("value"))
 
 
 def look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,10 +217,13 @@ def look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Model:
-    """Nodes by depth, and the n-grams of the training texts with their log10 probability in a hash table."""
+    """Nodes by depth, and the n-grams of the training texts with their log10 probability in a hash table.
+
+    ``whole`` says of each depth whether its nodes are all; what they leave open is not a number.
+    """
 
-    def __init__(self, nodes: list[tuple[np.ndarray, ...]], codes: np.ndarray, counts: np.ndarray, logs=None):
-        self.nodes, self.codes, self.counts = nodes, codes, counts
+    def __init__(self, nodes: list[tuple[np.ndarray, ...]], whole: list[bool], codes: np.ndarray, counts: np.ndarray, logs=None):
+        self.nodes, self.whole, self.codes, self.counts = nodes, whole, codes, counts
         self.logs = self.evaluate(codes) if logs is None else logs
         often = np.argsort(counts, kind="stable")  # of codes that share a slot, the most frequent is put last
         slots = self.slots(codes[often])
@@ -204,7 +234,7 @@ class Model:
 
     def state(self) -> tuple:
         """What makes the same model elsewhere."""
-        return self.nodes, self.codes, self.counts, self.logs
+        return self.nodes, self.whole, self.codes, self.counts, self.logs
 
     @staticmethod
     def slots(codes: np.ndarray) -> np.ndarray:
@@ -212,24 +242,29 @@ class Model:
         return (spread >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
     def evaluate(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of the mixed probability of each code's byte in its context."""
+        """log10 of the mixed probability of each code's byte in its context, not a number where a node may be missing."""
         total = np.zeros(len(codes))
         byte, context = codes & 255, codes >> 8
         for step in range(8):
             made = (1 << step) | (byte >> (8 - step))
             one = ((byte >> (7 - step)) & 1).astype(bool)
             p = np.full(len(codes), 0.5)
+            deeper = np.zeros(len(codes), dtype=bool)  # not found one depth below, where nodes may be missing
             for depth in range(len(self.nodes) - 1, -1, -1):
                 keys, p1, stop = self.nodes[depth]
                 at, found = look_up(keys, (context & ((1 << 8 * depth) - 1)) * 256 + made)
                 if found.any():
                     w = stop[at]
-                    p = np.where(found, w * p1[at] + (1 - w) * p, 0.5)
+                    p = np.where(found, np.where(deeper, np.nan, w * p1[at] + (1 - w) * p), 0.5)
+                elif len(p):
+                    p = np.full(len(codes), 0.5)
+                deeper = ~found & (not self.whole[depth])
+            p = np.where(deeper, np.nan, p)
             total += np.log10(np.where(one, p, 1 - p))
         return total
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text."""
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """log10 probability of each text without the codes that are left open, and these codes with their counts."""
         codes, starts = grams_of(texts, len(self.nodes) - 1)
         slots = self.slots(codes)
         logs = self.table_logs[slots]
@@ -240,7 +275,9 @@ class Model:
             values = self.logs[at] if len(self.logs) else np.zeros(len(own))
             values[~found] = self.evaluate(own[~found])
             logs[missed] = values[where]
-        return np.add.reduceat(logs, starts)
+        open_ = np.isnan(logs)
+        rest = [np.unique(c[o], return_counts=True) for c, o in zip(np.split(codes, starts[1:]), np.split(open_, starts[1:]))]
+        return np.add.reduceat(np.where(open_, 0.0, logs), starts), rest
 
 
 class HotWords(dict):
@@ -260,17 +297,18 @@ class HotWords(dict):
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, bytes long"
 
 
-def learn(docs: DataFrame) -> tuple[DataFrame, Model, tuple[int, int], dict[str, np.ndarray]]:
-    """Counts of words (key, n), the model, (tokens, distinct tokens) and the most frequent words."""
+def learn(docs: DataFrame) -> tuple[DataFrame, list[DataFrame], Model, tuple[int, int], dict[str, np.ndarray]]:
+    """Counts of words (key, n), the nodes by depth, the model, (tokens, distinct tokens) and the most frequent words."""
     counted = docs.filter("NOT held_out").select("text").mapInPandas(count, "kind int, key long, n long")
     counts = saved(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
     words = counts.filter(F.col("kind") == WORD).select("key", "n")
     grams = counts.filter(F.col("kind") == GRAM).select("key", "n")
-    levels = [most_frequent(x, MAX_NODES) for x in tree(grams)]
-    often = most_frequent(grams, MAX_NODES)
-    model = Model([(x["key"], x["p1"], x["stop"]) for x in levels], often["key"], often["n"])
+    nodes = tree(grams)
+    levels = [most_frequent(x, MAX_NODES) for x in nodes]
+    often, _ = most_frequent(grams, MAX_NODES)
+    model = Model([(x["key"], x["p1"], x["stop"]) for x, _ in levels], [all_ for _, all_ in levels], often["key"], often["n"])
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    return words, model, (n, v), most_frequent(words.orderBy(F.desc("n"), "key").limit(HOT_WORDS), HOT_WORDS)
+    return words, nodes, model, (n, v), most_frequent(words.orderBy(F.desc("n"), "key").limit(HOT_WORDS), HOT_WORDS)[0]
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,7 +316,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), (~in_training(doc_id)).alias("held_out"), filled(text).alias("text")
     )
-    words, model, (n, v), hot = learn(rows)
+    words, nodes, model, (n, v), hot = learn(rows)
     end = words.filter(F.col("key") == key_of(b"")).first()
     end_count = end["n"] if end else 0
     sent = rows.sparkSession.sparkContext.broadcast((model.state(), hot["key"], hot["n"]))
@@ -291,8 +329,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         row = TaskContext.get().partitionId() << 33
         for part in chunks(frames):
             texts = [t.encode("utf-8", "replace") for t in part["text"]]
-            scored, rest = [], []
-            for doc, held, t, value in zip(part["doc_id"], part["held_out"], texts, model.score(texts)):
+            scored, rest, grams = [], [], []
+            for doc, held, t, value, (codes, times) in zip(part["doc_id"], part["held_out"], texts, *model.score(texts)):
                 words = words_of(t)
                 found = np.array([hot_words[w] for w in words], dtype=np.int64)
                 known = found[found >= 0]
@@ -303,14 +341,24 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                 if len(known) < len(words):
                     others = Counter(w for w, c in zip(words, found) if c < 0)
                     rest.extend((row, key_of(w), k) for w, k in others.items())
+                if len(codes):
+                    grams.append(pd.DataFrame({"row": row, "code": codes, "k": times}))
                 row += 1
             names = [x.split()[0] for x in SCORED.split(", ")]
-            out = pd.concat([pd.DataFrame(scored, columns=names), pd.DataFrame(rest, columns=["row", "key", "k"])])
-            ints = ("doc_id", "n_tokens", "n_known", "bytes", "key", "k")
+            left = pd.DataFrame(rest, columns=["row", "key", "k"]).astype("Int64")  # hashes would not survive as floats
+            out = pd.concat([pd.DataFrame(scored, columns=names), left, *(g.astype("Int64") for g in grams)])
+            out = out.reindex(columns=[*names, "key", "k", "code"])
+            ints = ("row", "doc_id", "n_tokens", "n_known", "bytes", "key", "k", "code")
             yield out.astype({c: "Int64" for c in ints} | {"held_out": "boolean"})
 
-    both = saved(rows.mapInPandas(run, f"{SCORED}, key long, k long"), "lm-scored")
-    scored = both.filter("key IS NULL").drop("key", "k")
+    both = saved(rows.mapInPandas(run, f"{SCORED}, key long, k long, code long"), "lm-scored")
+    scored = both.filter("key IS NULL AND code IS NULL").drop("key", "k", "code")
+    if not all(model.whole):
+        grams = both.filter("code IS NOT NULL").select(F.col("row").alias("row3"), F.col("code").alias("code3"), "k")
+        values = evaluated(grams.select(F.col("code3").alias("code")).distinct(), nodes)
+        grams = grams.join(values, F.col("code3") == F.col("code")).groupBy("row3").agg(F.sum(F.col("k") * F.col("value")).alias("score3"))
+        scored = scored.join(grams, F.col("row") == F.col("row3"), "left")
+        scored = scored.withColumn("score", F.col("score") + F.coalesce("score3", F.lit(0.0))).drop("row3", "score3")
     rest = both.filter("key IS NOT NULL").select(F.col("row").alias("row2"), F.col("key").alias("key2"), "k")
     rest = rest.join(words, F.col("key") == F.col("key2"), "left")
     each = F.log10(F.coalesce("n", F.lit(0)) + 1.0) - F.lit(below)

@@ -104,6 +104,12 @@ def test_scores_equal_the_plain_ones(spark, monkeypatch):
     compared(docs.collect(), ctw.score(docs.repartition(3)).collect())
 
 
+def test_nodes_beyond_the_broadcast_count(spark, monkeypatch):
+    docs = cases(spark)
+    monkeypatch.setattr(ctw, "MAX_NODES", 150)
+    compared(docs.collect(), ctw.score(docs).collect())
+
+
 def test_learnt_text_is_cheaper(spark):
     rows = [doc(k, f"the same kind of sentence again and again, number {k}. " * 4) for k in range(60)]
     rows.append(doc(1002, "zq xj vw kp " * 12))
