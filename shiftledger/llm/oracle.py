@@ -28,11 +28,11 @@ q_lines AS (SELECT rid, pos, l, {norm} AS line, len(regexp_extract_all(l, '{W}+'
             FROM (SELECT rid, unnest(ls) AS l, generate_subscripts(ls, 1) AS pos
                   FROM (SELECT rid, string_split(t, chr(10)) AS ls FROM q_docs)) WHERE regexp_matches(l, '{W}')),
 q_dups AS (SELECT rid, count(*) - count(DISTINCT l) AS n_dup_lines FROM q_lines GROUP BY rid),
-q_sketch AS (SELECT rid, min(line) AS low, max(line) AS high FROM q_lines GROUP BY rid),
-q_told AS (SELECT DISTINCT source, line, low, high FROM q_lines JOIN q_sketch USING (rid) JOIN q_docs USING (rid)),
+q_whole AS (SELECT rid, string_agg(line, chr(10) ORDER BY pos) AS told FROM q_lines GROUP BY rid),
+q_told AS (SELECT DISTINCT source, line, told FROM q_lines JOIN q_whole USING (rid) JOIN q_docs USING (rid)),
 q_often AS (SELECT source, line FROM (SELECT source, line, count(*) AS docs FROM q_told GROUP BY ALL) a
             JOIN (SELECT source AS source2, count(*) AS all_docs
-                  FROM (SELECT DISTINCT source, low, high FROM q_told) GROUP BY ALL) b
+                  FROM (SELECT DISTINCT source, told FROM q_told) GROUP BY ALL) b
             ON a.source IS NOT DISTINCT FROM b.source2
             WHERE docs > {quality.MIN_DOCS} AND 100 * docs > {quality.HOST_PERCENT} * all_docs),
 q_removed AS (SELECT rid, sum(n) AS n_removed FROM q_lines JOIN q_docs d USING (rid) JOIN q_often o

@@ -8,7 +8,7 @@ from cases import doc, documents, plain
 from test_jaccard import joined, shingle_set
 from test_mixing import mixed
 from test_pii import base
-from test_quality import rules
+from test_quality_rules import rules
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -26,8 +26,8 @@ def after_quality(rows):
     docs, sizes = defaultdict(set), defaultdict(set)
     for k, own in lines.items():
         for line in own:
-            docs[rows[k]["source"], line].add((min(own), max(own)))
-            sizes[rows[k]["source"]].add((min(own), max(own)))
+            docs[rows[k]["source"], line].add(tuple(own))
+            sizes[rows[k]["source"]].add(tuple(own))
     often = {key for key, found in docs.items() if len(found) > 10 and 10 * len(found) > len(sizes[key[0]])}
     kept = []
     for k, r in enumerate(rows):
