@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shiftledger.llm import jaccard, mixing, pii, quality, urls, warc
+from shiftledger.llm import jaccard, merkle, mixing, pii, quality, urls, warc
 
 W = r"[^\x20\x09-\x0D]"
 S = r"[\x20\x09-\x0D]"
@@ -182,6 +182,55 @@ CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' EL
 CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f"""
 
 
+def merkle_sql(levels: int = 16, group_levels: int = 8) -> str:
+    """Each level of the trees as one grouping; ``levels`` and ``group_levels`` are above any level with several nodes."""
+
+    def field(value: str) -> str:
+        text = f"CAST({value} AS VARCHAR)"
+        return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(field(text if name == 'text' else name) for name in merkle.FIELDS)})"
+
+    def tree(name: str, nodes: str, count: int) -> str:
+        """CTEs of the levels (grp, rank, n, x), and of the ways (grp, rank, steps, root) of ``nodes``."""
+        r, parts = merkle.RADIX, [f"{name}0 AS MATERIALIZED (SELECT grp, rank, n, x FROM {nodes})"]
+        for k in range(count):
+            parts.append(f"""{name}{k + 1} AS MATERIALIZED (SELECT grp, rank // {r} AS rank, (any_value(n) + {r - 1}) // {r} AS n,
+  CASE WHEN any_value(n) = 1 THEN any_value(x) ELSE sha256(string_agg(x, '' ORDER BY rank)) END AS x FROM {name}{k} GROUP BY grp, rank // {r})""")
+        sides = "\n  UNION ALL ".join(
+            f"SELECT a.grp, a.rank, {k} AS level, coalesce(string_agg(b.x, '' ORDER BY b.rank) FILTER (b.rank < a.rank), '') AS lft,"
+            f" coalesce(string_agg(b.x, '' ORDER BY b.rank) FILTER (b.rank > a.rank), '') AS rgt"
+            f" FROM {name}{k} a JOIN {name}{k} b ON a.grp = b.grp AND a.rank // {r} = b.rank // {r} WHERE a.n > 1 GROUP BY ALL"
+            for k in range(count)
+        )
+        parts.append(f"{name}sides AS MATERIALIZED ({sides})")
+        places = f"(SELECT grp, rank, unnest(range({count})) AS level FROM {nodes})"
+        parts.append(f"""{name}ways AS (SELECT l.grp, l.rank, list({{'lft': lft, 'rgt': rgt}} ORDER BY l.level) AS steps
+  FROM {places} l JOIN {name}sides s ON s.grp = l.grp AND s.level = l.level AND s.rank = l.rank // CAST(power({r}, l.level) AS BIGINT)
+  GROUP BY l.grp, l.rank)""")
+        return ",\n".join(parts)
+
+    crc = """list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+  lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1)), CAST(4294967295 AS BIGINT))"""
+    return f"""
+WITH d AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) AS grp, {leaf("text")} AS x,
+  CASE WHEN doc_id IS NOT NULL AND xor({crc}, 4294967295) % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS y
+  FROM documents),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, x) - 1 AS rank,
+  count(*) OVER (PARTITION BY grp) AS n FROM d),
+{tree("a", "leaves", levels)},
+groups AS MATERIALIZED (SELECT 0 AS grp, grp - 1 AS rank, count(*) OVER () AS n, x FROM a{levels}),
+{tree("b", "groups", group_levels)},
+told AS (SELECT l.*, g.x AS subroot, r.x AS root, coalesce(w.steps, []) || coalesce(v.steps, []) AS steps
+  FROM leaves l JOIN groups g ON g.rank = l.grp - 1 CROSS JOIN b{group_levels} r
+  LEFT JOIN aways w ON w.grp = l.grp AND w.rank = l.rank LEFT JOIN bways v ON v.rank = l.grp - 1),
+done AS (SELECT *, list_reduce(list_transform(steps, lambda s: [s.lft, s.rgt]), lambda a, s: [sha256(s[1] || a[1] || s[2]), ''], [y, '']) AS f FROM told)
+SELECT doc_id, x AS leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(steps, lambda s: s.lft || s.rgt), ''), '')) AS proof_sha256,
+f[1] AS folded_root, f[1] = root AS verified FROM done"""
+
+
 SQL = {
     "op1_pii": pii_sql(),
     "op3_url_filters": url_sql(),
@@ -190,6 +239,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 CAST(n_removed AS BIGINT) AS n_removed, kept FROM q_judged""",
     "op4_ngram_jaccard": jaccard_sql(),
     "op9_warc": warc_sql(),
+    "op12_merkle_manifest": merkle_sql(),
     "op8_mixing": f"""WITH {mixing_ctes()}
 SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, repeats FROM m_mixed""",
 }

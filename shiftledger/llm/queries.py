@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shiftledger.llm import ctw, decontam, html, jaccard, langid, mixing, pii, quality, urls, warc
+from shiftledger.llm import ctw, decontam, html, jaccard, langid, merkle, mixing, pii, quality, urls, warc
 from shiftledger.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_lm_scoring(spark, sf_dir):
     return ctw.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents"))).drop("source", "steps")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_html_extraction": op2_html_extraction,
@@ -74,6 +78,5 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-
-
