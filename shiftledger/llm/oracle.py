@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shiftledger.llm import jaccard, merkle, mixing, pii, quality, urls, warc
+from shiftledger.llm import jaccard, merkle, mixing, negatives, pii, quality, urls, warc
 
 W = r"[^\x20\x09-\x0D]"
 S = r"[\x20\x09-\x0D]"
@@ -182,6 +182,21 @@ CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' EL
 CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f"""
 
 
+def negatives_sql() -> str:
+    return f"""
+WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor({negatives.SCALE} * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike,
+  CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM (SELECT * FROM rows WHERE vec_id % 100 = 0) a JOIN rows b ON a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER o AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 10"""
+
+
 def merkle_sql(levels: int = 16, group_levels: int = 8) -> str:
     """Each level of the trees as one grouping; ``levels`` and ``group_levels`` are above any level with several nodes."""
 
@@ -239,6 +254,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 CAST(n_removed AS BIGINT) AS n_removed, kept FROM q_judged""",
     "op4_ngram_jaccard": jaccard_sql(),
     "op9_warc": warc_sql(),
+    "op11_hard_negatives": negatives_sql(),
     "op12_merkle_manifest": merkle_sql(),
     "op8_mixing": f"""WITH {mixing_ctes()}
 SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, repeats FROM m_mixed""",

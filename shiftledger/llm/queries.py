@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shiftledger.llm import ctw, decontam, html, jaccard, langid, merkle, mixing, pii, quality, urls, warc
+from shiftledger.llm import ctw, decontam, html, jaccard, langid, merkle, mixing, negatives, pii, quality, urls, warc
 from shiftledger.llm.common import table
 
 
@@ -63,6 +63,12 @@ def op10_lm_scoring(spark, sf_dir):
     return ctw.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents"))).drop("source", "steps")
 
@@ -78,5 +84,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_merkle_manifest": op12_merkle_manifest,
 }

@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="no test table
 def test_query_equals_sql(spark, key):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
     result = con.execute(oracle.SQL[key])
     names = [column[0] for column in result.description]
