@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shiftledger.llm import jaccard, merkle, mixing, negatives, pii, quality, urls, warc
+from shiftledger.llm import jaccard, merkle, mixing, negatives, pii, quality, substrings, urls, warc
 
 W = r"[^\x20\x09-\x0D]"
 S = r"[\x20\x09-\x0D]"
@@ -246,6 +246,24 @@ SELECT doc_id, x AS leaf, subroot, root, sha256(coalesce(array_to_string(list_tr
 f[1] AS folded_root, f[1] = root AS verified FROM done"""
 
 
+def substrings_sql() -> str:
+    """Every string of every text, in hexadecimal digits."""
+    n = substrings.LENGTH
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS MATERIALIZED (SELECT rid, doc_id, p, substr(x, 2 * p + 1, {2 * n}) AS g
+  FROM (SELECT *, unnest(range(length(x) // 2 - {n - 1})) AS p FROM d WHERE length(x) >= {2 * n})),
+hits AS (SELECT rid, p FROM w JOIN (SELECT g, min(doc_id) AS low FROM w GROUP BY g) USING (g) WHERE low < doc_id),
+marked AS (SELECT rid, p, coalesce(p - lag(p) OVER o > {n}, true) AS new FROM hits WINDOW o AS (PARTITION BY rid ORDER BY p)),
+numbered AS (SELECT rid, p, sum(CAST(new AS INTEGER)) OVER (PARTITION BY rid ORDER BY p) AS k FROM marked),
+spans AS (SELECT rid, k, min(p) AS s, max(p) + {n} AS e FROM numbered GROUP BY ALL),
+gaps AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY k), 0) AS after FROM spans),
+told AS (SELECT rid, count(*) AS n_spans, CAST(sum(e - s) AS BIGINT) AS n_removed, max(e) AS last_end,
+  string_agg(substr(x, 2 * after + 1, 2 * (s - after)), '' ORDER BY s) AS head FROM gaps JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last_end, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN told USING (rid)"""
+
+
 SQL = {
     "op1_pii": pii_sql(),
     "op3_url_filters": url_sql(),
@@ -256,6 +274,7 @@ CAST(n_removed AS BIGINT) AS n_removed, kept FROM q_judged""",
     "op9_warc": warc_sql(),
     "op11_hard_negatives": negatives_sql(),
     "op12_merkle_manifest": merkle_sql(),
+    "op13_substring_dedup": substrings_sql(),
     "op8_mixing": f"""WITH {mixing_ctes()}
 SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, repeats FROM m_mixed""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shiftledger.llm import ctw, decontam, html, jaccard, langid, merkle, mixing, negatives, pii, quality, urls, warc
+from shiftledger.llm import ctw, decontam, html, jaccard, langid, merkle, mixing, negatives, pii, quality, substrings, urls, warc
 from shiftledger.llm.common import table
 
 
@@ -73,6 +73,10 @@ def op12_merkle_manifest(spark, sf_dir):
     return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents"))).drop("source", "steps")
 
 
+def op13_substring_dedup(spark, sf_dir):
+    return substrings.digest(substrings.remove(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_html_extraction": op2_html_extraction,
@@ -86,4 +90,5 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_substring_dedup": op13_substring_dedup,
 }
