@@ -109,5 +109,6 @@ def test_stages_and_registration():
     names = [x for x in entry.queries() if re.match(r"op\d+_|pipeline", x)]
     assert sorted(names, key=lambda x: int(re.sub(r"\D", "", x) or 99)) == [
         "op1_pii", "op2_html_extraction", "op3_url_filters", "op4_ngram_jaccard", "op5_language_id", "op6_decontamination",
-        "op7_quality_rules", "op8_mixing", "op9_warc", "op10_lm_scoring", "pipeline",
+        "op7_quality_rules", "op8_mixing", "op9_warc", "op10_lm_scoring", "op11_hard_negatives", "op12_merkle_manifest",
+        "op13_substring_dedup", "pipeline",
     ]
