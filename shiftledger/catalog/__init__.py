@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scans", "filters", "warehouse", "calendar", "dashboards", "targets", "quality", "streams")
+MODULES = ("scans", "filters", "warehouse", "calendar", "dashboards", "targets", "quality", "streams", "stored")
 
 
 def all_queries():

@@ -33,3 +33,15 @@ def query(key: str, sql: str | None = None, needs: str = ""):
         return build
 
     return register
+
+
+def same_as(other: str, key: str):
+    """Register the decorated build under ``key``, with the SQL of a query registered before."""
+
+    def register(build: Callable[[Landing], DataFrame]) -> Callable[[Landing], DataFrame]:
+        if key in QUERIES:
+            raise ValueError(f"query {key} is registered twice")
+        QUERIES[key] = Query(build, QUERIES[other].sql)
+        return build
+
+    return register

@@ -1,7 +1,8 @@
-"""Writers. A table is a folder of snapshots, so a job never overwrites what it reads.
+"""Writers. Snapshots are versions of a stored table, so a job never overwrites what it reads.
 
-Each snapshot or load batch is one partition value and is written with dynamic partition overwrite:
-running a batch again replaces its own rows only, which makes a rerun after a lost job safe.
+A load batch of facts is one partition value and is written with dynamic partition overwrite: running a batch again
+replaces its own rows only, which makes a rerun after a lost job safe. Batches must not share days; days that
+change are restated in tables kept by day (``plans/daily.py``).
 """
 
 from __future__ import annotations
@@ -11,32 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shiftledger.sources import tables
 
-def write_snapshot(df: DataFrame, path: str, snapshot: int) -> None:
-    """Write ``df`` as the whole content of the table at ``snapshot``."""
-    (
-        df.withColumn("snapshot", F.lit(snapshot))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("snapshot")
-        .parquet(path)
-    )
+
+def write_snapshot(df: DataFrame, path: str, snapshot: int, keep: int | None = None) -> None:
+    """Write ``df`` as the whole content of the table at ``snapshot``; with ``keep``, older ones are retired."""
+    tables.write_table(df, path, snapshot)
+    if keep is not None:
+        tables.retire(df.sparkSession, path, keep)
 
 
 def read_snapshot(
     spark: SparkSession, path: str, schema: T.StructType, before: int | None = None, at: int | None = None
 ) -> DataFrame:
-    """The newest snapshot, the newest one older than ``before``, or the one ``at``; empty when there is none.
-
-    The newest value is a subquery on the partition column; the rows are read from the chosen folder only.
-    """
-    table = _read_or_empty(spark, path, _with_ints(schema, "snapshot"))
-    if at is not None:
-        return table.where(F.col("snapshot") == at).drop("snapshot")
-    if before is not None:
-        table = table.where(F.col("snapshot") < before)
-    newest = table.agg(F.max("snapshot")).scalar()
-    return table.where(F.col("snapshot") == newest).drop("snapshot")
+    """The newest snapshot, the newest one older than ``before``, or the one ``at``; empty when there is none."""
+    return tables.read_table(spark, path, schema, at, before)
 
 
 def append_facts(df: DataFrame, path: str, batch: int, date_col: str = "date") -> None:
