@@ -1,16 +1,58 @@
-"""The daily load of the star schema."""
+"""The daily load of the star schema. After the first load it costs the increment.
+
+Facts are kept by day and dimensions as parts that are only added to, all as versions of stored tables
+(``sources/tables.py``). A load reads the landing rows dated after the mark, which is the newest day that the
+performance fact lists, less a lookback, plus days that are named as changed. These days are computed whole and replace
+their own parts, so a late row changes its day once and a load that runs again gives the same. Members are looked for in
+the same rows only and compared with the dimensions.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftledger import params, schemas
-from shiftledger.operators.aggregates import max_loaded_date
 from shiftledger.plans import dimensions, facts
-from shiftledger.sources.writers import append_facts, read_facts, read_snapshot, write_snapshot
+from shiftledger.sources import tables
+
+# The tables of the warehouse folder.
+TABLES = {
+    "members": schemas.MEMBERS,
+    "dim_location": schemas.DIM_LOCATION,
+    "dim_item": schemas.DIM_ITEM,
+    "dim_practitioner": schemas.DIM_PRACTITIONER,
+    "fact_performance": schemas.FACT_PERFORMANCE,
+    "fact_appointments": schemas.FACT_APPOINTMENTS,
+}
+CURRENT = "current"
+
+
+def read(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
+    """A table of the warehouse at its newest version."""
+    return tables.read_table(spark, f"{warehouse}/{name}", TABLES[name])
+
+
+def loaded_until(spark: SparkSession, warehouse: str, default_mark: dt.date = params.DEFAULT_MARK) -> dt.date:
+    """The newest day of the performance fact. The day is in the manifest; no rows are read."""
+    found = tables.manifest(spark, f"{warehouse}/fact_performance")
+    days = [k for k in found.parts if k != tables.UNDATED] if found else []
+    return dt.date.fromisoformat(max(days)) if days else default_mark
+
+
+def days_of(rows: DataFrame, col: str = "purchase_date") -> list[dt.date]:
+    """The days of some rows, for instance of newly landed ones; the driver gets one value per day."""
+    return sorted(r[0] for r in rows.select(col).where(F.col(col).isNotNull()).distinct().collect())
+
+
+def increment(rows: DataFrame, col: str, since: dt.date, changed: Sequence[dt.date] = ()) -> DataFrame:
+    """Rows dated after ``since`` or on one of the changed days, with literal bounds that reach the scan."""
+    newer = F.col(col) > F.lit(since)
+    older = [d for d in changed if d <= since]
+    return rows.where(newer | F.col(col).isin(older) if older else newer)
 
 
 def run_daily(
@@ -21,53 +63,81 @@ def run_daily(
     batch_date: dt.date,
     email_domain: str = params.EMAIL_DOMAIN,
     default_mark: dt.date = params.DEFAULT_MARK,
+    lookback_days: int = 0,
+    changed_days: Sequence[dt.date] = (),
 ) -> None:
     """Bring the warehouse folder up to date with the landing rows.
 
-    The members are drawn from the landing rows in one pass and kept as a table for the dimensions.
-    Locations and items come first, then practitioners, then both facts from one mark taken before
-    either is written. The performance fact, which carries the mark, is written last: when a run is
-    lost half way, the next one finds the old mark and writes the same batch again in place.
+    Locations and items come first, then practitioners, then both facts; the performance fact, which carries the
+    mark, is written last. A batch notes its lower bound with its members, so a run that was lost, or is repeated,
+    takes the same rows again. Once a later batch has been loaded, running an older one changes nothing.
+
+    Late rows may bring unknown members, but only rows after the mark, and those of unknown people, make new versions of
+    practitioners.
     """
     batch = batch_date.year * 10_000 + batch_date.month * 100 + batch_date.day
     path = {name: f"{warehouse}/{name}" for name in TABLES}
+    if any(version > batch for version in tables.versions(spark, path["dim_practitioner"])):
+        return
+    own = tables.manifest(spark, path["members"], at=batch)
+    if own:
+        mark = dt.date.fromisoformat(own.notes["mark"])
+        since = dt.date.fromisoformat(own.notes["since"])
+        changed_days = sorted({*changed_days, *map(dt.date.fromisoformat, own.notes["changed"].split())})
+    else:
+        mark = loaded_until(spark, warehouse, default_mark)
+        since = mark - dt.timedelta(days=lookback_days)
+    notes = {"mark": str(mark), "since": str(since), "changed": " ".join(map(str, changed_days))}
+    fresh = increment(landing, "purchase_date", since, changed_days)
 
-    def before(name: str) -> DataFrame:
-        return read_snapshot(spark, path[name], TABLES[name], before=batch)
+    found = dimensions.fill(dimensions.members(fresh), schemas.MEMBERS)
+    tables.write_table(found, path["members"], batch, notes=notes)
+    seen = tables.read_table(spark, path["members"], schemas.MEMBERS, at=batch)
 
-    def now(name: str) -> DataFrame:
-        """This batch's own snapshot, also when a later batch has been loaded before."""
-        return read_snapshot(spark, path[name], TABLES[name], at=batch)
+    def extended(name: str, add) -> DataFrame:
+        """The dimension before the batch and, as one more part, the new members."""
+        before = tables.manifest(spark, path[name], before=batch) or tables.Manifest(0)
+        known = tables.read_manifest(spark, path[name], TABLES[name], before)
+        new = tables.write_parts(add(known, seen), path[name])
+        parts = {**before.parts, f"batch-{batch}": new[tables.WHOLE]}
+        tables.commit(spark, path[name], tables.Manifest(batch, parts))
+        return tables.read_table(spark, path[name], TABLES[name], at=batch)
 
-    write_snapshot(dimensions.members(landing), path["members"], batch)
-    seen = now("members")
-    for name, add in (("dim_location", dimensions.add_locations), ("dim_item", dimensions.add_items)):
-        known = before(name)
-        write_snapshot(known.unionByName(add(known, seen)), path[name], batch)
+    places = extended("dim_location", dimensions.add_locations)
+    items = extended("dim_item", dimensions.add_items)
+    people = merge_history(spark, path["dim_practitioner"], seen, mark, places, email_domain, batch_date, batch)
 
-    people = dimensions.merge_practitioners(
-        before("dim_practitioner"), seen, now("dim_location"), email_domain, batch_date
-    )
-    write_snapshot(people, path["dim_practitioner"], batch)
+    planned = increment(target, "appt_date", since, changed_days)
+    days = {str(day) for day in changed_days}
+    for name, rows in (
+        ("fact_appointments", facts.fact_appointments(fresh, people, places, items)),
+        ("fact_performance", facts.fact_performance(fresh, planned, people, places)),
+    ):
+        tables.replace_parts(rows, path[name], tables.day("date"), days)
 
-    loaded = read_facts(spark, path["fact_performance"], TABLES["fact_performance"])
-    newest_year = loaded.agg(F.max("year")).scalar()
-    mark = max_loaded_date(loaded.where(F.col("year") == newest_year), default_mark)
-    people, places, items = now("dim_practitioner"), now("dim_location"), now("dim_item")
-    append_facts(
-        facts.new_fact_appointments(landing, people, places, items, mark), path["fact_appointments"], batch
-    )
-    append_facts(
-        facts.new_fact_performance(landing, target, people, places, mark), path["fact_performance"], batch
-    )
 
+def merge_history(
+    spark: SparkSession,
+    path: str,
+    seen: DataFrame,
+    mark: dt.date,
+    places: DataFrame,
+    email_domain: str,
+    batch_date: dt.date,
+    batch: int,
+) -> DataFrame:
+    """Merge the members into the stored practitioner dimension and give its current versions.
 
-# The tables of the warehouse folder.
-TABLES = {
-    "members": schemas.MEMBERS,
-    "dim_location": schemas.DIM_LOCATION,
-    "dim_item": schemas.DIM_ITEM,
-    "dim_practitioner": schemas.DIM_PRACTITIONER,
-    "fact_performance": schemas.FACT_PERFORMANCE,
-    "fact_appointments": schemas.FACT_APPOINTMENTS,
-}
+    Current and closed versions are parts of their own. A merge reads and rewrites the current part; versions that it
+    closes become one more closed part, and the closed parts of earlier batches keep their files.
+    """
+    before = tables.manifest(spark, path, before=batch) or tables.Manifest(0)
+    current = tables.read_manifest(spark, path, schemas.DIM_PRACTITIONER, before, lambda part: part == CURRENT)
+    known = current.select(F.col("practitioner_id").alias("staff_id")).distinct().withColumn("_known", F.lit(True))
+    rows = seen.join(known, "staff_id", "left").where((F.col("purchase_date") > F.lit(mark)) | F.col("_known").isNull())
+    merged = dimensions.merge_practitioners(current, rows.drop("_known"), places, email_domain, batch_date)
+    part = F.when(F.col("is_current"), CURRENT).otherwise(f"closed-{batch}")
+    closed = {k: v for k, v in before.parts.items() if k != CURRENT}
+    new = tables.write_parts(merged, path, part)
+    tables.commit(spark, path, tables.Manifest(batch, {**closed, **new}))
+    return tables.read_table(spark, path, schemas.DIM_PRACTITIONER, at=batch, wanted=lambda name: name == CURRENT)

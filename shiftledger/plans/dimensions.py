@@ -133,18 +133,21 @@ def first_practitioners(rows: DataFrame, dim_location: DataFrame, email_domain:
 
 
 def latest_people(rows: DataFrame) -> DataFrame:
-    """The newest row of each practitioner.
+    """The newest row of each practitioner; of several on one day the greatest by manager, location and name.
 
-    Equal rows of a person are merged first with a plain maximum, so the ordered pick that follows
-    works on the few versions of each person and not on the appointments.
+    Equal rows of a person are merged first with a plain maximum, then the newest day of each person is joined back.
+    What is left are the versions of one person on one day, a handful, of which the greatest is picked. All groupings
+    are hashed; none has to sort names.
     """
     versions = (
         rows.where(F.col("staff_id").isNotNull())
         .groupBy("staff_id", "staff_name", "manager", "location")
         .agg(F.max("purchase_date").alias("seen"))
     )
-    newest = F.max(F.struct("seen", "manager", "location", "staff_name")).alias("v")
-    return versions.groupBy("staff_id").agg(newest).select(
+    newest = versions.groupBy(F.col("staff_id").alias("_id")).agg(F.max("seen").alias("_newest"))
+    last = versions.join(newest, (F.col("staff_id") == F.col("_id")) & F.col("seen").eqNullSafe(F.col("_newest")))
+    found = F.sort_array(F.collect_set(F.struct("manager", "location", "staff_name")), asc=False)
+    return last.groupBy("staff_id").agg(F.get(found, F.lit(0)).alias("v")).select(
         F.col("staff_id").alias("practitioner_id"),
         F.col("v.staff_name").alias("practitioner_name"),
         F.col("v.manager").alias("manager_name"),

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 
 from shiftledger import schemas
 from shiftledger.plans import facts
-from shiftledger.plans.daily import TABLES, run_daily
+from shiftledger.plans.daily import TABLES, read, run_daily
 from shiftledger.sources import readers, writers
 
 D = dt.date
@@ -119,8 +119,8 @@ def target(spark):
 
 
 def tables(spark, root):
-    dims = {n: writers.read_snapshot(spark, f"{root}/{n}", TABLES[n]) for n in TABLES if n.startswith("dim_")}
-    loaded = {n: writers.read_facts(spark, f"{root}/{n}", TABLES[n]).select(*TABLES[n].names) for n in TABLES if n.startswith("fact_")}
+    dims = {n: read(spark, root, n) for n in TABLES if n.startswith("dim_")}
+    loaded = {n: read(spark, root, n) for n in TABLES if n.startswith("fact_")}
     return dims, loaded
 
 
@@ -159,7 +159,7 @@ def test_a_run_lost_between_the_facts_is_made_good(spark, tmp_path, landing, tar
         raise RuntimeError("executor lost")
 
     with monkeypatch.context() as patch:
-        patch.setattr(facts, "new_fact_performance", lost)
+        patch.setattr(facts, "fact_performance", lost)
         with pytest.raises(RuntimeError):
             run_daily(spark, root, landing, target, D(2024, 8, 2))
     assert tables(spark, root)[1]["fact_performance"].count() == 0
