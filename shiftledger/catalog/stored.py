@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shiftledger import params as p
 from shiftledger import schemas
 from shiftledger.catalog import targets
 from shiftledger.catalog.base import query, same_as
-from shiftledger.plans import stored
+from shiftledger.plans import daily, stored
 from shiftledger.session import work_dir
 from shiftledger.sources import tables, writers
 from shiftledger.sources.mapping import Landing
@@ -57,3 +59,41 @@ def stored_snapshots(t: Landing) -> DataFrame:
         writers.write_snapshot(people, path, snapshot, keep=2)
     tables.write_parts(people.limit(1), path)  # lost before its commit
     return writers.read_snapshot(t.spark, path, schemas.PRACTITIONER)
+
+
+_NATURAL = "date, practitioner_id, manager_name, location_name, target_hour, actual_hour, total_billing"
+_NATURAL_SQL = """
+    SELECT f.date, d.practitioner_id, d.manager_name, l.location_name, f.target_hour, f.actual_hour, f.total_billing
+    FROM fact_performance f JOIN dim_practitioner d ON f.practitioner_dim_id = d.practitioner_dim_id
+    JOIN dim_location l ON f.location_id = l.location_id"""
+
+
+def natural_performance(t: Landing, warehouse: str) -> DataFrame:
+    """The stored performance fact under natural keys."""
+    people = daily.read(t.spark, warehouse, "dim_practitioner")
+    places = daily.read(t.spark, warehouse, "dim_location").select("location_id", "location_name")
+    people = people.select("practitioner_dim_id", "practitioner_id", "manager_name")
+    fact = daily.read(t.spark, warehouse, "fact_performance")
+    return fact.join(people, "practitioner_dim_id").join(places, "location_id").select(*_NATURAL.split(", "))
+
+
+@query("daily_load", _NATURAL_SQL, "fact_performance dim_practitioner dim_location")
+def daily_load(t: Landing) -> DataFrame:
+    """The warehouse after a first load and one of the rows since; the second reads the increment only."""
+    warehouse = work_dir(t.spark, "warehouse")
+    for until, batch in ((p.SPLIT_DATE, p.SPLIT_DATE), (None, p.SPLIT_DATE + dt.timedelta(days=365))):
+        daily.run_daily(t.spark, warehouse, t.input(until=until), t.target(), batch)
+    return natural_performance(t, warehouse)
+
+
+@same_as("daily_load", "daily_load_late_rows")
+def daily_load_late_rows(t: Landing) -> DataFrame:
+    """A fifth of a month's rows land a batch late; their days are computed again and replace their own parts."""
+    warehouse = work_dir(t.spark, "warehouse")
+    first = t.input(until=p.SPLIT_DATE)
+    late = F.col("purchase_date").between(F.lit(p.LATE_START), F.lit(p.LATE_END)) & (F.col("invoice_no") % 5 == 0)
+    daily.run_daily(t.spark, warehouse, first.where(~late), t.target(), p.SPLIT_DATE)
+    days = daily.days_of(first.where(late))
+    batch = p.SPLIT_DATE + dt.timedelta(days=365)
+    daily.run_daily(t.spark, warehouse, t.input(), t.target(), batch, changed_days=days)
+    return natural_performance(t, warehouse)

@@ -18,6 +18,8 @@ HOLIDAY_MONTH_DAYS = ((1, 1), (5, 18), (7, 1), (12, 25))
 
 DEFAULT_MARK = dt.date(1994, 12, 31)
 SPLIT_DATE = dt.date(2000, 12, 31)
+LATE_START = dt.date(1997, 3, 1)
+LATE_END = dt.date(1997, 3, 31)
 FIRST_LOAD_DATE = dt.date(1995, 1, 2)
 AS_OF = dt.date(1998, 4, 15)
 

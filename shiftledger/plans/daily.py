@@ -1,10 +1,10 @@
 """The daily load of the star schema. After the first load it costs the increment.
 
-Facts are kept by day and dimensions as parts that are only added to, all as versions of stored tables
-(``sources/tables.py``). A load reads the landing rows dated after the mark, which is the newest day that the
-performance fact lists, less a lookback, plus days that are named as changed. These days are computed whole and replace
-their own parts, so a late row changes its day once and a load that runs again gives the same. Members are looked for in
-the same rows only and compared with the dimensions.
+Facts are kept by month and dimensions as parts that are only added to, all as versions of stored tables
+(``sources/tables.py``). A load reads the landing rows dated after the mark, which is the newest day of the performance
+fact, less a lookback, plus days that are named as changed. These days are computed whole and take the place of what the
+fact holds of them, so a late row changes its day once and a load that runs again gives the same; months without such a
+day keep their files. Members are looked for in the same rows only and compared with the dimensions.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftledger import params, schemas
@@ -37,10 +37,14 @@ def read(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
 
 
 def loaded_until(spark: SparkSession, warehouse: str, default_mark: dt.date = params.DEFAULT_MARK) -> dt.date:
-    """The newest day of the performance fact. The day is in the manifest; no rows are read."""
-    found = tables.manifest(spark, f"{warehouse}/fact_performance")
-    days = [k for k in found.parts if k != tables.UNDATED] if found else []
-    return dt.date.fromisoformat(max(days)) if days else default_mark
+    """The newest day of the performance fact; only its newest month is read."""
+    path = f"{warehouse}/fact_performance"
+    found = tables.manifest(spark, path)
+    months = [k for k in found.parts if k != tables.UNDATED] if found else []
+    if not months:
+        return default_mark
+    newest = tables.read_manifest(spark, path, schemas.FACT_PERFORMANCE, found, lambda part: part == max(months))
+    return newest.agg(F.max("date")).first()[0]
 
 
 def days_of(rows: DataFrame, col: str = "purchase_date") -> list[dt.date]:
@@ -50,9 +54,13 @@ def days_of(rows: DataFrame, col: str = "purchase_date") -> list[dt.date]:
 
 def increment(rows: DataFrame, col: str, since: dt.date, changed: Sequence[dt.date] = ()) -> DataFrame:
     """Rows dated after ``since`` or on one of the changed days, with literal bounds that reach the scan."""
+    return rows.where(_in_increment(col, since, changed))
+
+
+def _in_increment(col: str, since: dt.date, changed: Sequence[dt.date]) -> Column:
     newer = F.col(col) > F.lit(since)
     older = [d for d in changed if d <= since]
-    return rows.where(newer | F.col(col).isin(older) if older else newer)
+    return newer | F.col(col).isin(older) if older else newer
 
 
 def run_daily(
@@ -108,12 +116,25 @@ def run_daily(
     people = merge_history(spark, path["dim_practitioner"], seen, mark, places, email_domain, batch_date, batch)
 
     planned = increment(target, "appt_date", since, changed_days)
-    days = {str(day) for day in changed_days}
-    for name, rows in (
-        ("fact_appointments", facts.fact_appointments(fresh, people, places, items)),
-        ("fact_performance", facts.fact_performance(fresh, planned, people, places)),
-    ):
-        tables.replace_parts(rows, path[name], tables.day("date"), days)
+    restate(spark, path, "fact_appointments", facts.fact_appointments(fresh, people, places, items), since, changed_days)
+    restate(spark, path, "fact_performance", facts.fact_performance(fresh, planned, people, places), since, changed_days)
+
+
+def restate(
+    spark: SparkSession, path: dict[str, str], name: str, rows: DataFrame, since: dt.date, changed: Sequence[dt.date]
+) -> None:
+    """Put ``rows``, all facts of the increment's days, in the place of what the fact table holds of these days."""
+    months = {f"{d:%Y-%m}" for d in changed}
+    first = f"{since + dt.timedelta(days=1):%Y-%m}"
+
+    def touched(part: str) -> bool:
+        return part != tables.UNDATED and (part >= first or part in months)
+
+    found = tables.manifest(spark, path[name])
+    kept = tables.read_manifest(spark, path[name], TABLES[name], found, touched)
+    kept = kept.where(~_in_increment("date", since, changed))
+    gone = [part for part in found.parts if touched(part)] if found else []
+    tables.replace_parts(kept.unionByName(rows), path[name], tables.month("date"), gone)
 
 
 def merge_history(

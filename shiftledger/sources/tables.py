@@ -1,12 +1,12 @@
 """Stored tables with versions.
 
 A table is a folder of data folders, each written once and never changed, and one small manifest per version. The
-manifest names the folder of every part (a month, a day, or the whole) and is committed last, by a rename: a version is
+manifest names the folder of every part (a month, or the whole) and is committed last, by a rename: a version is
 exactly what its manifest lists, and data of a lost run are invisible. A change writes new folders for the parts that
 it touches; all others keep their files. Reading a version lists that version's folders only, and no job is needed to
 find the newest one. A table has one writer at a time.
 
-Manifests hold one entry per part, so their size is bounded by the number of months or days, not by the rows.
+Manifests hold one entry per part, so their size is bounded by the number of months, not by the rows.
 """
 
 from __future__ import annotations
@@ -42,11 +42,6 @@ def month(col: ColumnOrDate) -> Column:
     return F.coalesce(F.date_format(as_col(col), "yyyy-MM"), F.lit(UNDATED))
 
 
-def day(col: ColumnOrDate) -> Column:
-    """The part of a row in a table kept by day."""
-    return F.coalesce(F.date_format(as_col(col), "yyyy-MM-dd"), F.lit(UNDATED))
-
-
 def parts_of(rows: DataFrame, part: Column) -> set[str]:
     """The parts that rows fall into; the driver gets one value per part."""
     return {r[0] for r in rows.select(part).distinct().collect()}

@@ -43,6 +43,7 @@ def natural(spark, root, rows):
 
 
 BASE = [(i, "Kim", f"P{i}", f"I{i % 2}", D(2024, 5, d)) for i in (1, 2, 3) for d in (1, 2, 3, 6)]
+BASE += [(3, "Kim", "P3", "I1", D(2024, m, 1)) for m in (3, 4)]
 
 
 def test_days_in_order_equal_one_load(spark, tmp_path, landing, target, rows):
@@ -61,7 +62,8 @@ def test_days_in_order_equal_one_load(spark, tmp_path, landing, target, rows):
 
 
 def test_late_rows_change_their_day_once(spark, tmp_path, landing, target, rows):
-    late = [(1, "Kim", "P1", "I1", D(2024, 5, 3)), (5, "Kim", "P5", "I5", D(2024, 5, 1)), (1, "Old", "P1", "I1", D(2024, 5, 3))]
+    late = [(1, "Kim", "P1", "I1", D(2024, 5, 3)), (3, "Kim", "P3", "I1", D(2024, 4, 1)), (5, "Kim", "P5", "I5", D(2024, 5, 1)), (1, "Old", "P1", "I1", D(2024, 5, 3))]
+    same = (1, "Kim", "P1", "I1", D(2024, 5, 3))
     root, whole = str(tmp_path / "late"), str(tmp_path / "whole")
     daily.run_daily(spark, root, landing(*BASE), target, D(2024, 5, 6))
     before = {k: v for k, v in tables.manifest(spark, f"{root}/fact_performance").parts.items()}
@@ -73,8 +75,8 @@ def test_late_rows_change_their_day_once(spark, tmp_path, landing, target, rows)
         assert [r for r in found if r[:2] == (D(2024, 5, 3), 1)] == [(D(2024, 5, 3), 1, "Kim", "P1", H("6.0"), H("6.0"), H("30.0"))]
         assert [r for r in found if r[1] == 5] == [(D(2024, 5, 1), 5, "Kim", "P5", H(0), H("2.0"), H("10.0"))]
         after = tables.manifest(spark, f"{root}/fact_performance").parts
-        assert {k for k in after if before.get(k) != after[k]} == {"2024-05-01", "2024-05-03", "2024-05-08"}
-    daily.run_daily(spark, whole, landing(*BASE, *late[:2], *new, (1, "Kim", "P1", "I1", D(2024, 5, 3))), target, D(2024, 5, 8))
+        assert {k for k in after if before.get(k) != after[k]} == {"2024-04", "2024-05"}, "March keeps its files"
+    daily.run_daily(spark, whole, landing(*BASE, *late[:3], *new, same), target, D(2024, 5, 8))
     assert found == natural(spark, whole, rows)
 
 
