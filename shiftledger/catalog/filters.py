@@ -102,6 +102,43 @@ def filter_row_security_master(t: Landing) -> DataFrame:
     return filters.row_security(t.performance(), "master")
 
 
+_USERS = """
+    SELECT practitioner_id AS user_id, CASE practitioner_id % 7 WHEN 0 THEN 'guest' WHEN 1 THEN 'manager' ELSE 'secondary' END AS role,
+           practitioner_id, manager_name FROM practitioner
+    UNION ALL SELECT practitioner_id, 'manager', NULL, manager_name FROM practitioner WHERE practitioner_id % 50 = 0
+    UNION ALL SELECT 0, 'master', NULL, NULL"""
+
+
+def entitlements(t: Landing) -> DataFrame:
+    """Who may see whose rows: practitioners their own, some of them their manager's, guests none, user 0 all."""
+    people = t.practitioner().select("practitioner_id", "manager_name").withColumn("user_id", F.col("practitioner_id"))
+    kind = F.col("user_id") % 7
+    role = F.when(kind == 0, "guest").when(kind == 1, "manager").otherwise("secondary")
+    more = people.where(F.col("user_id") % 50 == 0).withColumn("practitioner_id", F.lit(None).cast("bigint"))
+    master = t.spark.range(1).select(F.col("id").alias("user_id"), F.lit("master").alias("role"))
+    users = people.withColumn("role", role).unionByName(more.withColumn("role", F.lit("manager")))
+    return users.unionByName(master, allowMissingColumns=True)
+
+
+@query(
+    "filter_entitlements",
+    f"""
+    SELECT user_id, count(*) AS visible_rows, CAST(sum(actual_hour) AS DECIMAL(15,1)) AS visible_hours
+    FROM (SELECT DISTINCT user_id, rid, actual_hour
+          FROM ({_USERS}) u JOIN (SELECT row_number() OVER () AS rid, staff_id, manager, actual_hour FROM landing) l
+            ON role = 'master' OR role = 'manager' AND manager_name = manager OR role = 'secondary' AND practitioner_id = staff_id)
+    GROUP BY user_id""",
+    "landing practitioner",
+)
+def filter_entitlements(t: Landing) -> DataFrame:
+    """What every user may see of the appointments, for all users in one pass."""
+    rows = t.input(items=False).select(
+        F.col("staff_id").alias("practitioner_id"), F.col("manager").alias("manager_name"), "actual_hour"
+    )
+    seen = filters.entitled_rows(rows, entitlements(t))
+    return seen.groupBy("user_id").agg(F.count("*").alias("visible_rows"), F.sum("actual_hour").alias("visible_hours"))
+
+
 @query(
     "normalise_columns",
     """

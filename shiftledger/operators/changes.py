@@ -18,7 +18,8 @@ from shiftledger.operators.joins import PERSON_DAY
 
 def one_per_key(change: DataFrame, keys: Sequence[str], order: Sequence[str] = ("updated_at",)) -> DataFrame:
     """The last change of each key by ``order``, as far as the change has those columns; ties and changes without
-    them go to the greatest other values. Repeated keys so leave one row, whatever the order of the input."""
+    them go to the greatest other values, numbers and dates before texts. Repeated keys so leave one row, whatever the
+    order of the input."""
     first = [c for c in order if c in change.columns]
     rest = [c for c in change.columns if c not in keys and c not in first]
     return last_writer(change, list(keys), [*first, *rest])

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftledger.functions import dates
 from shiftledger.functions.values import clean_name
@@ -73,6 +74,33 @@ def row_security(df: DataFrame, role: str, practitioner_id: int | None = None) -
     return df.where(F.lit(False))
 
 
+def entitled_rows(df: DataFrame, entitlements: DataFrame) -> DataFrame:
+    """The rows that each user may see, for all users in one pass, with ``user_id``.
+
+    ``entitlements`` holds user_id, role, practitioner_id and manager_name. A master sees all rows, a manager those of
+    the named manager's practitioners, a secondary user those of the named practitioner; other roles, and roles without
+    the id or name they need, see nothing. A user with several entitlements sees a row once. Each kind of entitlement
+    is one join on its own key; masters' rows are asked for by a grouped list of them, so that no pair of rows is
+    compared.
+    """
+    users = entitlements.select("user_id", "role", F.col("practitioner_id").alias("_person"), F.col("manager_name").alias("_manager"))
+    own = users.where((F.col("role") == "secondary") & F.col("_person").isNotNull()).select("user_id", "_person").distinct()
+    led = users.where((F.col("role") == "manager") & F.col("_manager").isNotNull()).select("user_id", "_manager").distinct()
+    # Users by person and by manager: lists, so that every row is joined once and expanded at the end.
+    by_person = own.groupBy("_person").agg(F.collect_set("user_id").alias("_by_person"))
+    by_manager = led.groupBy("_manager").agg(F.collect_set("user_id").alias("_by_manager"))
+    masters = users.where(F.col("role") == "master").agg(F.collect_set("user_id").alias("m"))
+    no_one = F.array().cast(T.ArrayType(entitlements.schema["user_id"].dataType))
+    seen = F.array_union(
+        F.array_union(F.coalesce("_by_person", no_one), F.coalesce("_by_manager", no_one)), masters.scalar()
+    )
+    return (
+        df.join(by_person, F.col("practitioner_id") == F.col("_person"), "left")
+        .join(by_manager, F.col("manager_name") == F.col("_manager"), "left")
+        .select(F.explode(seen).alias("user_id"), *[F.col(c) for c in df.columns])
+    )
+
+
 def weekday_in_plan(df: DataFrame, col: str, plan: dict[str, float]) -> DataFrame:
     """Rows whose weekday is planned, with the planned ``target_hour``.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shiftledger.functions import dates
 from shiftledger.operators.aggregates import latest_date
+from shiftledger.operators.aggregates import last_writer
 from shiftledger.operators.changes import one_per_key, upsert
 from shiftledger.operators.filters import between_dates, pick_group, weekday_in_plan
 from shiftledger.operators.joins import PERSON_DAY, person_days, with_practitioner_details
@@ -224,9 +225,9 @@ def clone_over_range(
     targets: DataFrame, source: DataFrame, start: dt.date, end: dt.date, updated_at: Column
 ) -> DataFrame:
     """The target table after each person's newest source hour is written on every day of the range."""
-    newest = F.max(F.struct("target_date", "target_hour", "practitioner_name")).alias("_newest")
-    hours = source.groupBy("practitioner_id").agg(newest)  # one row per person, also after a change of name
-    hours = hours.select("practitioner_id", "_newest.practitioner_name", "_newest.target_hour")
+    order = ["target_date", "target_hour", "practitioner_name"]
+    hours = last_writer(source.select("practitioner_id", *order), ["practitioner_id"], order)
+    hours = hours.drop("target_date")  # one row per person, also after a change of name
     change = person_days(hours, start, end).withColumn("updated_at", updated_at)
     return upsert(targets, change)
 

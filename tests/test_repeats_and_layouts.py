@@ -9,7 +9,8 @@ import pytest
 from shiftledger import params as p
 from shiftledger import schemas
 from shiftledger.catalog import all_queries
-from shiftledger.operators import changes
+from shiftledger.operators import changes, filters
+from shiftledger.operators.aggregates import last_writer
 from shiftledger.plans import daily, planning
 from shiftledger.sources import readers, writers
 from shiftledger.sources.mapping import Landing, timestamp
@@ -108,6 +109,48 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_last_writer_by_numbers_dates_and_texts(spark, rows):
+    log = spark.createDataFrame(
+        [
+            (1, T0, H("4.0"), "b", None), (1, T1, H("3.0"), "a", 7), (1, T1, None, "z", 9), (1, T1, H("3.0"), "c", 1),
+            (2, None, H("1.0"), "x", 1), (2, T0, H("0.5"), None, 2), (None, T0, H("1.0"), "n", 1), (None, T2, H("1.0"), "m", 1),
+            (3, T0, H("-2.0"), "p", -5), (3, T0, H("-2.0"), "p", -6), (3, T0, H("-2.0"), "p", -5),
+        ],
+        "k long, at timestamp_ntz, hour decimal(5,1), name string, n long",
+    )
+    found = last_writer(log, ["k"], ["at", "name", "hour", "n"])
+    # Of equal times the greatest hour counts before the name; n has no room in the number and is compared last.
+    assert rows(found, "k", "hour", "name", "n") == [
+        (None, H("1.0"), "m", 1), (1, H("3.0"), "c", 1), (2, H("0.5"), None, 2), (3, H("-2.0"), "p", -5),
+    ]
+
+
+@tables
+@pytest.mark.parametrize("key", ["upsert_last_writer", "upsert_targets", "update_targets", "targets_clone_broadcast", "target_weekly_update", "scd2_merge_practitioner"])
+def test_no_grouping_has_to_sort(spark, key):
+    assert "SortAggregate" not in plan_of(all_queries()[key](spark, SF_DIR))
+
+
+def test_entitlements(spark, rows):
+    data = spark.createDataFrame([(1, "Kim", 10), (2, "Kim", 20), (3, "Lou", 30), (3, "Lou", 31), (4, None, 40)], "practitioner_id long, manager_name string, v int")
+    users = spark.createDataFrame(
+        [
+            (100, "master", None, None), (101, "secondary", 3, None), (102, "manager", None, "Kim"), (102, "secondary", 1, None),
+            (103, "guest", 1, "Kim"), (104, "secondary", None, None), (105, "manager", 1, None), (106, "secondary", 9, None),
+            (101, "secondary", 3, "Lou"), (107, None, 1, "Kim"), (108, "master", None, None),
+        ],
+        "user_id long, role string, practitioner_id long, manager_name string",
+    )
+    everything = [(u, v) for u in (100, 108) for v in (10, 20, 30, 31, 40)]
+    found = filters.entitled_rows(data, users)
+    assert found.columns == ["user_id", *data.columns]
+    assert rows(found, "user_id", "v") == sorted(everything + [(101, 30), (101, 31), (102, 10), (102, 20)])
+    none = filters.entitled_rows(data, users.where("role = 'guest'"))
+    assert none.count() == 0
+    plan = plan_of(found)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 @tables
 def test_plans(spark):
     t = Landing(spark, SF_DIR)
