@@ -188,22 +188,23 @@ VIEWS: dict[str, tuple[str, str]] = {
     "newcomers": (
         "landing_new dim_practitioner_old dim_location",
         f"""
-        SELECT (SELECT max(practitioner_dim_id) FROM dim_practitioner_old)
-                   + row_number() OVER (ORDER BY {_PERSON_DIGEST}, practitioner_id) AS practitioner_dim_id,
-               n.practitioner_id, n.practitioner_name,
-               lower(replace(n.practitioner_name, ' ', '.')) || '@{p.EMAIL_DOMAIN}' AS email,
-               CAST(NULL AS VARCHAR) AS contract_type, n.manager_name, d.location_id, d.location_name,
-               {day(p.SPLIT_DATE)} + 1 AS effective_start_date, CAST(NULL AS DATE) AS effective_end_date,
-               TRUE AS is_current
-        FROM (SELECT staff_id AS practitioner_id, staff_name AS practitioner_name, manager AS manager_name,
-                     location AS location_name
-              FROM landing_new
-              QUALIFY row_number() OVER (PARTITION BY staff_id
-                  ORDER BY purchase_date DESC, manager DESC, location DESC, staff_name DESC) = 1) n
-        JOIN dim_location d USING (location_name)
-        WHERE NOT EXISTS (SELECT 1 FROM dim_practitioner_old o
-                          WHERE o.practitioner_id = n.practitioner_id
-                            AND o.manager_name = n.manager_name AND o.is_current)""",
+        WITH seen AS (
+            SELECT staff_id AS practitioner_id,
+                   max({{'on': purchase_date, 'manager_name': manager, 'location_name': location, 'practitioner_name': staff_name}}) AS last
+            FROM landing_new GROUP BY staff_id),
+        led AS (SELECT practitioner_id, list(DISTINCT manager_name) AS managers
+                FROM dim_practitioner_old WHERE is_current GROUP BY ALL),
+        moved AS (
+            SELECT practitioner_id, last.practitioner_name, last.manager_name, last.location_name
+            FROM seen LEFT JOIN led USING (practitioner_id)
+            WHERE managers IS NULL OR coalesce(list_position(managers, last.manager_name), 0) = 0)
+        SELECT (SELECT count(*) FROM dim_practitioner_old) + row_number() OVER (ORDER BY {_PERSON_DIGEST}, practitioner_id)
+                   AS practitioner_dim_id, practitioner_id, practitioner_name,
+               concat(lower(replace(practitioner_name, ' ', '.')), '@', '{p.EMAIL_DOMAIN}') AS email,
+               NULL::VARCHAR AS contract_type, manager_name, location_id, location_name,
+               {day(p.SPLIT_DATE + dt.timedelta(days=1))} AS effective_start_date, NULL::DATE AS effective_end_date,
+               true AS is_current
+        FROM moved NATURAL JOIN (SELECT location_id, location_name FROM dim_location)""",
     ),
     "dim_appended": (
         "dim_practitioner_old newcomers",
@@ -212,14 +213,11 @@ VIEWS: dict[str, tuple[str, str]] = {
     "dim_practitioner_new": (
         "dim_appended",
         f"""
-        SELECT * EXCLUDE (replaced) REPLACE (
-            CASE WHEN is_current AND replaced THEN {day(p.SPLIT_DATE)} ELSE effective_end_date END
-                AS effective_end_date,
-            is_current AND NOT replaced AS is_current)
-        FROM (SELECT x.*, EXISTS (SELECT 1 FROM dim_appended o
-                                  WHERE o.is_current AND o.practitioner_id = x.practitioner_id
-                                    AND o.practitioner_dim_id > x.practitioner_dim_id) AS replaced
-              FROM dim_appended x)""",
+        WITH numbered AS (SELECT *, is_current AND practitioner_dim_id = max(practitioner_dim_id) OVER (
+                              PARTITION BY practitioner_id, is_current) AS last FROM dim_appended)
+        SELECT * EXCLUDE (last) REPLACE (
+            if(last OR NOT is_current, effective_end_date, {day(p.SPLIT_DATE)}) AS effective_end_date, last AS is_current)
+        FROM numbered""",
     ),
     "fact_performance": (
         "landing target dim_practitioner dim_location",

@@ -213,9 +213,8 @@ _VERSION = "practitioner_dim_id, practitioner_id, manager_name"
 
 
 @query("semi_newer_version", f"""
-    SELECT {_VERSION} FROM dim_appended x
-    WHERE is_current AND EXISTS (SELECT 1 FROM dim_appended o WHERE o.is_current
-          AND o.practitioner_id = x.practitioner_id AND o.practitioner_dim_id > x.practitioner_dim_id)""",
+    SELECT {_VERSION} FROM dim_appended WHERE is_current
+    QUALIFY rank() OVER (PARTITION BY practitioner_id ORDER BY practitioner_dim_id DESC) > 1""",
     "dim_appended")
 def semi_newer_version(t: Landing) -> DataFrame:
     return joins.superseded(appended_people(t)).select(*_VERSION.split(", "))

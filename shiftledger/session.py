@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -38,6 +41,14 @@ def local_session(
     return spark
 
 
+@cache
+def _local_base() -> str:
+    """A temporary folder of this process, deleted at its end."""
+    base = tempfile.mkdtemp(prefix="shiftledger-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the shared folder that the session names in ``spark.checkpoint.dir``.
 
@@ -47,5 +58,5 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="shiftledger-")
+        base = _local_base()
     return os.path.join(base.rstrip("/"), f"{name}-{uuid.uuid4().hex[:12]}")

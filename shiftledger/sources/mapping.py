@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shiftledger import params
 from shiftledger.functions import dates
+from shiftledger.sources import tables
 
 
 # The types of the driver's tables, so that no file is opened to infer them.
@@ -217,9 +218,12 @@ class Landing:
 
         All files that are there form one batch. Files are not in the order of time, so with several batches
         the watermark of one would make rows of the next late, and their number would decide the result. The
-        path is a pattern, as the source takes a single file only by one.
+        source takes folders; a single file is given as a pattern that only it matches.
         """
-        return activity_of(self.spark.readStream.schema(TABLES["events"]).parquet(f"{self.sf_dir}/events.parque[t]"))
+        path = f"{self.sf_dir}/events.parquet"
+        if not tables.is_folder(self.spark, path):
+            path = f"{self.sf_dir}/events.parque[t]"
+        return activity_of(self.spark.readStream.schema(TABLES["events"]).parquet(path))
 
 
 def activity_of(events: DataFrame) -> DataFrame:

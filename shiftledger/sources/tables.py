@@ -60,6 +60,11 @@ def _names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, found = _path(spark, path)
+    return fs.exists(found) and fs.getFileStatus(found).isDirectory()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     fs, target = _path(spark, path)
     fs.delete(target, True)
