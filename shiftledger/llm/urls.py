@@ -3,7 +3,7 @@
 A rule is a host, a path and an action. It fits its host and all subdomains where the URL's path starts with
 its path. The longest rule text wins, then the longer host, then block. Each URL is expanded into the host
 suffixes and path prefixes that have the length of some rule's; rules and expressions meet on the first
-``PREFIX`` digits of a SHA-256 and are confirmed on all of it.
+``PREFIX`` digits of a SHA-256, the join key, and are confirmed on all of it.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and no rule. Repeated rows get
 equal results each. Without rules every URL gets the default. An empty table gives an empty result.
@@ -63,6 +63,12 @@ def prepared(rules: DataFrame) -> DataFrame:
     )
 
 
+def by_prefix(listed: DataFrame) -> DataFrame:
+    """A row per digest prefix with its rules; as prefixes are 32 bits, a list is short, whatever the number of rules."""
+    rules = listed.select("rule_prefix", "rule_digest", "rank").distinct()
+    return rules.groupBy("rule_prefix").agg(F.collect_list(F.struct("rule_digest", "rank")).alias("candidates"))
+
+
 def judge(
     pages: DataFrame,
     rules: DataFrame,
@@ -101,9 +107,11 @@ def judge(
     )
     key = [*keep, "__row", "__host", "__path"]
     expressions = rows.select(*key, F.explode_outer(digests).alias("__digest"))
-    expressions = expressions.withColumn("__prefix", F.substring("__digest", 1, PREFIX))
-    confirmed = (F.col("__prefix") == F.col("rule_prefix")) & (F.col("__digest") == F.col("rule_digest"))
-    best = expressions.join(listed, confirmed, "left").groupBy(*key).agg(F.max("rank").alias("__rank"))
+    # The short prefix alone is the join key; of the rules that share it the whole digest picks.
+    found = expressions.join(by_prefix(listed), F.substring("__digest", 1, PREFIX) == F.col("rule_prefix"), "left")
+    confirmed = F.filter("candidates", lambda c: c["rule_digest"] == F.col("__digest"))
+    ranks = F.array_max(F.transform(confirmed, lambda c: c["rank"]))
+    best = found.withColumn("__rank", ranks).groupBy(*key).agg(F.max("__rank").alias("__rank"))
     # The rank gives back the rule: lengths of its text and host, and the action in the last bit.
     whole = F.shiftright("__rank", 17).cast("int")
     n = F.shiftright("__rank", 1).bitwiseAND(65535).cast("int")

@@ -42,3 +42,18 @@ def test_empty_tables(spark):
     no_rules = urls.rule_table(spark).filter("false")
     found = urls.judge(spark.createDataFrame([page(1, "http://x.net/", "")], PAGES), no_rules).collect()
     assert [(r["rule"], r["verdict"]) for r in found] == [(None, "allow")]
+
+
+def test_the_join_is_on_the_prefix_and_the_digest_confirms(spark, monkeypatch):
+    """With one digit most prefixes are shared by several rules and expressions; the results stay the same."""
+    rules = spark.createDataFrame([(f"h{k}.org", f"/{k % 3}/", "block") for k in range(60)] * 2, "host string, path string, action string")
+    urls_ = [(k, f"http://a.h{k}.org/{k % 4}/x") for k in range(80)]
+    pages = spark.createDataFrame(urls_, "page_id long, url string")
+    expected = [(k, f"h{k}.org/{k % 3}/" if k < 60 and k % 4 == k % 3 else None) for k, _ in urls_]
+    for prefix in (8, 1):
+        monkeypatch.setattr(urls, "PREFIX", prefix)
+        found = urls.judge(pages, rules)
+        assert sorted((r["page_id"], r["rule"]) for r in found.collect()) == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join" in line and "LeftOuter" in line]
+    assert joins and all("rule_digest" not in line for line in joins)
