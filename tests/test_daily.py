@@ -50,7 +50,7 @@ def test_days_in_order_equal_one_load(spark, tmp_path, landing, target, rows):
     whole, split = str(tmp_path / "whole"), str(tmp_path / "split")
     more = [(4, "Kim", "P9", "I7", D(2024, 5, 7)), (1, "Kim", "P1", "I1", D(2024, 5, 7))]
     daily.run_daily(spark, whole, landing(*BASE, *more), target, D(2024, 5, 7))
-    for day in (2, 3, 6, 7):
+    for day in (3, 6, 7):
         seen = [r for r in BASE + more if r[4] <= D(2024, 5, day)]
         daily.run_daily(spark, split, landing(*seen), target, D(2024, 5, day))
     assert natural(spark, split, rows) == natural(spark, whole, rows)
