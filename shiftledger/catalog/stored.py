@@ -12,7 +12,8 @@ from shiftledger import params as p
 from shiftledger import schemas
 from shiftledger.catalog import targets
 from shiftledger.catalog.base import query, same_as
-from shiftledger.plans import daily, stored
+from shiftledger.catalog.warehouse import star
+from shiftledger.plans import colocated, daily, kpi, stored
 from shiftledger.session import work_dir
 from shiftledger.sources import tables, writers
 from shiftledger.sources.mapping import Landing
@@ -77,13 +78,18 @@ def natural_performance(t: Landing, warehouse: str) -> DataFrame:
     return fact.join(people, "practitioner_dim_id").join(places, "location_id").select(*_NATURAL.split(", "))
 
 
-@query("daily_load", _NATURAL_SQL, "fact_performance dim_practitioner dim_location")
-def daily_load(t: Landing) -> DataFrame:
-    """The warehouse after a first load and one of the rows since; the second reads the increment only."""
+def two_loads(t: Landing) -> str:
+    """The warehouse folder after a first load and one of the rows since; the second reads the increment only."""
     warehouse = work_dir(t.spark, "warehouse")
     for until, batch in ((p.SPLIT_DATE, p.SPLIT_DATE), (None, p.SPLIT_DATE + dt.timedelta(days=365))):
         daily.run_daily(t.spark, warehouse, t.input(until=until), t.target(), batch)
-    return natural_performance(t, warehouse)
+    return warehouse
+
+
+@query("daily_load", _NATURAL_SQL, "fact_performance dim_practitioner dim_location")
+def daily_load(t: Landing) -> DataFrame:
+    """The performance fact after a first load and one of the rows since."""
+    return natural_performance(t, two_loads(t))
 
 
 @same_as("daily_load", "daily_load_late_rows")
@@ -97,3 +103,55 @@ def daily_load_late_rows(t: Landing) -> DataFrame:
     batch = p.SPLIT_DATE + dt.timedelta(days=365)
     daily.run_daily(t.spark, warehouse, t.input(), t.target(), batch, changed_days=days)
     return natural_performance(t, warehouse)
+
+
+@same_as("kpi_by_period", "stored_kpi_by_period")
+def stored_kpi_by_period(t: Landing) -> DataFrame:
+    """Figures of all periods from the day totals that two daily loads keep; the fact is not read."""
+    return kpi.by_period(daily.read(t.spark, two_loads(t), "day_totals"))
+
+
+@same_as("kpi_by_calendar", "stored_kpi_by_calendar")
+def stored_kpi_by_calendar(t: Landing) -> DataFrame:
+    return kpi.by_calendar(daily.read(t.spark, two_loads(t), "day_totals"), "year", "quarter")
+
+
+def days_and_targets(t: Landing) -> tuple[str, str]:
+    """Daily sums and targets in the same buckets by person and day."""
+    days, targets_path = work_dir(t.spark, "person_days"), work_dir(t.spark, "day_targets")
+    colocated.write_person_days(t.per_day(), days)
+    colocated.write_day_targets(t.target(), targets_path)
+    return days, targets_path
+
+
+@same_as("left_join_target_daily", "bucketed_join_target_daily")
+def bucketed_join_target_daily(t: Landing) -> DataFrame:
+    """The stored sums and targets are joined bucket by bucket, without a shuffle."""
+    return colocated.daily_with_target(t.spark, *days_and_targets(t))
+
+
+@same_as("left_join_target_daily", "bucketed_late_rows")
+def bucketed_late_rows(t: Landing) -> DataFrame:
+    """A month's days are summed without a fifth of their rows first, and then restated in the stored buckets."""
+    rows = t.input(items=False)
+    late = F.col("purchase_date").between(F.lit(p.LATE_START), F.lit(p.LATE_END)) & (F.col("invoice_no") % 5 == 0)
+    days, targets_path = work_dir(t.spark, "person_days"), work_dir(t.spark, "day_targets")
+    colocated.write_person_days(rows.where(~late), days)
+    colocated.write_day_targets(t.target(), targets_path)
+    colocated.restate_person_days(rows, days, daily.days_of(rows.where(late)))
+    return colocated.daily_with_target(t.spark, days, targets_path)
+
+
+@same_as("fact_performance", "bucketed_fact_performance")
+def bucketed_fact_performance(t: Landing) -> DataFrame:
+    dims = star(t)
+    return colocated.fact_performance(t.spark, *days_and_targets(t), dims.people, dims.places)
+
+
+@same_as("left_merge_weekly", "bucketed_merge_weekly")
+def bucketed_merge_weekly(t: Landing) -> DataFrame:
+    """Weekly sums and weekly targets in the same buckets by week and person."""
+    weeks, targets_path = work_dir(t.spark, "weeks"), work_dir(t.spark, "weekly_targets")
+    colocated.write_weeks(t.performance(types=False, names=False), weeks)
+    colocated.write_weekly_targets(t.weekly_target(), targets_path)
+    return colocated.weekly_with_target(t.spark, weeks, targets_path, "target_income", "target_hour")

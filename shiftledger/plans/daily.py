@@ -4,7 +4,8 @@ Facts are kept by month and dimensions as parts that are only added to, all as v
 (``sources/tables.py``). A load reads the landing rows dated after the mark, which is the newest day of the performance
 fact, less a lookback, plus days that are named as changed. These days are computed whole and take the place of what the
 fact holds of them, so a late row changes its day once and a load that runs again gives the same; months without such a
-day keep their files. Members are looked for in the same rows only and compared with the dimensions.
+day keep their files. Members are looked for in the same rows only and compared with the dimensions. Day totals, from
+which the figures of weeks, months, quarters and years are added up, follow the months of the fact that are new.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ TABLES = {
     "dim_practitioner": schemas.DIM_PRACTITIONER,
     "fact_performance": schemas.FACT_PERFORMANCE,
     "fact_appointments": schemas.FACT_APPOINTMENTS,
+    "day_totals": schemas.DAY_TOTALS,
 }
 CURRENT = "current"
 
@@ -77,7 +79,7 @@ def run_daily(
     """Bring the warehouse folder up to date with the landing rows.
 
     Locations and items come first, then practitioners, then both facts; the performance fact, which carries the
-    mark, is written last. A batch notes its lower bound with its members, so a run that was lost, or is repeated,
+    mark, is committed last, after the day totals of its new months. A batch notes its lower bound with its members, so a run that was lost, or is repeated,
     takes the same rows again. Once a later batch has been loaded, running an older one changes nothing.
 
     Late rows may bring unknown members, but only rows after the mark, and those of unknown people, make new versions of
@@ -116,14 +118,37 @@ def run_daily(
     people = merge_history(spark, path["dim_practitioner"], seen, mark, places, email_domain, batch_date, batch)
 
     planned = increment(target, "appt_date", since, changed_days)
-    restate(spark, path, "fact_appointments", facts.fact_appointments(fresh, people, places, items), since, changed_days)
-    restate(spark, path, "fact_performance", facts.fact_performance(fresh, planned, people, places), since, changed_days)
+    appointments = facts.fact_appointments(fresh, people, places, items)
+    performance = facts.fact_performance(fresh, planned, people, places)
+    tables.commit(spark, path["fact_appointments"], restated(spark, path, "fact_appointments", appointments, since, changed_days))
+    new = restated(spark, path, "fact_performance", performance, since, changed_days)
+    update_totals(spark, path, new)
+    tables.commit(spark, path["fact_performance"], new)
 
 
-def restate(
+def update_totals(spark: SparkSession, path: dict[str, str], fact: tables.Manifest) -> None:
+    """Bring the day totals to a version of the performance fact, reading its new months only.
+
+    The totals note which folder of the fact each month was summed from. Months with another folder are summed again,
+    so totals that a lost run left behind, or that an older warehouse lacks, are made good by the next load.
+    """
+    old = tables.manifest(spark, path["day_totals"]) or tables.Manifest(0)
+    new = {part for part, folder in fact.parts.items() if old.notes.get(part) != folder}
+    gone = {part for part in old.parts if part in new or part not in fact.parts}
+    if not new and not gone:
+        return
+    rows = tables.read_manifest(spark, path["fact_performance"], schemas.FACT_PERFORMANCE, fact, new.__contains__)
+    totals = tables.prepare_parts(facts.day_totals(rows), path["day_totals"], tables.month("date"), gone)
+    tables.commit(spark, path["day_totals"], tables.Manifest(totals.version, totals.parts, dict(fact.parts)))
+
+
+def restated(
     spark: SparkSession, path: dict[str, str], name: str, rows: DataFrame, since: dt.date, changed: Sequence[dt.date]
-) -> None:
-    """Put ``rows``, all facts of the increment's days, in the place of what the fact table holds of these days."""
+) -> tables.Manifest:
+    """``rows``, all facts of the increment's days, in the place of what the fact table holds of these days.
+
+    The version is written, and for the caller to commit.
+    """
     months = {f"{d:%Y-%m}" for d in changed}
     first = f"{since + dt.timedelta(days=1):%Y-%m}"
 
@@ -134,7 +159,7 @@ def restate(
     kept = tables.read_manifest(spark, path[name], TABLES[name], found, touched)
     kept = kept.where(~_in_increment("date", since, changed))
     gone = [part for part in found.parts if touched(part)] if found else []
-    tables.replace_parts(kept.unionByName(rows), path[name], tables.month("date"), gone)
+    return tables.prepare_parts(kept.unionByName(rows), path[name], tables.month("date"), gone)
 
 
 def merge_history(

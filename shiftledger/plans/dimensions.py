@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,14 +20,18 @@ PERSON = ("practitioner_id", "practitioner_name", "manager_name", "location_name
 
 def calendar(days: DataFrame, col: str = "date") -> DataFrame:
     """Calendar attributes of every given day."""
-    return days.select(
-        F.col(col).alias("date"),
-        dates.padded_day_name(col).alias("day_of_week"),
-        dates.iso_week(col).alias("week_of_year"),
-        F.month(col).alias("month"),
-        F.quarter(col).alias("quarter"),
-        F.year(col).alias("year"),
-    )
+    return days.select(F.col(col).alias("date"), *[value.alias(name) for name, value in attributes(col).items()])
+
+
+def attributes(col: str = "date") -> dict[str, Column]:
+    """The attributes of a day in the date dimension, by name."""
+    return {
+        "day_of_week": dates.padded_day_name(col),
+        "week_of_year": dates.iso_week(col),
+        "month": F.month(col),
+        "quarter": F.quarter(col),
+        "year": F.year(col),
+    }
 
 
 def dim_date(rows: DataFrame, col: str) -> DataFrame:

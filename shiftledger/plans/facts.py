@@ -22,22 +22,24 @@ def fact_performance(
     that product is taken here instead of fanning the rows out and summing them again, so no grouping
     follows the joins.
     """
+    keyed = with_practitioner(with_location(with_targets(rows, target), dim_location), dim_practitioner)
+    return _as_fact(keyed, schemas.FACT_PERFORMANCE)
+
+
+def with_targets(rows: DataFrame, target: DataFrame) -> DataFrame:
+    """Hours, billing and target hours per day, person and location; nulls count as zero."""
     wanted = target.groupBy("staff_id", F.col("appt_date").alias("purchase_date")).agg(
         F.sum("target_hour").alias("target_hour"), F.count("*").alias("n")
     )
     daily = daily_actuals(rows).join(wanted, ["staff_id", "purchase_date"], "left")
     times = F.coalesce("n", F.lit(1))
-    keyed = with_practitioner(with_location(daily, dim_location), dim_practitioner)
-    return _as_fact(
-        keyed.select(
-            F.col("purchase_date").alias("date"),
-            "practitioner_dim_id",
-            "location_id",
-            zero_if_null(F.col("target_hour")).alias("target_hour"),
-            zero_if_null(F.col("total_actual_hour") * times).alias("actual_hour"),
-            zero_if_null(F.col("total_billing") * times).alias("total_billing"),
-        ),
-        schemas.FACT_PERFORMANCE,
+    return daily.select(
+        F.col("purchase_date").alias("date"),
+        "staff_id",
+        "location",
+        zero_if_null(F.col("target_hour")).alias("target_hour"),
+        zero_if_null(F.col("total_actual_hour") * times).alias("actual_hour"),
+        zero_if_null(F.col("total_billing") * times).alias("total_billing"),
     )
 
 
@@ -57,6 +59,22 @@ def fact_performance_dedup(rows: DataFrame, target: DataFrame) -> DataFrame:
         zero_if_null(F.col("actual_hour")).cast(schemas.FACT_HOUR).alias("actual_hour"),
         zero_if_null(F.col("total_billing")).cast(schemas.FACT_MONEY).alias("total_billing"),
     )
+def day_totals(fact: DataFrame) -> DataFrame:
+    """Hours and billing of the performance fact per day."""
+    return _as_fact(
+        fact.groupBy("date").agg(*[F.sum(c).alias(c) for c in ("target_hour", "actual_hour", "total_billing")]),
+        schemas.DAY_TOTALS,
+    )
+
+
+def first_day_totals(rows: DataFrame, target: DataFrame) -> DataFrame:
+    """The day totals of a fact built from all of ``rows``, without its dimensions.
+
+    After a first load every person of the rows has one current version and every location its row, so the joins with
+    the dimensions keep exactly the rows that name both.
+    """
+    named = rows.where(F.col("staff_id").isNotNull() & F.col("location").isNotNull())
+    return day_totals(_as_fact(with_targets(named, target), schemas.FACT_MEASURES))
 
 
 def fact_appointments(

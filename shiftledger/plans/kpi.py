@@ -15,6 +15,7 @@ from shiftledger.operators.joins import (
     with_weekly_type_target,
 )
 from shiftledger.operators.ordering import head
+from shiftledger.plans.dimensions import attributes
 
 
 def weekly_ratio(perf: DataFrame, weekly_target: DataFrame) -> DataFrame:
@@ -206,14 +207,19 @@ def by_period(fact: DataFrame, kinds: tuple[str, ...] = dates.PERIODS) -> DataFr
     )
 
 
-def by_calendar(fact: DataFrame, dim_date: DataFrame, *attributes: str) -> DataFrame:
-    """Actual and target hours by attributes of the date dimension, such as year and quarter."""
+def by_calendar(fact: DataFrame, *names: str) -> DataFrame:
+    """Actual and target hours by attributes of the date dimension, such as year and quarter.
+
+    The attributes follow from the day, so they are computed for the few days and no date dimension is joined.
+    """
     daily = fact.groupBy("date").agg(
         F.sum("actual_hour").alias("actual_hour"), F.sum("target_hour").alias("target_hour")
     )
+    known = attributes("date")
     return (
-        daily.join(dim_date, "date")
-        .groupBy(*attributes)
+        daily.where(F.col("date").isNotNull())
+        .withColumns({name: known[name] for name in names})
+        .groupBy(*names)
         .agg(
             F.sum("actual_hour").cast("decimal(28,1)").alias("actual_hour"),
             F.sum("target_hour").cast("decimal(28,1)").alias("target_hour"),

@@ -88,6 +88,21 @@ MEMBERS = _struct(
     ("purchase_date", T.DateType()),
 )
 
+PERSON_DAYS = _struct(
+    ("staff_id", T.LongType()),
+    ("purchase_date", T.DateType()),
+    ("location", T.StringType()),
+    ("actual_hour", T.DecimalType(15, 1)),
+    ("total", T.DecimalType(22, 2)),
+)
+
+WEEKS = _struct(
+    ("week", T.IntegerType()),
+    ("practitioner_id", T.LongType()),
+    ("total_hours", T.DecimalType(15, 1)),
+    ("total_income", T.DecimalType(22, 2)),
+)
+
 DIM_DATE = _struct(
     ("date", T.DateType()),
     ("day_of_week", T.StringType()),
@@ -133,6 +148,13 @@ FACT_PERFORMANCE = _struct(
     ("total_billing", FACT_MONEY),
 )
 
+FACT_MEASURES = _struct(
+    ("date", T.DateType()),
+    ("target_hour", FACT_HOUR),
+    ("actual_hour", FACT_HOUR),
+    ("total_billing", FACT_MONEY),
+)
+
 FACT_APPOINTMENTS = _struct(
     ("date", T.DateType()),
     ("practitioner_dim_id", T.LongType()),
@@ -142,3 +164,10 @@ FACT_APPOINTMENTS = _struct(
     ("actual_hour", FACT_HOUR),
     ("total_billing", FACT_MONEY),
 )
+
+DAY_TOTALS = _struct(
+    ("date", T.DateType()),
+    ("target_hour", T.DecimalType(28, 1)),
+    ("actual_hour", T.DecimalType(28, 1)),
+    ("total_billing", T.DecimalType(32, 1)),
+)

@@ -124,8 +124,13 @@ def write_parts(df: DataFrame, path: str, part: Column | None = None) -> dict[st
         df.write.parquet(f"{path}/{name}")
         return {WHOLE: name}
     df.withColumn("part", part).hint("rebalance", "part").write.partitionBy("part").parquet(f"{path}/{name}")
-    written = [n for n in _names(df.sparkSession, f"{path}/{name}") if n.startswith("part=")]
-    return {n.removeprefix("part="): f"{name}/{n}" for n in written}
+    return folders(df.sparkSession, path, name, "part")
+
+
+def folders(spark: SparkSession, path: str, name: str, part: str) -> dict[str, str]:
+    """The folder of each part of a data folder that was partitioned by the column ``part``."""
+    written = [n for n in _names(spark, f"{path}/{name}") if n.startswith(f"{part}=")]
+    return {n.removeprefix(f"{part}="): f"{name}/{n}" for n in written}
 
 
 def write_table(
@@ -145,13 +150,17 @@ def replace_parts(df: DataFrame, path: str, part: Column, touched: Iterable[str]
 
     A touched part without rows is gone. The folders of all other parts stay as they are.
     """
-    spark = df.sparkSession
-    old = manifest(spark, path) or Manifest(0)
+    new = prepare_parts(df, path, part, touched)
+    commit(df.sparkSession, path, new)
+    return new
+
+
+def prepare_parts(df: DataFrame, path: str, part: Column, touched: Iterable[str] = ()) -> Manifest:
+    """The version that ``replace_parts`` would commit, written but not visible yet; its writer may read it."""
+    old = manifest(df.sparkSession, path) or Manifest(0)
     gone = set(touched)
     kept = {k: v for k, v in old.parts.items() if k not in gone}
-    new = Manifest(old.version + 1, {**kept, **write_parts(df, path, part)}, old.notes)
-    commit(spark, path, new)
-    return new
+    return Manifest(old.version + 1, {**kept, **write_parts(df, path, part)}, old.notes)
 
 
 def read_manifest(

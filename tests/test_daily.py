@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 from shiftledger import schemas
-from shiftledger.plans import daily, dimensions
+from shiftledger.plans import daily, dimensions, facts
 from shiftledger.sources import tables
 
 D = dt.date
@@ -92,6 +92,45 @@ def test_lookback_restates_its_days(spark, tmp_path, landing, target, rows):
     assert daily.read(spark, root, "fact_performance").where("date = '2024-05-02'").count() == 0
 
 
+def day_totals(spark, root, rows):
+    """The stored day totals, checked against the whole fact."""
+    found = rows(daily.read(spark, root, "day_totals"))
+    assert found == rows(facts.day_totals(daily.read(spark, root, "fact_performance")))
+    return found
+
+
+def test_day_totals_follow_the_touched_months(spark, tmp_path, landing, target, rows):
+    root = str(tmp_path / "totals")
+    daily.run_daily(spark, root, landing(*BASE), target, D(2024, 5, 6))
+    assert day_totals(spark, root, rows) == rows(facts.first_day_totals(landing(*BASE), target))
+    before = tables.manifest(spark, f"{root}/day_totals").parts
+    late = [(3, "Kim", "P3", "I1", D(2024, 4, 1)), (2, "Kim", "P2", "I0", D(2024, 6, 1))]
+    daily.run_daily(spark, root, landing(*BASE, *late), target, D(2024, 6, 1), changed_days=[D(2024, 4, 1)])
+    assert day_totals(spark, root, rows) == rows(facts.first_day_totals(landing(*BASE, *late), target))
+    after = tables.manifest(spark, f"{root}/day_totals").parts
+    assert set(after) == {"2024-03", "2024-04", "2024-05", "2024-06"} and after["2024-03"] == before["2024-03"]
+    # A month that has lost all its rows is gone from both.
+    rest = [r for r in BASE + late if r[4].month != 3]
+    daily.run_daily(spark, root, landing(*rest), target, D(2024, 6, 2), changed_days=[D(2024, 3, 1)])
+    assert {r[0].month for r in day_totals(spark, root, rows)} == {4, 5, 6}
+
+
+def test_day_totals_are_made_good(spark, tmp_path, landing, target, rows):
+    root = str(tmp_path / "lost")
+    path = {name: f"{root}/{name}" for name in daily.TABLES}
+    daily.run_daily(spark, root, landing(*BASE), target, D(2024, 5, 6))
+    # A run that was lost between the totals and the fact leaves totals of rows that the fact does not hold.
+    extra = daily.read(spark, root, "fact_performance").where("date = '2024-04-01'")
+    lost = tables.prepare_parts(extra.unionByName(extra), path["fact_performance"], tables.month("date"))
+    daily.update_totals(spark, path, lost)
+    daily.run_daily(spark, root, landing(*BASE), target, D(2024, 5, 7))
+    assert day_totals(spark, root, rows) != []
+    # A warehouse from before the totals gets them with its next load.
+    tables.commit(spark, path["day_totals"], tables.Manifest(99))
+    daily.run_daily(spark, root, landing(*BASE), target, D(2024, 5, 8))
+    assert len(day_totals(spark, root, rows)) == 6
+
+
 def test_closed_versions_keep_their_files(spark, tmp_path, landing, target, rows):
     root = str(tmp_path / "history")
     path = f"{root}/dim_practitioner"

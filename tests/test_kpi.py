@@ -103,6 +103,16 @@ def test_calendar_kpis_keep_years_apart(spark, rows):
     assert kpi.by_period(fact, ("year",)).first().actual_hour == H("9.0")
 
 
+def test_calendar_attributes_without_a_date_dimension(spark, rows):
+    fact = spark.createDataFrame(
+        [(D(2024, 1, 1), 1, 1, H("6"), H("3"), H("0")), (D(2024, 12, 30), 1, 1, H("0"), H("2"), H("0")), (None, 1, 1, H("1"), H("1"), H("0"))],
+        schemas.FACT_PERFORMANCE,
+    )
+    found = kpi.by_calendar(fact, "year", "quarter")
+    assert rows(found) == [(2024, 1, H("3.0"), H("6.0"), 0.5), (2024, 4, H("2.0"), H("0.0"), None)]
+    assert rows(kpi.by_calendar(fact, "week_of_year"), "week_of_year", "actual_hour") == [(1, H("5.0"))]
+
+
 def test_rollup_levels(spark, rows):
     fact = spark.createDataFrame(
         [(D(2024, 1, 1), 1, 1, H("6"), H("3"), H("0")), (D(2024, 1, 2), 2, 1, H("4"), H("4"), H("0"))],
