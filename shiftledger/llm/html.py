@@ -8,22 +8,25 @@ template tokens fills the page's slots. The slots of menus, headers, footers, si
 comments and the like, told by their containers, are left out, and so is template text; a container that holds
 the article is not one of them by its name. On a page with an article
 element the slots inside it are the main ones. There a class counts only where ``MIN_PAGES`` pages hold it, and
-where template tokens leave less than ``MIN_OWN_PERCENT`` of the article's characters, its pages are copies of one
-article, which stays whole.
+only in containers below the article that hold template text alone and no heading, as a notice does: headings and
+lines that all articles of a host share stay. Where template tokens leave less than ``MIN_OWN_PERCENT`` of the
+article's characters, its pages are copies of one article, which stays whole.
 
 Vectors are never laid out: a vector's signature is the exclusive or of a hash of (page, count) over its pages,
 so each token costs one row however many pages a host has.
 
 Defined cases: null html is empty; a page without text in a slot gives an empty text. A null URL is of a host
 without name. Repeated rows count as pages and get equal results each. Broken html (open tags, cut ends) is read as
-far as it goes. Input columns with the name of a result column are replaced. An empty table gives an empty result.
+far as it goes; memory grows with the length of a page, however deep its elements are nested. Input columns with the name of a result column are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -53,6 +56,7 @@ CONTAINERS = set("html head body nav header footer aside form article main secti
 IMPLIED = {"p", "li", "dt", "dd"}
 BOILERPLATE = set("head nav header footer aside form dialog menu fieldset".split())
 ARTICLE = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 UNNAMED = {"html", "body"} | ARTICLE | BOILERPLATE
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 # Words in class, id or role that name such parts.
@@ -77,44 +81,87 @@ def named(tag: str, attributes: str) -> bool:
     return False
 
 
-def tokens(page: str) -> Iterator[tuple[int, str | None, bool, bool]]:
-    """(hash in its place, text, in an article, in boilerplate) of each token.
+@dataclass(eq=False, slots=True)
+class Box:
+    """An open container: its place, whether it is an article or named as boilerplate, and what was seen in it."""
+
+    parent: Box | None = None
+    place: str = ""
+    is_article: bool = False
+    named: Box | None = None  # the nearest named container, itself included
+    depth: int = 0  # the named containers at and above it
+    heading: bool = False
+    own: bool = False
+
+    def note(self, flag: str) -> None:
+        """Set a flag here and on the containers above, up to those that have it."""
+        box = self
+        while box is not None and not getattr(box, flag):
+            setattr(box, flag, True)
+            box = box.parent
+
+    def names(self) -> Iterator[Box]:
+        """The named containers at and above it, innermost first."""
+        box = self.named
+        while box is not None:
+            yield box
+            box = box.parent.named
+
+
+def tokens(page: str) -> Iterator[tuple[int, str | None, bool, bool, Box]]:
+    """(hash in its place, text, in an article, in boilerplate, container) of each token.
 
     The text is that of a piece of text, empty for a tag that ends a block and None for one that doesn't.
     """
     found = list(marked_tokens(page))
     free = unmarked(found)
-    for token, text, article, skip, marks in found:
-        yield token, text, bool(article), skip or not free.issuperset(marks)
+    for token, text, article, skip, box in found:
+        yield token, text, bool(article), skip or not is_free(box, free), box
+
+
+def is_free(box: Box, free: set[Box]) -> bool:
+    """Whether no named container marks what stands in ``box``; with a container, those above it are in ``free`` too."""
+    return box.named is None or box.named in free
 
 
-def unmarked(found: list) -> set[int]:
-    """The named elements that hold the article, which their names do not mark.
+def unmarked(found: list) -> set[Box]:
+    """The named containers that hold the article, which their names do not mark.
 
-    Of several articles those inside the fewest named elements count; a main element counts as one where the
-    text outside the articles' named elements is the longer one, or where it is alone.
+    Of several articles those inside the fewest named containers count; a main element counts as one where the
+    text outside the articles' named containers is the longer one, or where it is alone.
     """
-    opened: dict[str, set] = {}
-    for _, _, article, skip, marks in found:
+    opened: dict[str, set[Box]] = {}
+    for _, _, article, skip, _ in found:
         if article and not skip:
             opened.setdefault(article[0], set()).add(article[1])
-    least = {tag: {m for m in all_marks if len(m) == min(map(len, all_marks))} for tag, all_marks in opened.items()}
-    free = {tag: {x for m in marks for x in m} for tag, marks in least.items()}
+    free: dict[str, set[Box]] = {}
+    for tag, boxes in opened.items():
+        least = min(box.depth for box in boxes)
+        kept = free.setdefault(tag, set())
+        for box in boxes:
+            for name in box.names() if box.depth == least else ():
+                if name in kept:
+                    break
+                kept.add(name)
     if len(free) < 2 or free["article"] <= free["main"]:
         return free.get("article", free.get("main", set()))
     inner = outer = 0
-    for _, text, article, skip, marks in found:
+    for _, text, article, skip, box in found:
         if text and article and not skip:
             n = len(text.strip())
-            outer += n if free["main"].issuperset(marks) else 0
-            inner += n if not free["main"].issuperset(marks) and free["article"].issuperset(marks) else 0
+            outer += n if is_free(box, free["main"]) else 0
+            inner += n if not is_free(box, free["main"]) and is_free(box, free["article"]) else 0
     return free["main"] if outer > inner else free["article"]
 
 
-def marked_tokens(page: str) -> Iterator[tuple[int, str | None, tuple | None, bool, tuple]]:
-    """As ``tokens``, with the tag and the named elements of the article a token is in, and its own named elements."""
-    path: list[tuple[str, tuple | None, bool, str, tuple]] = [("", None, False, "", ())]
-    n_named = 0
+def marked_tokens(page: str) -> Iterator[tuple[int, str | None, tuple | None, bool, Box]]:
+    """As ``tokens``, with the tag and the container of the article a token is in.
+
+    A place is a hash of the place around it, so it has one size at any depth, and an end tag without a start
+    tag is told by a count, so that no token costs more where elements are nested deeply.
+    """
+    path: list[tuple[str, tuple | None, bool, Box]] = [("", None, False, Box())]
+    n_open: Counter[str] = Counter()
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.match(page, at)
@@ -122,23 +169,26 @@ def marked_tokens(page: str) -> Iterator[tuple[int, str | None, tuple | None, bo
         tag = (m.group(2) or "").lower()
         if tag and not m.group(1) and path[-1][0] in IMPLIED and tag not in INLINE:
             if path[-1][0] == "p" or path[-1][0] == tag:  # its end tag is left out
-                path.pop()
-        _, article, skip, place, marks = path[-1]
+                n_open[path.pop()[0]] -= 1
+        _, article, skip, box = path[-1]
         if not tag:
             piece = m.group()
             if piece[0] != "<" or piece == "<":
-                yield xxhash.xxh64_intdigest(f"{place}>{SPACE.sub(' ', piece).strip()}"), piece, article, skip, marks
+                yield xxhash.xxh64_intdigest(f"{box.place}>{SPACE.sub(' ', piece).strip()}"), piece, article, skip, box
             continue
         ends_block = None if tag in INLINE else ""
         if m.group(1):
-            for k in range(len(path) - 1, 0, -1):
-                if path[k][0] == tag:
-                    del path[k:]
-                    break
-            yield xxhash.xxh64_intdigest(f"{path[-1][3]}</{tag}"), ends_block, article, skip, marks
+            if n_open[tag]:
+                while (closed := path.pop()[0]) != tag:
+                    n_open[closed] -= 1
+                n_open[tag] -= 1
+            box = path[-1][3]
+            yield xxhash.xxh64_intdigest(f"{box.place}</{tag}"), ends_block, article, skip, box
             continue
         attributes = m.group(3) or ""
-        yield xxhash.xxh64_intdigest(f"{place}<{tag}"), ends_block, article, skip, marks
+        if tag in HEADINGS:
+            box.note("heading")
+        yield xxhash.xxh64_intdigest(f"{box.place}<{tag}"), ends_block, article, skip, box
         if tag in VOID or attributes.endswith("/"):
             continue
         if tag in RAW:
@@ -146,12 +196,14 @@ def marked_tokens(page: str) -> Iterator[tuple[int, str | None, tuple | None, bo
             at = close.end() if close else end
         elif (mark := named(tag, attributes)) or tag in CONTAINERS or tag in BOILERPLATE:
             said = " ".join(sorted(x for m in ATTRIBUTE.findall(attributes) for x in m))
+            place = xxhash.xxh64_hexdigest(f"{box.place}/{tag} {said}")
+            inner = Box(box, place, tag in ARTICLE, box.named, box.depth)
             if mark:
-                n_named += 1
-                marks = (*marks, n_named)
+                inner.named, inner.depth = inner, box.depth + 1
             if tag in ARTICLE and (not article or article[0] == "main"):
-                article = (tag, marks)
-            path.append((tag, article, skip or tag in BOILERPLATE, f"{place}/{tag} {said}", marks))
+                article = (tag, inner)
+            path.append((tag, article, skip or tag in BOILERPLATE, inner))
+            n_open[tag] += 1
 
 
 def signed(x: int) -> int:
@@ -234,20 +286,30 @@ def own_places(found: list, template: set[int], seldom) -> set[int]:
     """The template's places on a page with an article, less those that are the article's own text."""
     seldom = set(seldom)
     template = {k for k in template if not (found[k][2] and signed(found[k][0]) in seldom)}
-    sizes = {k: len(text.strip()) for k, (_, text, article, skip) in enumerate(found) if text and article and not skip}
+    sizes = {k: len(text.strip()) for k, (_, text, article, skip, _) in enumerate(found) if text and article and not skip}
     left = sum(n for k, n in sizes.items() if k not in template)
-    return set() if 100 * left < MIN_OWN_PERCENT * sum(sizes.values()) else template
+    if 100 * left < MIN_OWN_PERCENT * sum(sizes.values()):
+        return set()
+    for k, n in sizes.items():
+        if n and k not in template:
+            found[k][4].note("own")
+    return {k for k in template if not (found[k][2] and belongs(found[k][4]))}
+
+
+def belongs(box: Box) -> bool:
+    """Whether template text in a container of an article is the article's: with own text or a heading, or directly in it."""
+    return box.is_article or box.own or box.heading
 
 
 def main_text(page: str, classes=(), seldom=()) -> str:
     """The text of the page's main slots, blocks joined by a space."""
     found = list(tokens(page))
-    has_article = any(article for _, _, article, _ in found)
+    has_article = any(article for _, _, article, _, _ in found)
     template = template_places([signed(t) for t, *_ in found], classes)
     if has_article:
         template = own_places(found, template, seldom)
     blocks, block = [], []
-    for k, (_, text, article, skip) in enumerate(found):
+    for k, (_, text, article, skip, _) in enumerate(found):
         if text == "" or (text is not None and (skip or (has_article and not article) or k in template)):
             blocks.append("".join(block))
             block = []

@@ -1,5 +1,6 @@
 import html as references
 import re
+import tracemalloc
 
 import pytest
 from cases import PAGES, none, page
@@ -94,3 +95,28 @@ HELD = [
 @pytest.mark.parametrize("page_html", HELD)
 def test_names_do_not_mark_what_holds_the_article(page_html):
     assert html.main_text(page_html) == "one two"
+
+
+def test_headings_and_lines_that_articles_share_stay(spark):
+    """Shared headings, bylines and closing lines are article text; a container of template text alone is a notice."""
+    body = (
+        "<article><h1>Title {0}</h1><p>By the editors</p><p>{1}</p><h2>Summary</h2><div class=zq><p>Please support our site</div>"
+        "<div class=part><h2>Method</h2></div><div class=text><p>As before: <b>all</b></p><p>{0} more</p></div>"
+        "<p>Thanks for reading.</p></article><footer>f</footer>"
+    )
+    rows = [page(k, f"http://one.example/{k}", body.format(k, f"word{k} " * 20)) for k in range(8)]
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for k in range(8):
+        own = " ".join([f"word{k}"] * 20)
+        assert found[k] == f"Title {k} By the editors {own} Summary Method As before: all {k} more Thanks for reading."
+
+
+@pytest.mark.parametrize("tag", ["<div class=a>", "<div class=ad>", "<p class=ad>", "<article>", "<li>", "</section>"])
+def test_deep_and_broken_nesting(tag):
+    """Memory and time grow with the length of the page: 30 000 elements that are never closed, or never opened."""
+    deep = "<div>" * 2000 + tag * 30_000
+    tracemalloc.start()
+    found = html.main_text(f"<article><p>one</p></article>{deep}</span></b><p>two")
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+    assert found == "one" if tag != "<article>" else found == "one two"
