@@ -3,7 +3,9 @@
 Each capture is three records: a request and a metadata record name the response (or revisit) in
 ``WARC-Concurrent-To``. Of captures with equal payloads of at least ``min_bytes``, the one with the smallest page
 id is the response; the others are revisits that hold HTTP headers only. The archive files are gzip files of at
-most ``RECORDS_PER_FILE`` records, read by content length, so that a payload may hold anything.
+most ``RECORDS_PER_FILE`` records, read by content length, so that a payload may hold anything. Captures are written
+by classes of payload size, with fewer records to a file the larger a class's payloads are, so that a file holds at
+most about ``FILE_BYTES``, or one capture: files are read whole by one task.
 
 Defined cases: a null payload is empty, a null URL leaves its header out, a null page id counts as the greatest.
 Rows that repeat the smallest page id and payload are all responses. A record cut off at the end of a file is left
@@ -25,6 +27,10 @@ from shiftledger.session import work_dir
 
 END = "\r\n"
 RECORDS_PER_FILE = 60_000
+FILE_BYTES = 256 << 20
+SMALL_BYTES = 64 << 10  # payloads of class 0
+CLASS_BITS = 4  # each class's payloads are up to 16 times those of the one before
+HEAD_BYTES = 4_000  # allowed for the headers and the smaller records of a capture
 BATCH_BYTES = 8_000_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -82,12 +88,32 @@ def record(kind: Column, record_id: Column, more: list[Column], content: str | C
     return F.concat(F.concat_ws(END, *head), F.lit(END * 2), block)  # concat_ws leaves out what is null
 
 
+def size_class(n_bytes: Column) -> Column:
+    """The class of a payload's size, one for each ``CLASS_BITS`` bits beyond ``SMALL_BYTES``; at most nine."""
+    over = F.shiftright(F.greatest(n_bytes, F.lit(1)) - 1, SMALL_BYTES.bit_length() - 1)
+    bits = F.when(over > 0, F.length(F.bin(over))).otherwise(0)
+    return F.ceil(bits / CLASS_BITS).cast("int")
+
+
+def records_per_file(size: int) -> int:
+    """How many records a file of a size class may hold, whole captures of three records."""
+    largest = (SMALL_BYTES << (CLASS_BITS * size)) + HEAD_BYTES
+    return min(RECORDS_PER_FILE, 3 * max(1, FILE_BYTES // largest))
+
+
 def write_archive(planned_rows: DataFrame, path: str) -> None:
-    """One job: the three records of a row are made from that row alone."""
+    """One job per size class that there is; the three records of a row are made from that row alone."""
+    size = size_class(F.col("bytes"))
+    found = {r[0] for r in planned_rows.select(size.alias("size")).distinct().collect()}
+    for k in sorted(found | {0}):
+        write_class(planned_rows.filter(size == k), f"{path}/size={k}", k)
+
+
+def write_class(planned_rows: DataFrame, path: str, size: int) -> None:
     rows = planned_rows.withColumn("row", F.monotonically_increasing_id())
 
     def name(kind: str) -> Column:
-        h = F.md5(F.concat_ws("|", F.lit(kind), F.col("row"), F.coalesce(F.col("id").cast("string"), F.lit("")), "digest"))
+        h = F.md5(F.concat_ws("|", F.lit(kind), F.lit(size), F.col("row"), F.coalesce(F.col("id").cast("string"), F.lit("")), "digest"))
         cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
         return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in cuts]), F.lit(">"))
 
@@ -125,7 +151,7 @@ def write_archive(planned_rows: DataFrame, path: str) -> None:
     (
         rows.select(F.explode(records).alias("value"))
         .write.option("lineSep", END * 2)
-        .option("maxRecordsPerFile", RECORDS_PER_FILE)
+        .option("maxRecordsPerFile", records_per_file(size))
         .option("compression", "gzip")
         .text(path)
     )

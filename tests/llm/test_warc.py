@@ -3,6 +3,7 @@ import gzip
 import hashlib
 
 from cases import PAGES, none, page
+from pyspark.sql import functions as F
 
 from shiftledger.llm import warc
 from shiftledger.session import work_dir
@@ -73,3 +74,29 @@ def test_empty_table_and_file_size(spark, monkeypatch):
     warc.write_archive(warc.planned(pages), path)
     assert spark.read.format("binaryFile").load(path).count() >= 5
     assert warc.captures(warc.read_archive(spark, path)).count() == 9
+
+
+def test_files_are_bounded_by_bytes(spark, monkeypatch):
+    """Large payloads share a file with few others, small ones with many; nothing is lost."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "SMALL_BYTES", 1 << 10)
+    monkeypatch.setattr(warc, "HEAD_BYTES", 1_000)
+    sizes = [0, 1, 1024] * 8 + [1025, 9_000, 16_384] * 4 + [16_385, 200_000, 262_144, 262_145]
+    pages = [page(k, f"http://h/{k}", chr(97 + k % 26) * n) for k, n in enumerate(sizes)]
+    path = work_dir(spark, "warc-bytes")
+    planned = warc.planned(spark.createDataFrame(pages, PAGES).coalesce(1), min_bytes=1 << 30)
+    warc.write_archive(planned, path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").collect()
+    for row in files:
+        blocks = [len(block) for _, block in warc.parse(bytes(row["content"]))]
+        assert sum(blocks) <= 40_000 or len(blocks) == 3
+    found = warc.captures(warc.read_archive(spark, path)).collect()
+    assert sorted(len(r["payload"]) for r in found) == sorted(sizes)
+    assert len({r["capture_id"] for r in found}) == len(sizes)
+
+
+def test_size_classes(spark):
+    rows = [(0, 0), (1, 0), (65_536, 0), (65_537, 1), (1 << 20, 1), ((1 << 20) + 1, 2), (1 << 24, 2), ((1 << 31) - 1, 4)]
+    found = spark.createDataFrame(rows, "bytes long, expected int").select("expected", warc.size_class(F.col("bytes")).alias("size"))
+    assert all(r["size"] == r["expected"] for r in found.collect())
+    assert [warc.records_per_file(k) for k in (0, 1, 2, 3, 4)] == [11_580, 765, 45, 3, 3]
