@@ -15,6 +15,14 @@ def lower(x: str) -> str:
 def quality_ctes(docs: str = "documents") -> str:
     """CTEs q_docs (with a row number rid) to q_judged, a row per row of ``docs``."""
     norm = f"regexp_replace(trim(regexp_replace({lower('l')}, '{S}+', ' ', 'g')), '[0-9]+', '0', 'g')"
+
+    def limit(name: str) -> str:
+        least, share = getattr(quality, name)
+        return f"count(DISTINCT told) > greatest({least}, {share} // max(n))"
+
+    def little(left: str) -> str:
+        return f"({left} < {quality.MIN_LEFT_WORDS} OR 100 * ({left}) < {quality.MIN_LEFT_PERCENT} * n_words)"
+
     return f"""
 q_docs AS (SELECT row_number() OVER () AS rid, *, coalesce(text, '') AS t FROM {docs}),
 q_words AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
@@ -29,24 +37,26 @@ q_lines AS (SELECT rid, pos, l, {norm} AS line, len(regexp_extract_all(l, '{W}+'
                   FROM (SELECT rid, string_split(t, chr(10)) AS ls FROM q_docs)) WHERE regexp_matches(l, '{W}')),
 q_dups AS (SELECT rid, count(*) - count(DISTINCT l) AS n_dup_lines FROM q_lines GROUP BY rid),
 q_whole AS (SELECT rid, string_agg(line, chr(10) ORDER BY pos) AS told FROM q_lines GROUP BY rid),
-q_told AS (SELECT DISTINCT source, line, told FROM q_lines JOIN q_whole USING (rid) JOIN q_docs USING (rid)),
-q_often AS (SELECT source, line FROM (SELECT source, line, count(*) AS docs FROM q_told GROUP BY ALL) a
-            JOIN (SELECT source AS source2, count(*) AS all_docs
-                  FROM (SELECT DISTINCT source, told FROM q_told) GROUP BY ALL) b
-            ON a.source IS NOT DISTINCT FROM b.source2
-            WHERE docs > {quality.MIN_DOCS} AND 100 * docs > {quality.HOST_PERCENT} * all_docs),
-q_removed AS (SELECT rid, sum(n) AS n_removed FROM q_lines JOIN q_docs d USING (rid) JOIN q_often o
-              ON q_lines.line = o.line AND d.source IS NOT DISTINCT FROM o.source GROUP BY rid),
+q_told AS (SELECT source, doc_id, line, n, told FROM q_lines JOIN q_whole USING (rid) JOIN q_docs USING (rid)),
+q_all AS (SELECT line, min(doc_id) AS first FROM q_told GROUP BY line HAVING {limit("ALL_LIMITS")}),
+q_often AS (SELECT source, line, CASE WHEN line IN (SELECT line FROM q_all) THEN (SELECT a.first FROM q_all a WHERE a.line = q_told.line)
+            ELSE min(doc_id) END AS first FROM q_told GROUP BY source, line
+            HAVING line IN (SELECT line FROM q_all) OR {limit("HOST_LIMITS")}),
+q_found AS (SELECT rid, sum(n) AS n_found, sum(CASE WHEN doc_id = first THEN n ELSE 0 END) AS n_first
+            FROM q_lines JOIN q_docs d USING (rid) JOIN q_often o
+            ON q_lines.line = o.line AND d.source IS NOT DISTINCT FROM o.source GROUP BY rid),
 q_counts AS (SELECT rid, len(regexp_extract_all(t, '{W}+')) AS n_words,
              length(regexp_replace(t, '{S}', '', 'g')) AS word_chars,
              length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
              coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-             coalesce(n_removed, 0) AS n_removed
-             FROM q_docs LEFT JOIN q_dups USING (rid) LEFT JOIN q_repeats USING (rid) LEFT JOIN q_removed USING (rid)),
-q_judged AS (SELECT d.* EXCLUDE (t), c.* EXCLUDE (rid),
+             coalesce(n_found, 0) AS n_found, coalesce(n_first, 0) AS n_first
+             FROM q_docs LEFT JOIN q_dups USING (rid) LEFT JOIN q_repeats USING (rid) LEFT JOIN q_found USING (rid)),
+q_judged AS (SELECT d.* EXCLUDE (t), c.* EXCLUDE (rid, n_found, n_first),
              n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
-             NOT base_failed AND NOT (n_removed > 0 AND (n_words - n_removed < {quality.MIN_LEFT_WORDS}
-                 OR 100 * (n_words - n_removed) < {quality.MIN_LEFT_PERCENT} * n_words)) AS kept
+             n_found > 0 AND {little("n_words - n_found")} AS depleted,
+             depleted AND NOT {little("n_words - n_found + n_first")} AS first_of_copies,
+             CASE WHEN first_of_copies THEN 0 ELSE n_found END AS n_removed,
+             NOT base_failed AND (first_of_copies OR NOT depleted) AS kept
              FROM q_docs d JOIN q_counts c USING (rid))"""
 
 

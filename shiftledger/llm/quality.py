@@ -1,13 +1,21 @@
 """Quality rules: fixed rules per document, then lines that too many documents of a host share.
 
-A line's normal form is its words, A-Z in lower case and digit runs as 0, joined by one space. Documents of a
-host are told apart by a hash of all their normal lines, so that copies of one document count once. A line
-is boilerplate where it stands in over ``host_percent`` of the host's documents and in over ``min_docs``.
-Boilerplate lines are removed; a document of which too little is left is rejected.
+A line's normal form is its words, A-Z in lower case and digit runs as 0, joined by one space. Documents are
+told apart by a hash of all their normal lines, so that copies of one document count once. A line of n words is
+boilerplate in a host where it stands in over ``max(least, share // n)`` of the host's documents, by the limits
+``HOST_LIMITS``, and in every host where it stands in over that many of all documents, by ``ALL_LIMITS``. The limits
+are fixed numbers at every size of a host: the longer a line, the less likely are different documents to share it
+by chance. Boilerplate lines are removed; a document of which too little is left is rejected.
+
+Documents that differ in a few words share nearly all their lines, so many of them would reject each other. The
+first document of a boilerplate line is the one with the least id, of the host, or of all where the line is above
+the limit of all. A document that would be depleted, but not if the lines it is the first document of had stayed,
+keeps its whole text and is not rejected: of near copies one stays.
 
 Defined cases: a null text is empty and a null host is a host of its own; a document without words fails the
-fixed rules. Repeated rows get equal results each. Columns of the input that have the name of a result column
-are replaced. An empty table gives an empty result.
+fixed rules; a null id is never the first. Very long texts are read whole, their memory is in proportion to the text.
+Documents with the same least id are all the first (a tie); repeated rows get equal results each. Columns of the
+input that have the name of a result column are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,8 +29,9 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-HOST_PERCENT = 10
-MIN_DOCS = 10
+# Documents that may share a line of n words: max(least, share // n).
+HOST_LIMITS = (3, 25)
+ALL_LIMITS = (20, 500)
 MIN_LEFT_WORDS = 20
 MIN_LEFT_PERCENT = 20
 RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -119,12 +128,28 @@ def document_lines(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFr
     return rows.select("id", "key", "host", "told", "pos", F.xxhash64("line").alias("line"), n.cast("long").alias("n"))
 
 
-def boilerplate_lines(lines: DataFrame, host_percent: int = HOST_PERCENT, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Host and hash of the lines above the limits."""
-    counts = lines.groupBy("host", "line").agg(F.countDistinct("told").alias("docs"))
-    sizes = lines.groupBy(F.col("host").alias("host2")).agg(F.countDistinct("told").alias("all_docs"))
-    often = counts.filter(F.col("docs") > min_docs).join(sizes, F.col("host").eqNullSafe(F.col("host2")))
-    return often.filter(100 * F.col("docs") > host_percent * F.col("all_docs")).select("host", "line")
+def above(docs: str, n: str, limits: tuple[int, int]) -> Column:
+    """Whether so many documents are too many for a line of ``n`` words."""
+    least, share = limits
+    return F.col(docs) > F.greatest(F.lit(least), F.floor(F.lit(share) / F.col(n)))
+
+
+def boilerplate_lines(
+    lines: DataFrame, host_limits: tuple[int, int] = HOST_LIMITS, all_limits: tuple[int, int] = ALL_LIMITS
+) -> DataFrame:
+    """Host and hash of the lines above the limits, and the id of the line's first document."""
+    counted = (F.max("n").alias("n"), F.countDistinct("told").alias("docs"), F.min("id").alias("first"))
+    hosts = lines.groupBy("host", "line").agg(*counted).filter(above("docs", "n", host_limits))
+    everywhere = lines.groupBy("line").agg(*counted).filter(above("docs", "n", all_limits))
+    everywhere = saved(everywhere.select(F.col("line").alias("line2"), F.col("first").alias("first2")), "shared-lines")
+    standing = lines.select("host", "line").join(everywhere, F.col("line") == F.col("line2"))
+    standing = standing.groupBy("host", "line").agg(F.min("first2").alias("first"))
+    rest = hosts.join(everywhere, F.col("line") == F.col("line2"), "left_anti")
+    return standing.unionByName(rest.select("host", "line", "first"))
+
+
+def too_little(left: Column) -> Column:
+    return (left < MIN_LEFT_WORDS) | (100 * left < MIN_LEFT_PERCENT * F.col("n_words"))
 
 
 def judge(
@@ -132,37 +157,43 @@ def judge(
     doc_id: str = "doc_id",
     text: str = "text",
     host: str = "source",
-    host_percent: int = HOST_PERCENT,
-    min_docs: int = MIN_DOCS,
+    host_limits: tuple[int, int] = HOST_LIMITS,
+    all_limits: tuple[int, int] = ALL_LIMITS,
 ) -> DataFrame:
     """``docs`` with the rules' columns, ``n_removed`` words on boilerplate lines, ``cleaned`` text and ``kept``."""
-    lines = saved(document_lines(docs, doc_id, text, host), "quality-lines")  # read three times
-    often = saved(boilerplate_lines(lines, host_percent, min_docs), "boilerplate")
-    often = often.select(F.col("host").alias("host2"), F.col("line").alias("line2"))
+    lines = saved(document_lines(docs, doc_id, text, host), "quality-lines")  # read four times
+    often = saved(boilerplate_lines(lines, host_limits, all_limits), "boilerplate")
+    often = often.select(F.col("host").alias("host2"), F.col("line").alias("line2"), "first")
     found = lines.join(often, (F.col("line") == F.col("line2")) & F.col("host").eqNullSafe(F.col("host2")))
     removed = (
-        found.select("id", "key", "pos", "line", "n")
+        found.select("id", "key", "pos", "line", "n", "first")
         .distinct()  # a repeated row's lines count once
         .groupBy(F.col("id").alias("__id2"), F.col("key").alias("__key2"))
-        .agg(F.sum("n").alias("__n"), F.collect_set("line").alias("__lines"))
+        .agg(
+            F.sum("n").alias("__n"),
+            F.sum(F.when(F.col("id") == F.col("first"), F.col("n")).otherwise(0)).alias("__first"),
+            F.collect_set("line").alias("__lines"),
+        )
     )
     id1, key1 = document_key(doc_id, text, host)
     judged = with_rules(docs.withColumns({"__id": id1, "__key": key1}), text).join(
         removed, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__key") == F.col("__key2")), "left"
     )
+    n_left = F.col("n_words") - F.col("__n")
+    # Whole: no boilerplate, or the first of near copies.
+    whole = F.col("__n").isNull() | (too_little(n_left) & ~too_little(n_left + F.col("__first")))
+    judged = judged.withColumn("__whole", whole)
     left = F.filter(
         F.split(filled(text), "\n"),
         lambda x: ~(has_word(x) & F.array_contains(F.col("__lines"), F.xxhash64(normal(x)))),
     )
-    n_left = F.col("n_words") - F.col("__n")
-    depleted = (n_left < MIN_LEFT_WORDS) | (100 * n_left < MIN_LEFT_PERCENT * F.col("n_words"))
     own = [c for c in docs.columns if c not in (*RULES, "n_removed", "cleaned", "kept")]
     return judged.select(
         *own,
         *RULES,
-        F.coalesce("__n", F.lit(0).cast("long")).alias("n_removed"),
-        F.when(F.col("__n").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias("cleaned"),
-        (~F.col("base_failed") & ~F.coalesce(depleted, F.lit(False))).alias("kept"),
+        F.when(F.col("__whole"), F.lit(0).cast("long")).otherwise(F.col("__n")).alias("n_removed"),
+        F.when(F.col("__whole"), F.col(text)).otherwise(F.array_join(left, "\n")).alias("cleaned"),
+        (~F.col("base_failed") & (F.col("__whole") | ~too_little(n_left))).alias("kept"),
     )
 
 

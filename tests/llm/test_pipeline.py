@@ -23,20 +23,34 @@ def normal(line):
 
 def after_quality(rows):
     lines = {k: [normal(x) for x in (r["text"] or "").split("\n") if re.search(WORD, x)] for k, r in enumerate(rows)}
-    docs, sizes = defaultdict(set), defaultdict(set)
+    docs, ids = defaultdict(set), defaultdict(list)
     for k, own in lines.items():
         for line in own:
-            docs[rows[k]["source"], line].add(tuple(own))
-            sizes[rows[k]["source"]].add(tuple(own))
-    often = {key for key, found in docs.items() if len(found) > 10 and 10 * len(found) > len(sizes[key[0]])}
+            for host in (rows[k]["source"], ...):
+                docs[host, line].add(tuple(own))
+                ids[host, line] += [rows[k]["doc_id"]] if rows[k]["doc_id"] is not None else []
+
+    def often(host, line, least, share):
+        return len(docs[host, line]) > max(least, share // len(line.split(" ")))
+
     kept = []
     for k, r in enumerate(rows):
         if rules(r["text"])[-1]:
             continue
-        gone = [x for x in (r["text"]).split("\n") if (r["source"], normal(x)) in often and re.search(WORD, x)]
+        gone, first = [], 0
+        for x in r["text"].split("\n"):
+            if not re.search(WORD, x):
+                continue
+            everywhere = often(..., normal(x), 20, 500)
+            if everywhere or often(r["source"], normal(x), 3, 25):
+                gone.append(x)
+                if r["doc_id"] == min(ids[... if everywhere else r["source"], normal(x)], default=...):
+                    first += len(re.findall(WORD, x))
         n, left = rules(r["text"])[0], rules(r["text"])[0] - sum(len(re.findall(WORD, x)) for x in gone)
         if gone and (left < 20 or 5 * left < n):
-            continue
+            if left + first < 20 or 5 * (left + first) < n:
+                continue
+            gone = []
         text = "\n".join(x for x in r["text"].split("\n") if x not in gone)
         kept.append({**r, "text": text, "n_chars": len(text) if gone else r["n_chars"]})
     return kept

@@ -66,5 +66,35 @@ def test_documents_with_equal_first_and_last_lines_are_told_apart(spark):
     assert all(found[100 + k]["n_removed"] == 0 for k in range(30))  # copies count as one document
 
 
+def test_limits_fall_with_length_and_stay_in_large_hosts(spark):
+    """A long line may stand in three documents of a host, a short one in more, however many documents there are."""
+    licence, short = plain(7000, 60), plain(7001, 5)
+    rows = [doc(k, f"{plain(k)}\n{licence if k < 9 else plain(3000 + k, 60)}", source="small") for k in range(60)]
+    rows += [doc(1000 + k, f"{plain(k, 40, 2)}\n{plain(k, 40, 3) if k >= 90 else licence}", source="large") for k in range(1000)]
+    rows += [doc(3000 + k, f"{plain(k, 80, 4)}\n{plain(7002, 60)}", source="few") for k in range(3)]
+    rows += [doc(4000 + k, f"{plain(k, 80, 5)}\n{short}", source="five") for k in range(5)]
+    rows += [doc(5000 + k, f"{plain(k, 80, 6)}\n{short}", source="six") for k in range(6)]
+    rows += [doc(6000 + k, f"{plain(k, 80, 8)}\n{plain(7003, 30)}", source=f"host {k}") for k in range(21)]
+    rows += [doc(6100 + k, f"{plain(k, 80, 9)}\n{plain(7004, 30)}", source=f"host {k}") for k in range(20)]
+    docs = spark.createDataFrame(rows, documents(spark).schema)
+    found = {r["doc_id"]: r["n_removed"] for r in quality.judge(docs).filter("kept").collect()}
+    assert len(found) == len(rows)
+    assert all(found[k] == (60 if k < 9 else 0) for k in range(60))
+    assert all(found[1000 + k] == (60 if k < 90 else 0) for k in range(1000))
+    assert all(found[3000 + k] == 0 for k in range(3)) and all(found[4000 + k] == 0 for k in range(5))
+    assert all(found[5000 + k] == 5 for k in range(6))
+    assert all(found[6000 + k] == 30 for k in range(21)) and all(found[6100 + k] == 0 for k in range(20))
+
+
+def test_one_of_near_copies_stays(spark):
+    lines = [plain(800 + k, 40) for k in range(9)]
+    rows = [doc(50 + k, "\n".join([*lines[: k % 9], plain(900 + k, 40), *lines[k % 9 :]])) for k in range(40)]
+    rows += [doc(200 + k, "\n".join([*lines, plain(950 + k, 9)]), source=f"h{k}") for k in range(30)]
+    rows += [doc(None, "\n".join([*lines, plain(999, 9)])), doc(50, rows[0][1])]
+    found = quality.judge(spark.createDataFrame(rows, documents(spark).schema)).collect()
+    assert [(r["doc_id"], r["n_removed"], r["cleaned"]) for r in found if r["kept"]] == [(50, 0, rows[0][1])] * 2
+    assert all(r["n_removed"] == 360 for r in found if r["doc_id"] != 50)
+
+
 def test_empty_table(spark):
     assert quality.judge(none(spark)).count() == 0
