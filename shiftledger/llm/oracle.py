@@ -145,7 +145,7 @@ def pii_sql() -> str:
         f" - CASE WHEN CAST(reverse({digits})[i] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
     )
     everything = " UNION ALL ".join(found(k, x) for k, x in enumerate((*patterns, r"\p{L}+")))
-    term = rf"\p{{L}}{{{pii.MIN_TERM},}}"
+    term = r"\p{L}+"
     names = "['" + "', '".join((*pii.KINDS, "term")) + "']"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -156,16 +156,17 @@ valid AS (SELECT rid, k, v, CAST(e - length(v) AS BIGINT) AS s, CAST(e AS BIGINT
   WHEN 1 THEN len(list_filter(string_split(v, '.'), lambda x: CAST(x AS HUGEINT) > 255)) = 0
   WHEN 2 THEN length({digits}) BETWEEN 14 AND 19 AND {luhn}
   WHEN 3 THEN length({digits}) BETWEEN 10 AND 15
-  ELSE length(v) >= {pii.MIN_TERM} END),
+  ELSE true END),
 base AS (SELECT * FROM valid WHERE k < 4),
-sides AS (SELECT CASE k WHEN 0 THEN '0:' || {lower("v")} WHEN 1 THEN '1:' || v ELSE k || ':' || {digits} END AS entity,
+sides AS (SELECT t, CASE k WHEN 0 THEN '0:' || {lower("v")} WHEN 1 THEN '1:' || v ELSE k || ':' || {digits} END AS entity,
   regexp_replace(CASE WHEN s > {pii.NEAR} THEN regexp_replace(t[s - {pii.NEAR} + 1:s], '^\p{{L}}+', '') ELSE t[1:s] END, '\p{{L}}+$', '')
   || chr(32) || chr(10) || chr(32) ||
   regexp_replace(CASE WHEN e + {pii.NEAR} < length(t) THEN regexp_replace(t[e + 1:e + {pii.NEAR}], '\p{{L}}+$', '') ELSE t[e + 1:] END, '^\p{{L}}+', '') AS around
   FROM base JOIN d USING (rid)),
-near AS (SELECT DISTINCT entity, around, unnest(regexp_extract_all({lower("around")}, '{term}')) AS term FROM sides),
-pairs AS (SELECT entity, term, count(DISTINCT around) AS meet FROM near GROUP BY ALL HAVING count(DISTINCT around) >= {pii.MIN_CONTEXTS}),
-entities AS (SELECT entity, count(DISTINCT around) AS of_entity FROM near GROUP BY entity),
+near AS (SELECT DISTINCT entity, around, hash(t) AS key, unnest(regexp_extract_all({lower("around")}, '{term}')) AS term FROM sides),
+pairs AS (SELECT entity, term, least(count(DISTINCT around), count(DISTINCT key)) AS meet FROM near
+  GROUP BY entity, term HAVING meet >= {pii.MIN_CONTEXTS}),
+entities AS (SELECT entity, least(count(DISTINCT around), count(DISTINCT key)) AS of_entity FROM near GROUP BY entity),
 terms AS (SELECT {lower("v")} AS term, count(DISTINCT rid) AS of_term FROM valid WHERE k = 4 GROUP BY ALL),
 flagged AS (SELECT DISTINCT term FROM pairs JOIN entities USING (entity) JOIN terms USING (term),
   (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents)

@@ -4,13 +4,14 @@ The fixed kinds are e-mail addresses, IP addresses, card and phone numbers. Each
 entity. The terms (runs of letters, A-Z in lower case) in the ``NEAR`` characters on either side of an entity
 are its context. A term discloses an entity where the pointwise mutual information of the two is at least
 ``THRESHOLD`` of the information the entity itself carries, log(N / n_entity), and where they meet in at least
-``MIN_CONTEXTS`` different contexts, so that one text and its copies prove nothing. N and the counts of terms are
-of all documents. Terms that disclose an entity are spans of kind ``term`` wherever they occur as whole terms.
+``MIN_CONTEXTS`` different contexts and different texts, so that one text and its copies prove nothing (the lesser
+of the two numbers is what counts). N and the counts of terms are of all documents. Terms that disclose an entity are spans of kind ``term`` wherever they occur as whole terms.
 In the sanitised text fixed kinds are generalised to their names in brackets and terms are removed.
 
-Defined cases: a null text is empty. Repeated rows count as documents and get equal results each. Positions are
-code points, ends exclusive. Input columns with the name of a result column are replaced. An empty table gives
-an empty result.
+Defined cases: a null text is empty. Very long texts are read whole; n spans of one text cost n times the root of n
+steps. Spans of equal start (a tie) are ordered by kind. Letters beyond ASCII keep their case in a term.
+Repeated rows count as documents and get equal results each. Positions are code points, ends exclusive. Input
+columns with the name of a result column are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftledger.llm.common import filled, lower_ascii, saved
+from shiftledger.llm.common import filled, let, lower_ascii, running, saved
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 60
-MIN_TERM = 4
+CHUNK = 256
 MIN_CONTEXTS = 3
 THRESHOLD = 0.9
 
@@ -34,7 +35,7 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-TERM = r"\p{L}{%d,}" % MIN_TERM
+TERM = r"\p{L}+"
 NAMES = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term", "sanitised")
 
 
@@ -63,14 +64,7 @@ def matches(text: Column, pattern: Column, maybe: Column, kind: int, valid) -> C
     none = F.array().cast("array<string>")
     steps = F.when(maybe, F.regexp_extract_all(text, whole, F.lit(0))).otherwise(none)
     values = F.when(maybe, F.regexp_extract_all(text, whole, F.lit(2))).otherwise(none)
-    ends = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda state, x: F.struct(
-            (state["at"] + F.length(x)).alias("at"),
-            F.concat(state["ends"], F.array(state["at"] + F.length(x))).alias("ends"),
-        ),
-    )["ends"]
+    ends = running(F.transform(steps, F.length), lambda a, b: a + b)
     spans = F.zip_with(
         ends,
         values,
@@ -105,18 +99,37 @@ def text_key(text: str) -> Column:
     return F.xxhash64(filled(text))
 
 
+def chunks(text: Column) -> Column:
+    """The text in parts of ``CHUNK`` code points, as a position in a string is found by reading all before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def piece(parts: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` up to ``end`` of a text in ``chunks``."""
+    first = F.floor(start / CHUNK).cast("int")
+    n = F.floor(end / CHUNK).cast("int") - first + 1
+    return F.substr(F.array_join(F.slice(parts, first + 1, n), ""), start - first * CHUNK + 1, end - start)
+
+
 def contexts(found: DataFrame, text: str) -> DataFrame:
     """A row per text, entity, context and term in it. Words cut by the context or its entity don't count."""
     full = filled(text)
-    rows = found.select(text_key(text).alias("key"), full.alias("text"), F.explode("__base").alias("x"))
-    s, e = F.col("x.s"), F.col("x.e")
-    before = F.regexp_replace(F.substr("text", F.greatest(s - NEAR + 1, F.lit(1)), F.least(s, F.lit(NEAR))), r"\p{L}+$", "")
-    after = F.regexp_replace(F.substr("text", e + 1, F.lit(NEAR)), r"^\p{L}+", "")
-    before = F.when(s > NEAR, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-    after = F.when(e + NEAR < F.length("text"), F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
+
+    def around(parts: Column, n: Column) -> Column:
+        def of(x: Column) -> Column:
+            before = F.regexp_replace(piece(parts, F.greatest(x["s"] - NEAR, F.lit(0)), x["s"]), r"\p{L}+$", "")
+            after = F.regexp_replace(piece(parts, x["e"], F.least(x["e"] + NEAR, n)), r"^\p{L}+", "")
+            before = F.when(x["s"] > NEAR, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
+            after = F.when(x["e"] + NEAR < n, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
+            return F.struct(x["k"].alias("k"), x["v"].alias("v"), F.concat(before, F.lit(" \n "), after).alias("around"))
+
+        return F.transform("__base", of)
+
+    each = let(chunks(full), lambda parts: let(F.length(full), lambda n: around(parts, n)))
+    rows = found.select(text_key(text).alias("key"), F.explode(each).alias("x"))
     compact = F.when(F.col("x.k") == 0, lower_ascii(F.col("x.v"))).when(F.col("x.k") == 1, F.col("x.v"))
     entity = F.concat(F.col("x.k").cast("string"), F.lit(":"), F.coalesce(compact, digits(F.col("x.v"))))
-    rows = rows.select("key", entity.alias("entity"), F.concat(before, F.lit(" \n "), after).alias("around"))
+    rows = rows.select("key", entity.alias("entity"), F.col("x.around").alias("around"))
     found_terms = F.array_distinct(terms(F.col("around"))).alias("t")
     rows = rows.select("key", "entity", F.xxhash64("around").alias("context"), found_terms)
     return rows.select("key", "entity", "context", F.explode("t").alias("term"))
@@ -136,8 +149,9 @@ def disclosing(
     found = docs.select(text, base_spans(filled(text)).alias("__base")).filter(F.size("__base") > 0)
     near = saved(contexts(found, text), "pii-contexts")
     n = F.lit(docs.count()).cast("double")
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("both"))
-    entities = near.groupBy(F.col("entity").alias("entity2")).agg(F.countDistinct("context").alias("of_entity"))
+    met = F.least(F.countDistinct("context"), F.countDistinct("key"))
+    pairs = near.groupBy("entity", "term").agg(met.alias("both"))
+    entities = near.groupBy(F.col("entity").alias("entity2")).agg(met.alias("of_entity"))
     # A term is in at least as many documents as near an entity. A pair that this bound rules out stays ruled
     # out by the count over all documents, so common terms need not be looked for.
     at_least = near.groupBy(F.col("term").alias("term2")).agg(F.countDistinct("key").alias("at_least"))
@@ -170,6 +184,43 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(named, ",")
 
 
+def apart(spans: str) -> Column:
+    """The sorted ``spans`` without the terms that overlap a fixed kind: one that ends behind their start or starts before their end."""
+    base = lambda x: x["k"] < len(KINDS)
+    last_end = running(F.transform(spans, lambda x: F.when(base(x), x["e"]).otherwise(0)), F.greatest)
+    far = F.lit(2**31 - 1)
+    starts = F.transform(F.reverse(spans), lambda x: F.when(base(x), x["s"]).otherwise(far))
+    next_start = F.reverse(running(starts, F.least))
+
+    def kept(last: Column, after: Column) -> Column:
+        return F.filter(spans, lambda x, i: base(x) | ((F.get(last, i) <= x["s"]) & (F.get(after, i) >= x["e"])))
+
+    found = let(last_end, lambda last: let(next_start, lambda after: kept(last, after)))
+    return F.when(F.size(F.filter(spans, lambda x: ~base(x))) == 0, F.col(spans)).otherwise(found)
+
+
+def merged(spans: str) -> Column:
+    """Runs (s, k, e) of the sorted ``spans`` that overlap, each of its first span's kind."""
+
+    def runs(ends: Column) -> Column:
+        first = F.filter(
+            F.transform(spans, lambda x, i: F.when((i == 0) | (F.get(ends, i - 1) <= x["s"]), i)), lambda i: i.isNotNull()
+        )
+        return let(
+            first,
+            lambda at: F.transform(
+                at,
+                lambda i, n: F.struct(
+                    F.get(F.col(spans), i)["s"].alias("s"),
+                    F.get(F.col(spans), i)["k"].alias("k"),
+                    F.get(ends, F.coalesce(F.get(at, n + 1), F.size(spans)) - 1).alias("e"),
+                ),
+            ),
+        )
+
+    return let(running(F.transform(spans, lambda x: x["e"]), F.greatest), runs)
+
+
 def sanitise(
     docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, min_contexts: int = MIN_CONTEXTS
 ) -> DataFrame:
@@ -185,32 +236,20 @@ def sanitise(
         base_spans(full).alias("__base"),
         matches(lower_ascii(full), any_term, F.col("__terms").isNotNull(), 4, lambda v: F.lit(True)).alias("__said"),
     )
-    inside = lambda x: F.exists("__base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    rows = rows.select(*docs.columns, "__base", F.filter("__said", lambda x: ~inside(x)).alias("__said"))
-    spans = F.sort_array(F.concat("__base", "__said"))
-    rows = rows.select(*docs.columns, "__base", "__said", spans.alias("__spans"))
-    # Spans that overlap are replaced together, as the first of them.
-    merged = F.aggregate(
-        F.transform("__spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))),
-        F.array().cast("array<struct<s:int,k:int,e:int>>"),
-        lambda m, x: F.when((F.size(m) > 0) & (F.try_element_at(m, F.lit(-1))["e"] > x["s"]), F.concat(
-            F.slice(m, F.lit(1), F.greatest(F.size(m) - 1, F.lit(0))),
-            F.array(F.struct(
-                F.try_element_at(m, F.lit(-1))["s"].alias("s"),
-                F.try_element_at(m, F.lit(-1))["k"].alias("k"),
-                F.greatest(F.try_element_at(m, F.lit(-1))["e"], x["e"]).alias("e"),
-            )),
-        )).otherwise(F.concat(m, F.array(x))),
-    )
-    rows = rows.select(*docs.columns, "__base", "__said", "__spans", merged.alias("__merged"))
+    both = F.sort_array(F.concat("__base", "__said"))
+    rows = rows.select(*docs.columns, "__base", both.alias("__both"))
+    rows = rows.select(*docs.columns, "__base", apart("__both").alias("__spans"))
+    rows = rows.select(*docs.columns, "__base", "__spans", merged("__spans").alias("__merged"))
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS], F.lit(""))
 
     def end_before(i: Column) -> Column:
         return F.coalesce(F.get("__merged", i - 1)["e"], F.lit(0))
 
-    pieces = F.transform(
-        "__merged",
-        lambda x, i: F.concat(F.substr(full, end_before(i) + 1, x["s"] - end_before(i)), F.get(tags, x["k"])),
+    pieces = let(
+        chunks(full),
+        lambda parts: F.transform(
+            "__merged", lambda x, i: F.concat(piece(parts, end_before(i), x["s"]), F.get(tags, x["k"]))
+        ),
     )
     rest = F.substr(full, end_before(F.size("__merged")) + 1)
     clean = F.when(F.size("__merged") == 0, F.col(text)).otherwise(F.concat(F.array_join(pieces, ""), rest))
@@ -223,7 +262,7 @@ def sanitise(
         *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.sha2(joined_spans(F.col("__base")), 256).alias("base_sha256"),
         joined_spans(F.col("__spans")).alias("spans"),
-        F.size("__said").cast("long").alias("n_term"),
+        (F.size("__spans") - F.size("__base")).cast("long").alias("n_term"),
         clean.alias("sanitised"),
     )
 

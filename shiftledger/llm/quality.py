@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftledger.llm.common import SPACE, filled, lower_ascii, saved, words
+from shiftledger.llm.common import SPACE, filled, let, lower_ascii, saved, words
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -46,11 +46,6 @@ def has_word(line: Column) -> Column:
     return F.length(F.translate(line, SPACES, "")) > 0
 
 
-def let(value: Column, fn) -> Column:
-    """``fn`` of ``value``, which is computed once however often ``fn`` uses it."""
-    return F.get(F.transform(F.array(value), fn), F.lit(0))
-
-
 def neighbours(rows: Column, fn) -> Column:
     """``fn`` of each element and the next one."""
     n = F.greatest(F.size(rows) - 1, F.lit(0))

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from cases import LONG, doc, documents, none, plain
 
@@ -69,7 +71,7 @@ def test_base_equals_the_plain_patterns(spark):
 def test_terms_that_disclose_an_entity(spark):
     mail = "boss@corp.example.com"
     near = [f"{plain(k, 20)} the zebrafish engineer {plain(50 + k, 3)} {mail} and {plain(80 + k, 20)}" for k in range(5)]
-    far = [f"{plain(100 + k, 40)} engineer and {plain(200 + k, 10)}" for k in range(60)]
+    far = [f"{plain(100 + k, 40)} the engineer and {plain(200 + k, 10)}" for k in range(60)]
     rows = [doc(k, t) for k, t in enumerate([*near, *far, f"a zebrafish! Zebrafish zebrafishes {plain(300, 30)}"])]
     rows += [doc(500 + k, f"{plain(900, 9)} copyword {plain(901, 2)} other@corp.example.com") for k in range(9)]
     found = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(rows, documents(spark).schema)).collect()}
@@ -81,6 +83,53 @@ def test_terms_that_disclose_an_entity(spark):
     assert found[500]["n_term"] == 0  # one context, however often it is copied, proves nothing
 
 
+def test_names_of_any_length_go(spark):
+    names = {"Kim": 0, "Zbyszek": 1, "Li": 2}
+    rows = [
+        doc(10 * k + i, f"{plain(100 * k + i, 30)} write to {name} at {name[0]}x@corp{k}.example.com, {plain(500 + 100 * k + i, 30)}")
+        for name, k in names.items() for i in range(5)
+    ]
+    rows += [doc(100 + k, f"{plain(2000 + k, 20)} write to me at home {plain(3000 + k, 20)}") for k in range(90)]
+    found = pii.sanitise(spark.createDataFrame(rows, documents(spark).schema)).filter("n_email > 0").collect()
+    for r in found:
+        name = list(names)[r["doc_id"] // 10]
+        assert r["n_term"] == 1 and "write to  at [EMAIL], " in r["sanitised"] and name not in r["sanitised"]
+    assert len(found) == 15
+
+
+def overlapping(spans):
+    """Runs of spans and the terms that overlap nothing, one after the other."""
+    fixed = [x for x in spans if x[1] < 4]
+    kept = [x for x in spans if x[1] < 4 or not any(b[0] < x[2] and x[0] < b[2] for b in fixed)]
+    runs = []
+    for s, k, e in kept:
+        if runs and runs[-1][2] > s:
+            runs[-1][2] = max(runs[-1][2], e)
+        else:
+            runs.append([s, k, e])
+    return kept, [tuple(x) for x in runs]
+
+
+def test_runs_of_spans_equal_the_plain_ones(spark):
+    rng = random.Random(5)
+    rows = [()]
+    for n in [1, 2, 3, 4, 5, 10, 17, 100, 400] * 4:
+        starts = [rng.randrange(8 * n) for _ in range(n)]
+        rows.append(tuple(sorted({(s, rng.randrange(5), s + rng.randrange(1, 9)) for s in starts})))
+    df = spark.createDataFrame([(list(x),) for x in rows], "x array<struct<s: int, k: int, e: int>>")
+    for r in df.withColumn("kept", pii.apart("x")).withColumn("runs", pii.merged("kept")).collect():
+        assert ([tuple(x) for x in r["kept"]], [tuple(x) for x in r["runs"]]) == overlapping([tuple(x) for x in r["x"]])
+
+
+def test_text_of_many_spans(spark):
+    n = 16_000
+    text = " ".join(f"m{k}@x.org" for k in range(n))
+    start = time.monotonic()
+    row = pii.sanitise(spark.createDataFrame([doc(1, text)], documents(spark).schema)).first()
+    assert row["n_email"] == n and row["sanitised"] == " ".join(["[EMAIL]"] * n)
+    assert time.monotonic() - start < 60
+
+
 def test_stage_and_empty_table(spark):
     docs = documents(spark)
     kept = pii.stage(spark, docs, "")
