@@ -11,10 +11,11 @@ retrieves all items of which it reaches ``THRESHOLD`` of the score:
   blocks whose own greatest shares don't reach the threshold are skipped.
 
 An item retrieved is confirmed by the share of its word trigrams found in the passage, for the question (all but
-the last sentence) and the answer (the last one) each. The index is built from blocks of at most ``MAX_WORDS``
-words of items, each block a broadcast of bounded size and a column of its own.
+the last sentence) and the answer (the last one) each. The number of items, their mean length and the number of
+items each word is in are counted over all items. The index is built from blocks of at most ``MAX_WORDS`` words of
+items, each block a broadcast of bounded size and a column of its own; a score is the same in whatever block.
 
-Defined cases: null and empty texts and items have no passages and match nothing; an item of one sentence is all
+Defined cases: very long texts are searched whole, in chunks of words; items of equal score (a tie) are all found; null and empty texts and items have no passages and match nothing; an item of one sentence is all
 question. Repeated rows get equal results each. Without items nothing is contaminated. Input columns with the name
 of a result column are replaced. An empty table gives an empty result.
 """
@@ -32,6 +33,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftledger.llm.common import saved
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 BLOCK = 16
@@ -61,23 +64,28 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return [w for p in (parts[:-1] or parts) for w in p], parts[-1] if len(parts) > 1 else []
 
 
+# The number of items, their mean length and, by word, the number of items it is in.
+Statistics = tuple[int, float, dict[bytes, int]]
+
+
 class Index:
-    """Items (id, text) of at most ``span`` words each."""
+    """Items (id, text) of at most ``span`` words each; ``statistics`` of all items, of these alone if not given."""
 
-    def __init__(self, items: list[tuple[int, str]], span: int, threshold: float = THRESHOLD):
+    def __init__(
+        self, items: list[tuple[int, str]], span: int, threshold: float = THRESHOLD, statistics: Statistics | None = None
+    ):
         self.ids = [i for i, _ in items]
         self.span, self.threshold = span, threshold
         self.parts = [question_and_answer(text) for _, text in items]
         counts = [Counter(words_of(text)) for _, text in items]
-        df = Counter(w for c in counts for w in c)
         lengths = [sum(c.values()) for c in counts]
-        mean = sum(lengths) / max(1, len(items))
+        n, mean, df = statistics or (len(items), sum(lengths) / max(1, len(items)), Counter(w for c in counts for w in c))
         self.postings: dict[bytes, tuple[list[int], list[float], dict[int, float], float]] = {}
         essential: dict[bytes, list[tuple[int, float]]] = {}
         self.rest = np.zeros(len(items))
         for item, (count, length) in enumerate(zip(counts, lengths)):
             shares = {
-                w: math.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5))
+                w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
                 * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
                 for w, tf in count.items()
             }
@@ -211,9 +219,32 @@ def overlap(part: list[bytes], there: list[set[tuple[bytes, ...]]]) -> float:
     return sum(g in there[len(g) - 1] for g in own) / len(own) if own else 1.0
 
 
+def count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """By word the items it is in; without a word the number of items that have words, and of their words."""
+    for frame in frames:
+        df: Counter = Counter()
+        items = words = 0
+        for text in frame["t"]:
+            own = words_of(text)
+            df.update(set(own))
+            items, words = items + bool(own), words + len(own)
+        rows = [(None, items, words), *((w, n, 0) for w, n in df.items())]
+        yield pd.DataFrame(rows, columns=["word", "items", "words"])
+
+
 def indexes(items: DataFrame, item_id: str, text: str, threshold: float) -> Iterator[Index]:
     """Indexes over all items, each of one span and of at most ``MAX_WORDS`` words or one item."""
     rows = items.filter(F.col(text).isNotNull()).select(F.col(item_id).alias("i"), F.col(text).alias("t"))
+    counted = rows.select("t").mapInPandas(count_words, "word binary, items long, words long")
+    counted = saved(counted.groupBy("word").agg(F.sum("items").alias("items"), F.sum("words").alias("words")), "item-words")
+    whole = counted.filter("word IS NULL").first()
+
+    def build(block: list[tuple[int, str]], span: int) -> Index:
+        own = pd.DataFrame({"own": sorted({w for _, t in block for w in words_of(t)})})
+        own = items.sparkSession.createDataFrame(own, "own binary")
+        df = {bytes(r["word"]): r["items"] for r in counted.join(own, F.col("word") == F.col("own")).collect()}
+        return Index(block, span, threshold, (whole["items"], whole["words"] / whole["items"], df))
+
     held: dict[int, list] = {}
     words: Counter = Counter()
     for row in rows.orderBy("i", "t").toLocalIterator():
@@ -222,12 +253,12 @@ def indexes(items: DataFrame, item_id: str, text: str, threshold: float) -> Iter
             continue
         span = next((s for s in SPANS if n <= s), n)
         if words[span] + n > MAX_WORDS and words[span]:
-            yield Index(held.pop(span), span, threshold)
+            yield build(held.pop(span), span)
             words[span] = 0
         held.setdefault(span, []).append((row["i"], row["t"]))
         words[span] += n
     for span in sorted(held):
-        yield Index(held[span], span, threshold)
+        yield build(held[span], span)
 
 
 def searcher(sent: Broadcast):

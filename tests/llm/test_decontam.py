@@ -90,12 +90,15 @@ def test_many_indexes_find_the_same(spark, monkeypatch):
 
     def found():
         rows = decontam.contaminated(docs, items_of(spark, items)).collect()
+        scores.append({(r["doc_id"], h["item_id"]): h["score"] for r in rows for h in r["hits"]})
         return sorted((r["doc_id"], sorted(str(h["item_id"]) for h in r["hits"])) for r in rows if r["doc_id"] is not None)
 
+    scores = []
     one = found()
     assert ("90" in dict(one)[140]) and dict(one)[100] == ["0", "0"] and dict(one)[144] == ["None"]
     monkeypatch.setattr(decontam, "MAX_WORDS", 200)
     assert found() == one
+    assert scores[1] == pytest.approx(scores[0]) and len(scores[0]) > 40  # statistics are of all items, not of a block
 
 
 def test_stage_and_empty_tables(spark, tmp_path):
