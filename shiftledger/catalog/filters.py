@@ -135,8 +135,7 @@ def filter_entitlements(t: Landing) -> DataFrame:
     rows = t.input(items=False).select(
         F.col("staff_id").alias("practitioner_id"), F.col("manager").alias("manager_name"), "actual_hour"
     )
-    seen = filters.entitled_rows(rows, entitlements(t))
-    return seen.groupBy("user_id").agg(F.count("*").alias("visible_rows"), F.sum("actual_hour").alias("visible_hours"))
+    return filters.entitled_totals(rows, entitlements(t), "actual_hour").withColumnRenamed("actual_hour", "visible_hours")
 
 
 @query(

@@ -101,6 +101,48 @@ def entitled_rows(df: DataFrame, entitlements: DataFrame) -> DataFrame:
     )
 
 
+def entitled_totals(df: DataFrame, entitlements: DataFrame, *cols: str) -> DataFrame:
+    """The number of rows that each user may see, as ``visible_rows``, and the sums of ``cols`` over them.
+
+    The same as grouping ``entitled_rows`` by user, without a row per user and row: the rows are summed per person and
+    manager, and shared out to every distinct entitlement rather than to every user, so a sum goes to its person, its
+    manager and the masters, however many users hold these. Users then add up what they hold. A person's rows under a
+    manager that a user is entitled to as well count with the manager, and masters by their own entitlement alone.
+    """
+    held = entitlements.select(
+        "user_id",
+        "role",
+        F.when(F.col("role") == "secondary", F.col("practitioner_id")).alias("practitioner_id"),
+        F.when(F.col("role") == "manager", F.col("manager_name")).alias("manager_name"),
+    )
+    named = (F.col("role") == "master") | F.col("practitioner_id").isNotNull() | F.col("manager_name").isNotNull()
+    held = held.where(F.col("user_id").isNotNull() & named).distinct()
+    masters = held.where(F.col("role") == "master")
+    others = held.where(F.col("role") != "master").join(masters.select("user_id"), "user_id", "left_anti")
+    right = F.struct("role", "practitioner_id", "manager_name")
+
+    summed = df.groupBy("practitioner_id", "manager_name").agg(
+        F.count(F.lit(1)).alias("visible_rows"), *[F.sum(c).alias(c) for c in cols]
+    )
+    rights = held.select(right.alias("user_id"), "role", "practitioner_id", "manager_name").distinct()
+    own = F.col("user_id.role") == "secondary"
+    # What a person's entitlement shows stays apart by manager, null where that does not matter.
+    shown = (
+        entitled_rows(summed, rights)
+        .groupBy(F.col("user_id").alias("_right"), F.when(own, F.col("manager_name")).alias("_under"))
+        .agg(*[F.sum(c).alias(c) for c in ("visible_rows", *cols)])
+    )
+    led = others.where(F.col("role") == "manager").select(F.col("user_id").alias("_user"), F.col("manager_name").alias("_led"))
+    seen = (
+        others.unionByName(masters)
+        .select("user_id", right.alias("_right"))
+        .join(shown, "_right")
+        .join(led, (F.col("user_id") == F.col("_user")) & (F.col("_under") == F.col("_led")), "left_anti")
+    )
+    sums = [F.sum(c).cast(summed.schema[c].dataType).alias(c) for c in ("visible_rows", *cols)]
+    return seen.groupBy("user_id").agg(*sums)
+
+
 def weekday_in_plan(df: DataFrame, col: str, plan: dict[str, float]) -> DataFrame:
     """Rows whose weekday is planned, with the planned ``target_hour``.
 

@@ -5,6 +5,7 @@ from decimal import Decimal
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from shiftledger import params as p
 from shiftledger import schemas
@@ -151,6 +152,48 @@ def test_entitlements(spark, rows):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_entitled_totals_share_sums_not_rows(spark, rows):
+    data = spark.createDataFrame(
+        [(1, "Kim", 10), (1, "Kim", None), (1, "Lou", 15), (2, "Kim", 20), (3, "Lou", 30), (3, "Lou", 31), (4, None, 40), (None, "Kim", 50), (5, "Max", None), (None, None, 60)],
+        "practitioner_id long, manager_name string, v int",
+    )
+    users = spark.createDataFrame(
+        [
+            (100, "master", None, None), (100, "secondary", 3, None), (100, "manager", 1, "Kim"), (101, "secondary", 3, "Kim"), (102, "manager", None, "Kim"),
+            (102, "secondary", 1, None), (102, "secondary", 1, "Kim"), (102, "secondary", 4, None), (103, "guest", 1, "Kim"), (104, "secondary", None, "Kim"),
+            (105, "manager", 1, None), (106, "secondary", 9, None), (107, None, 1, "Kim"), (108, "master", None, None), (109, "manager", 1, "Kim"),
+            (109, "manager", 1, "Lou"), (109, "secondary", 1, None), (110, "secondary", 5, None), (None, "master", None, None), (None, "secondary", 1, None),
+        ],
+        "user_id long, role string, practitioner_id long, manager_name string",
+    )
+    found = filters.entitled_totals(data, users, "v")
+    each = filters.entitled_rows(data, users).groupBy("user_id").agg(F.count("*").alias("visible_rows"), F.sum("v").alias("v"))
+    assert found.schema["v"].dataType == each.schema["v"].dataType
+    assert rows(found) == rows(each)
+    assert (102, 6, 135) in rows(found) and (110, 1, None) in rows(found)
+    # Many users of few managers: no operator makes a row per user and row.
+    many = spark.range(3000).selectExpr("id practitioner_id", "'Kim' manager_name", "1 v")
+    led = spark.range(3000).selectExpr("id user_id", "'manager' role", "cast(null as long) practitioner_id", "'Kim' manager_name")
+    frame = filters.entitled_totals(many, led, "v")
+    assert frame.where("visible_rows = 3000 and v = 3000").count() == 3000
+    frame.collect()
+    assert max(rows_out(frame)) <= 9000
+
+
+def rows_out(df):
+    """The output rows of every operator of a plan that has run."""
+    found, plans = [], [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        name = plan.getClass().getSimpleName()
+        plans.append(plan.executedPlan()) if name == "AdaptiveSparkPlanExec" else None
+        plans.append(plan.plan()) if name.endswith("QueryStageExec") else None
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+        if plan.metrics().contains("numOutputRows"):
+            found.append(plan.metrics().apply("numOutputRows").value())
+    return found
+
+
 @tables
 def test_plans(spark):
     t = Landing(spark, SF_DIR)
