@@ -9,6 +9,7 @@ broadcasts a side only while its measured size is below the threshold.
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,9 @@ TABLES = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
 
+# Fixed value: the bytes of line item files, about a third of a million rows, whose person-days one task holds.
+PIECE_BYTES = 4 * 1024 * 1024
+
 
 class Landing:
     """Views over the tables of one scale-factor folder."""
@@ -41,12 +45,30 @@ class Landing:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._tables: dict[str, DataFrame] = {}
+        self._pieces: int | None = None
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
         return self._tables[name]
 
+    def pieces(self) -> int:
+        """The number of partitions for person-days: the session's, or more in proportion to the line items."""
+        if self._pieces is None:
+            held = tables.size(self.spark, f"{self.sf_dir}/lineitem.parquet")
+            least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self._pieces = max(least, math.ceil(held / PIECE_BYTES))
+        return self._pieces
+
+    def _by_day(self, since: dt.date | DataFrame | None = None, until: dt.date | None = None) -> DataFrame:
+        """Line items dealt to partitions by person and day.
+
+        Nearly every line item is a person-day of its own, so sums before the shuffle would fill a task's memory and
+        save little. Partitions of a size of their own, rather than those that adaptive execution merges, keep what a
+        task groups, sorts and joins the same at any size of the table.
+        """
+        return self._lines(since, until).repartition(self.pieces(), "staff_id", "purchase_date")
+
     def _staff(self) -> DataFrame:
         return self.table("supplier").select(
             F.col("s_suppkey").alias("staff_id"),
@@ -120,7 +142,7 @@ class Landing:
         group and join them by.
         """
         days = (
-            self._lines(since, until)
+            self._by_day(since, until)
             .groupBy("staff_id", "purchase_date")
             .agg(F.sum("actual_hour").alias("actual_hour"), F.sum("total").alias("total"))
         )
@@ -151,7 +173,7 @@ class Landing:
         The days are made distinct before the names are joined, so only keys are shuffled.
         """
         days = (
-            self._lines(since)
+            self._by_day(since)
             .where(dates.weekday_index("purchase_date") < 6)
             .select("staff_id", F.col("purchase_date").alias("appt_date"))
             .distinct()

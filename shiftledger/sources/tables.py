@@ -65,6 +65,12 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(found) and fs.getFileStatus(found).isDirectory()
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """The bytes of a file, or of the files of a folder."""
+    fs, found = _path(spark, path)
+    return fs.getContentSummary(found).getLength()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     fs, target = _path(spark, path)
     fs.delete(target, True)
