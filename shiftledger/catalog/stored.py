@@ -119,8 +119,8 @@ def stored_kpi_by_calendar(t: Landing) -> DataFrame:
 def days_and_targets(t: Landing) -> tuple[str, str]:
     """Daily sums and targets in the same buckets by person and day."""
     days, targets_path = work_dir(t.spark, "person_days"), work_dir(t.spark, "day_targets")
-    colocated.write_person_days(t.per_day(), days)
-    colocated.write_day_targets(t.target(), targets_path)
+    colocated.write_person_days(t.per_day(), days, t.buckets())
+    colocated.write_day_targets(t.target(), targets_path, t.buckets())
     return days, targets_path
 
 
@@ -133,11 +133,11 @@ def bucketed_join_target_daily(t: Landing) -> DataFrame:
 @same_as("left_join_target_daily", "bucketed_late_rows")
 def bucketed_late_rows(t: Landing) -> DataFrame:
     """A month's days are summed without a fifth of their rows first, and then restated in the stored buckets."""
-    rows = t.input(items=False)
+    rows = t.input(items=False).repartition(t.pieces(), "staff_id", "purchase_date")
     late = F.col("purchase_date").between(F.lit(p.LATE_START), F.lit(p.LATE_END)) & (F.col("invoice_no") % 5 == 0)
     days, targets_path = work_dir(t.spark, "person_days"), work_dir(t.spark, "day_targets")
-    colocated.write_person_days(rows.where(~late), days)
-    colocated.write_day_targets(t.target(), targets_path)
+    colocated.write_person_days(rows.where(~late), days, t.buckets())
+    colocated.write_day_targets(t.target(), targets_path, t.buckets())
     colocated.restate_person_days(rows, days, daily.days_of(rows.where(late)))
     return colocated.daily_with_target(t.spark, days, targets_path)
 
@@ -152,6 +152,6 @@ def bucketed_fact_performance(t: Landing) -> DataFrame:
 def bucketed_merge_weekly(t: Landing) -> DataFrame:
     """Weekly sums and weekly targets in the same buckets by week and person."""
     weeks, targets_path = work_dir(t.spark, "weeks"), work_dir(t.spark, "weekly_targets")
-    colocated.write_weeks(t.performance(types=False, names=False), weeks)
-    colocated.write_weekly_targets(t.weekly_target(), targets_path)
+    colocated.write_weeks(t.performance(types=False, names=False), weeks, t.buckets())
+    colocated.write_weekly_targets(t.weekly_target(), targets_path, t.buckets())
     return colocated.weekly_with_target(t.spark, weeks, targets_path, "target_income", "target_hour")

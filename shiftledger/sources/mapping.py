@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shiftledger import params
 from shiftledger.functions import dates
-from shiftledger.sources import tables
+from shiftledger.sources import buckets, tables
 
 
 # The types of the driver's tables, so that no file is opened to infer them.
@@ -36,6 +36,8 @@ TABLES = {
 
 # Fixed value: the bytes of line item files, about a third of a million rows, whose person-days one task holds.
 PIECE_BYTES = 4 * 1024 * 1024
+# Fixed value: the bytes of line item files, about a million rows, whose person-days lie in one bucket.
+BUCKET_BYTES = 16 * 1024 * 1024
 
 
 class Landing:
@@ -45,20 +47,31 @@ class Landing:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._tables: dict[str, DataFrame] = {}
-        self._pieces: int | None = None
+        self._held: int | None = None
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
         return self._tables[name]
 
+    def _line_bytes(self) -> int:
+        if self._held is None:
+            self._held = tables.size(self.spark, f"{self.sf_dir}/lineitem.parquet")
+        return self._held
+
     def pieces(self) -> int:
         """The number of partitions for person-days: the session's, or more in proportion to the line items."""
-        if self._pieces is None:
-            held = tables.size(self.spark, f"{self.sf_dir}/lineitem.parquet")
-            least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            self._pieces = max(least, math.ceil(held / PIECE_BYTES))
-        return self._pieces
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(least, math.ceil(self._line_bytes() / PIECE_BYTES))
+
+    def buckets(self) -> int:
+        """The number of buckets of stored tables: in proportion to the line items, and enough to keep all cores busy.
+
+        What a task sorts to write or join a bucket is the same at any size of the table. A table by month has a file
+        per month and bucket, so there are no more buckets than that takes.
+        """
+        least = min(buckets.default_buckets(self.spark), self.spark.sparkContext.defaultParallelism)
+        return max(least, math.ceil(self._line_bytes() / BUCKET_BYTES))
 
     def _by_day(self, since: dt.date | DataFrame | None = None, until: dt.date | None = None) -> DataFrame:
         """Line items dealt to partitions by person and day.
