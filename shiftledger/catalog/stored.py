@@ -82,7 +82,7 @@ def two_loads(t: Landing) -> str:
     """The warehouse folder after a first load and one of the rows since; the second reads the increment only."""
     warehouse = work_dir(t.spark, "warehouse")
     for until, batch in ((p.SPLIT_DATE, p.SPLIT_DATE), (None, p.SPLIT_DATE + dt.timedelta(days=365))):
-        daily.run_daily(t.spark, warehouse, t.input(until=until), t.target(), batch)
+        daily.run_daily(t.spark, warehouse, t.input(until=until), t.target(), batch, pieces=t.pieces())
     return warehouse
 
 
@@ -98,10 +98,10 @@ def daily_load_late_rows(t: Landing) -> DataFrame:
     warehouse = work_dir(t.spark, "warehouse")
     first = t.input(until=p.SPLIT_DATE)
     late = F.col("purchase_date").between(F.lit(p.LATE_START), F.lit(p.LATE_END)) & (F.col("invoice_no") % 5 == 0)
-    daily.run_daily(t.spark, warehouse, first.where(~late), t.target(), p.SPLIT_DATE)
+    daily.run_daily(t.spark, warehouse, first.where(~late), t.target(), p.SPLIT_DATE, pieces=t.pieces())
     days = daily.days_of(first.where(late))
     batch = p.SPLIT_DATE + dt.timedelta(days=365)
-    daily.run_daily(t.spark, warehouse, t.input(), t.target(), batch, changed_days=days)
+    daily.run_daily(t.spark, warehouse, t.input(), t.target(), batch, changed_days=days, pieces=t.pieces())
     return natural_performance(t, warehouse)
 
 

@@ -75,6 +75,7 @@ def run_daily(
     default_mark: dt.date = params.DEFAULT_MARK,
     lookback_days: int = 0,
     changed_days: Sequence[dt.date] = (),
+    pieces: int | None = None,
 ) -> None:
     """Bring the warehouse folder up to date with the landing rows.
 
@@ -82,6 +83,10 @@ def run_daily(
     mark, is committed last, after the day totals of its new months. A batch notes its lower bound with its members, so a run that was lost, or is repeated,
     takes the same rows again. Once a later batch has been loaded, running an older one changes nothing.
 
+    The performance fact sums the rows in ``pieces`` partitions by person and day, the session's number if none is named,
+    and joins targets from there. Nearly every row is a person-day of its own, so sums before the shuffle would fill a
+    scan task's memory and save little.
+
     Late rows may bring unknown members, but only rows after the mark, and those of unknown people, make new versions of
     practitioners.
     """
@@ -118,8 +123,10 @@ def run_daily(
     people = merge_history(spark, path["dim_practitioner"], seen, mark, places, email_domain, batch_date, batch)
 
     planned = increment(target, "appt_date", since, changed_days)
+    by_day = ("staff_id", "purchase_date")
+    dealt = fresh.repartition(pieces, *by_day) if pieces else fresh.repartition(*by_day)
     appointments = facts.fact_appointments(fresh, people, places, items)
-    performance = facts.fact_performance(fresh, planned, people, places)
+    performance = facts.fact_performance(dealt, planned, people, places)
     tables.commit(spark, path["fact_appointments"], restated(spark, path, "fact_appointments", appointments, since, changed_days))
     new = restated(spark, path, "fact_performance", performance, since, changed_days)
     update_totals(spark, path, new)

@@ -157,3 +157,23 @@ def test_plans(spark, tmp_path, landing):
     merged = dimensions.merge_practitioners(people, rows, dimensions.first_locations(rows), "x", D(2024, 5, 9))
     assert "SortAggregate" not in merged._jdf.queryExecution().executedPlan().toString()
     assert not list(Path(tmp_path).glob("none"))
+
+
+@pytest.mark.parametrize("pieces", [None, 7])
+def test_rows_are_dealt_by_person_and_day_before_they_are_summed(spark, tmp_path, monkeypatch, landing, target, rows, pieces):
+    plans, restated = {}, daily.restated
+
+    def seen(spark, path, name, df, *rest):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return restated(spark, path, name, df, *rest)
+
+    monkeypatch.setattr(daily, "restated", seen)
+    root, plain = str(tmp_path / "dealt"), str(tmp_path / "plain")
+    daily.run_daily(spark, root, landing(*BASE), target, D(2024, 5, 6), pieces=pieces)
+    plan = plans["fact_performance"]
+    below = plan[plan.index("partial_sum(actual_hour") :]
+    first = next(line for line in below.split("\n") if "Exchange" in line)
+    assert "hashpartitioning(staff_id" in first and "REPARTITION_BY" in first
+    assert pieces is None or f", {pieces}), REPARTITION_BY_NUM" in first
+    daily.run_daily(spark, plain, landing(*BASE), target, D(2024, 5, 6))
+    assert natural(spark, root, rows) == natural(spark, plain, rows) != []
